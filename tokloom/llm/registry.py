@@ -6,6 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 MODULES = {
+    "op6_minhash": "minhash",
     "op10_exact_dedup": "exact_dedup",
 }
 
