@@ -6,6 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 MODULES = {
+    "op2_language_id": "langid",
     "op4_quality": "quality",
     "op6_minhash": "minhash",
     "op10_exact_dedup": "exact_dedup",
