@@ -6,6 +6,9 @@ from collections.abc import Callable
 from importlib import import_module
 
 MODULES = {
+    "op3_token_counts": "lengths",
+    "op7_sharding": "sharding",
+    "op9_packing": "packing",
     "op2_language_id": "langid",
     "op4_quality": "quality",
     "op6_minhash": "minhash",
