@@ -6,6 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 MODULES = {
+    "op5_decontamination": "decontaminate",
     "op3_token_counts": "lengths",
     "op7_sharding": "sharding",
     "op9_packing": "packing",
