@@ -6,6 +6,8 @@ from collections.abc import Callable
 from importlib import import_module
 
 MODULES = {
+    "op1_html": "html",
+    "op8_licenses": "licenses",
     "op5_decontamination": "decontaminate",
     "op3_token_counts": "lengths",
     "op7_sharding": "sharding",
