@@ -1,0 +1,142 @@
+import random
+
+import numpy as np
+import pytest
+from tests.llm.conftest import make
+
+from tokloom.llm import langid, quality
+
+
+def joined(texts):
+    return np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
+
+
+@pytest.fixture(scope="module")
+def tables(spark, sf_dir):
+    d = sf_dir.replace("sf0.001", "sf0.01")
+    return spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+
+
+def slow_probability(m, text):
+    """One byte, filter and chunk at a time."""
+    at = lambda i: text[i] if i < len(text) else 0
+    act = [[sum(float(m.table[k, at(i + k), f]) for k in range(quality.WIDTH)) for f in range(quality.FILTERS)] for i in range(len(text))]
+    runs = [range(a, min(a + quality.HALF, len(text))) for a in range(0, len(text), quality.HALF)]
+    chunks = [range(a.start, b.stop) for a, b in zip(runs, runs[1:], strict=False)] or runs
+    hidden = []
+    for c in chunks:
+        x = [max(0, max(act[i][f] for i in c) + float(m.bias[f])) for f in range(quality.FILTERS)] + [np.log2(len(c) / quality.CHUNK)]
+        hidden.append([max(0, sum(v * float(w) for v, w in zip(x, m.dense[:, h], strict=True)) + float(m.dense_bias[h])) for h in range(quality.HIDDEN)])
+    hidden = np.array(hidden)
+    z = np.concatenate([hidden.max(axis=0), hidden.mean(axis=0), [1]]) @ m.out
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def test_convolution_against_plain_loops():
+    rng = random.Random(4)
+    texts = [bytes(rng.randrange(1, 256) for _ in range(n)) for n in (1, 3, 255, 256, 257, 513, 700, 2, 1300)]
+    m = quality.initial()
+    fast, ready = quality.score(m, *joined(texts)), quality.score(quality.initial().ready(), *joined(texts))
+    slow = [slow_probability(m, t) for t in texts]
+    assert np.allclose(fast, slow, atol=1e-4) and np.allclose(ready, slow, atol=1e-4)
+
+
+def test_gradients_against_differences():
+    rng = random.Random(5)
+    texts = [bytes(rng.randrange(97, 110) for _ in range(n)) for n in (5, 300, 900)]
+    raw, at = joined(texts)
+    y, w = np.array([1, 0, 1], np.float32), np.ones(3, np.float32) / 3
+    m = quality.initial()
+    for name in ("table", "bias", "dense", "dense_bias", "out"):
+        setattr(m, name, getattr(m, name).astype(np.float64))
+    grads = quality._gradients(m, raw, at, y, w)
+
+    def loss():
+        p = quality.score(m, raw, at)
+        return -(w * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()
+
+    for p, g in zip(m.parameters()[2:], grads[2:], strict=True):  # layers above the single-precision pooling
+        i = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old, e = p[i], 1e-5
+        p[i] = old + e
+        up = loss()
+        p[i] = old - e
+        down = loss()
+        p[i] = old
+        assert abs((up - down) / (2 * e) - g[i]) < 1e-3 * max(1, abs(g[i]))
+
+
+def test_quality_of_held_out_documents(tables):
+    docs, labels = tables
+    m = quality.train(docs, labels, sample=300)
+    rows = quality.classify(docs, m).join(labels, "doc_id").toPandas()
+    good, bad = rows[rows.quality == 1], rows[rows.quality == 0]
+    assert good.keep.mean() > 0.97 and 1 - bad.keep.mean() > 0.6
+    assert quality.classify(docs, m).count() == docs.count()
+
+
+def test_quality_of_odd_rows(spark, odd, odd_rows, empty, tables):
+    m = quality.train(*tables, sample=120)
+    out = quality.classify(odd, m).collect()
+    assert len(out) == len(odd_rows)
+    assert all((r["probability"] is None) == (not t) for r, t in zip(out, [t for _, t in odd_rows], strict=True)) and all(r["keep"] for r in out if r["probability"] is None)
+    kept = quality.keep_good(odd, m)
+    assert kept.columns == odd.columns and kept.count() == sum(r["keep"] for r in out)
+    assert quality.classify(empty, m).count() == 0 and quality.keep_good(empty, m).columns == empty.columns
+    none = spark.createDataFrame([(1, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.keep_good(odd, quality.train(odd, none)).count() == len(odd_rows)
+
+
+def test_forward_backward_against_a_plain_chain():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 50, 997):
+        L = 4
+        m = langid.Model(list("abcd"), np.zeros((1, L)), rng.normal(0, 2, (L, L)), rng.normal(0, 1, L), np.zeros(0, np.uint64), np.zeros(0, int), np.zeros((L, L)))
+        score, first = rng.normal(0, 3, (n, L)), rng.random(n) < 0.1
+        first[0] = True
+        post, _ = langid.posteriors(m, score, first)
+        e, A, init = np.exp(score), np.exp(m.step), np.exp(m.start)
+        alpha, beta, v, u = [], [None] * n, None, np.ones(L)
+        for t in range(n):
+            v = (init if first[t] else v @ A) * e[t]
+            v = v / v.sum()
+            alpha.append(v)
+        for t in range(n - 1, -1, -1):
+            beta[t] = u
+            u = np.ones(L) if first[t] else A @ (e[t] * u)
+            u = u / u.sum()
+        p = np.array(alpha) * np.array(beta)
+        assert np.allclose(post, p / p.sum(axis=1, keepdims=True), atol=1e-6)
+
+
+@pytest.fixture(scope="module")
+def model(tables):
+    return langid.train(tables[0], sample=400)
+
+
+def test_language_of_held_out_words(tables, model):
+    rows = tables[0].collect()[600:]
+    texts, lang = [r["text"].encode() for r in rows], [r["lang"] for r in rows]
+    w, state, _ = langid.label(model, *joined(texts))
+    truth = np.array([model.langs.index(x) for x in lang])[w.doc]
+    assert (state == truth).mean() > 0.95
+    mixed = langid.switched(texts, np.array([model.langs.index(x) for x in lang]), np.random.default_rng(1))
+    raw, at = joined([t + b" " for t, _ in mixed])
+    w, state, _ = langid.label(model, raw, at)
+    assert (state == langid._truth(w, at, [s for _, s in mixed])).mean() > 0.93
+
+
+def test_language_of_odd_rows(odd, odd_rows, empty, model):
+    out = langid.identify(odd, model).collect()
+    assert len(out) == len(odd_rows)
+    for r, (_, t) in zip(out, odd_rows, strict=True):
+        assert r["n_words"] == sum(s["n_words"] for s in r["spans"]) and (r["lang"] is None) == (r["n_words"] == 0)
+        assert (r["n_words"] == 0) == (not t or not any(c.isalnum() for c in t)) and r["n_switches"] == max(0, len(r["spans"]) - 1)
+        assert [s["first_word"] for s in r["spans"]] == [sum(x["n_words"] for x in r["spans"][:i]) for i in range(len(r["spans"]))]
+    assert out[13]["n_words"] == 60000 or max(r["n_words"] for r in out) == 60000
+    assert langid.identify(empty, model).count() == 0
+
+
+def test_language_without_labels(spark, odd_rows):
+    none = make(spark, [(i, t, None) for i, t in odd_rows])
+    assert all(r["lang"] is None and not r["spans"] for r in langid.identify(none, langid.train(none)).collect())

@@ -76,7 +76,7 @@ def convolve(m: Model, raw: np.ndarray, at: np.ndarray, arg: bool = False):
     start, before, length = _blocks(raw, at)
     best = np.empty((len(start), FILTERS), np.float32)
     where = np.empty((len(start), FILTERS), np.int64) if arg else None
-    ends = np.repeat(at[1:], np.diff(before))
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(before))
     step = max(1, SPAN // HALF)
     for low in range(0, len(start), step):
         high = min(low + step, len(start))
@@ -92,11 +92,11 @@ def convolve(m: Model, raw: np.ndarray, at: np.ndarray, arg: bool = False):
         for k in range(1, len(table)):
             np.take(table[k], by[k * stride : k * stride + b - a], axis=0, out=row, mode="clip")
             act += row
-        last = np.unique(ends[low:high])
-        for k in range(1, WIDTH):  # positions whose k-th byte lies in the next document
-            for q in range(1, k + 1):
-                p = last - q - a
-                p = p[(p >= 0) & (p < b - a)]
+        first, last = at[doc[low] : doc[high - 1] + 1] - a, at[doc[low] + 1 : doc[high - 1] + 2] - a
+        for q in range(1, WIDTH):  # positions q bytes before the end of their document, in this span
+            p = (last - q)[last - q >= np.maximum(first, 0)]
+            p = p[p < b - a]
+            for k in range(q, WIDTH):  # what they see there is byte 0
                 act[p] += m.table[k, 0] - m.table[k, seen[p + k]]
         cuts = start[low:high] - a
         np.maximum.reduceat(act, cuts, axis=0, out=best[low:high])
