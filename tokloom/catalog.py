@@ -1,13 +1,360 @@
-"""The engine's queries and, for each, the SQL that gives the same rows."""
+"""The engine's queries and, for each, the SQL that gives the same rows.
+
+The BPE queries use a public byte-level vocabulary of 50,256 ranks; its file is a parameter, RANKS, and where it is missing they use ``toy``.
+"""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from functools import cache
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tokloom.encoding import Encoding, bytes256, toy
+from tokloom.functions import grammars, specials, table, tokens, unicode
+from tokloom.functions.grammars import Grammar
+from tokloom.plans import corpus
+from tokloom.session import prepare, scratch_dir
+from tokloom.sources.blob import load_ranks
+from tokloom.streaming import encode as streaming
+
+RANKS = os.environ.get("TOKLOOM_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+CHAT = [("<|im_start|>", 256), ("<|im_end|>", 257), ("<|im_end|>x", 258), ("<|endoftext|>", 259)]
+
+
+@cache
+def vocabulary() -> Encoding:
+    return Encoding("public50k", load_ranks(RANKS)) if os.path.exists(RANKS) else toy()
+
+
+@cache
+def chat() -> Encoding:
+    """Bytes and chat markers."""
+    return Encoding("chat", [(bytes([b]), b) for b in range(256)], [(n.encode(), i) for n, i in CHAT])
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- SQL building blocks -------------------------------------------------------------------------------------------------------
+# RE2 has no look-ahead: the place where a run of blanks is cut is marked with U+0001 first, and the mark dropped after.
+_WS = r"\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_HW = r"\t\x0b\x0c \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SUFFIX = "''(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])"
+
+
+def sql_pieces(text: str, grammar: Grammar) -> str:
+    lead = r"[^\r\n\p{L}\p{N}\x01]?"
+    if grammar is Grammar.O200K:
+        up, low = r"[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]", r"[\p{Ll}\p{Lm}\p{Lo}\p{M}]"
+        heads, tail = [f"{lead}{up}*{low}+(?:{_SUFFIX})?", f"{lead}{up}+{low}*(?:{_SUFFIX})?"], r"[\r\n/]*"
+    else:
+        heads, tail = [_SUFFIX, lead + r"\p{L}+"], r"[\r\n]*"
+    numbers = r"\p{N}" if grammar is Grammar.QWEN else r"\p{N}{1,3}"
+    parts = [*heads, numbers, rf" ?[^{_WS}\p{{L}}\p{{N}}\x01]+{tail}", rf"[{_WS}]*[\r\n]+", rf"[{_WS}]+", r"\x01"]
+    marked = rf"regexp_replace({text}, '([{_HW}])([^{_WS}])', chr(1) || '\1\2', 'g')"
+    return f"list_filter(regexp_extract_all({marked}, '{'|'.join(parts)}'), lambda x: x <> chr(1))"
+
+
+def sql_vocabulary() -> str:
+    if not os.path.exists(RANKS):
+        return "vocab AS (SELECT printf('%02X', i) AS h, i::INT AS id FROM range(256) t(i) UNION ALL VALUES ('6162', 256), ('616263', 257))"
+    rows = f"read_csv('{RANKS}', columns={{'line': 'VARCHAR'}}, delim='\\x01', quote='', escape='', header=false)"
+    return f"vocab AS MATERIALIZED (SELECT hex(from_base64(split_part(line, ' ', 1))) AS h, split_part(line, ' ', 2)::INT AS id FROM {rows})"
+
+
+def sql_bpe(source: str, grammar: Grammar = Grammar.CL100K) -> str:
+    """CTEs: vocab; pieces (key, pos, p) of ``source`` (key, text); bpe (p, toks), the tokens of each distinct piece in hexadecimal.
+
+    Each step of the recursion merges, in every unfinished piece, the leftmost of the pairs of least rank.
+    """
+    return f"""
+{sql_vocabulary()},
+pieces AS MATERIALIZED (SELECT key, unnest(range(len(l))) AS pos, unnest(l) AS p FROM (SELECT key, {sql_pieces("text", grammar)} AS l FROM ({source}))),
+distinct_pieces AS MATERIALIZED (SELECT p, hex(encode(p)) AS h FROM (SELECT DISTINCT p FROM pieces)),
+whole AS (SELECT d.p, [d.h] AS toks FROM distinct_pieces d JOIN vocab v ON v.h = d.h),
+steps(p, toks) AS (
+  SELECT p, regexp_extract_all(h, '..') FROM distinct_pieces d WHERE NOT EXISTS (SELECT 1 FROM vocab v WHERE v.h = d.h)
+  UNION ALL
+  SELECT p, list_concat(list_concat(toks[1:i - 1], [toks[i] || toks[i + 1]]), toks[i + 2:])
+  FROM (SELECT p, toks, arg_min(i, id::BIGINT * 1000000 + i) AS i
+        FROM (SELECT p, toks, unnest(range(1, len(toks))) AS i FROM steps) JOIN vocab ON h = toks[i] || toks[i + 1] GROUP BY p, toks)),
+bpe AS MATERIALIZED (SELECT p, arg_min(toks, len(toks)) AS toks FROM steps GROUP BY p UNION ALL SELECT p, toks FROM whole)"""
+
+
+_DOCS = "SELECT doc_id AS key, text FROM documents"
+_ITEMS = "SELECT item_id AS key, text FROM benchmark"
+
+
+# ---- queries -------------------------------------------------------------------------------------------------------------------
+_queries: dict[str, Callable] = {}
+_oracles: dict[str, Callable[[], str]] = {}
+
+
+def _query(sql: Callable[[], str] | str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        _queries[key] = f
+        if sql:
+            _oracles[key] = sql if callable(sql) else lambda: sql
+        return f
+
+    return add
+
+
+def _count_pieces(g: Grammar) -> Callable:
+    return lambda spark, d: grammars.pieces(_read(spark, d, "documents"), "text", g, "doc_id").groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+@_query(lambda: f"SELECT p AS piece, count(*) AS n FROM (SELECT unnest({sql_pieces('text', Grammar.CL100K)}) AS p FROM documents) GROUP BY p ORDER BY n DESC, p LIMIT 20")
+def pieces_top(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty most frequent pieces."""
+    return grammars.pieces(_read(spark, d, "documents"), "text").groupBy("piece").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "piece").limit(20)
+
+
+for _g in Grammar:
+    _query(lambda g=_g: f"SELECT p AS piece, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest({sql_pieces('text', g)}) AS p FROM documents) GROUP BY p", f"pieces_{_g.name.lower()}")(_count_pieces(_g))
+
+
+@_query(
+    lambda: f"""WITH x AS (SELECT conv_id, turn, unnest(range(len(l))) AS pos, unnest(l) AS piece FROM (SELECT conv_id, turn, {sql_pieces("text", Grammar.O200K)} AS l FROM conversations)),
+y AS (SELECT *, sum(strlen(piece)) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS e FROM x)
+SELECT conv_id, turn, pos::INT AS pos, (e - strlen(piece))::INT AS start, e::INT AS "end", piece FROM y"""
+)
+def piece_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Byte ranges of the pieces of every message."""
+    return grammars.offsets(_read(spark, d, "conversations"), "text", Grammar.O200K, "conv_id", "turn")
+
+
+@_query(lambda: f"SELECT lang, source, count(*) AS n_docs, sum(n)::BIGINT AS n_pieces, sum(b)::BIGINT AS n_bytes FROM (SELECT lang, source, len({sql_pieces('text', Grammar.QWEN)}) AS n, strlen(text) AS b FROM documents) GROUP BY CUBE (lang, source)")
+def piece_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, pieces and bytes by language and source, with all subtotals."""
+    docs = _read(spark, d, "documents").select("lang", "source", F.size(grammars.pretokenize(F.col("text"), Grammar.QWEN)).alias("n"), F.octet_length("text").alias("b"))
+    return docs.cube("lang", "source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_pieces"), F.sum("b").alias("n_bytes"))
+
+
+@_query(
+    lambda: rf"""SELECT CASE WHEN regexp_full_match(p, '{_SUFFIX}') THEN 'contraction' WHEN regexp_full_match(p, '[^\r\n\p{{L}}\p{{N}}]?\p{{L}}+') THEN 'letters' WHEN regexp_full_match(p, '\p{{N}}{{1,3}}') THEN 'numbers'
+WHEN regexp_full_match(p, ' ?[^{_WS}\p{{L}}\p{{N}}]+[\r\n]*') THEN 'other' WHEN regexp_full_match(p, '[{_WS}]*[\r\n]+') THEN 'newlines' ELSE 'blank' END AS kind, count(*) AS n, sum(strlen(p))::BIGINT AS n_bytes
+FROM (SELECT unnest({sql_pieces("text", Grammar.CL100K)}) AS p FROM documents) GROUP BY 1"""
+)
+def piece_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Which alternative of the grammar made the pieces."""
+    counted = grammars.pieces(_read(spark, d, "documents"), "text").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    return grammars.kinds(counted, Grammar.CL100K).groupBy("kind").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.octet_length("piece")).alias("n_bytes"))
+
+
+@_query(
+    rf"""SELECT kind, sum(n)::BIGINT AS n, count(*) AS n_distinct FROM (SELECT CASE WHEN regexp_full_match(c, '\p{{L}}') THEN 'letter' WHEN regexp_full_match(c, '\p{{N}}') THEN 'number' WHEN regexp_full_match(c, '[{_WS}]') THEN 'space' ELSE 'other' END AS kind, n
+FROM (SELECT c, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents) GROUP BY c)) GROUP BY kind"""
+)
+def char_classes(spark: SparkSession, d: str) -> DataFrame:
+    return unicode.class_counts(_read(spark, d, "documents"), "text")
+
+
+@_query()
+def unicode_drift(spark: SparkSession, d: str) -> DataFrame:
+    return unicode.drift(prepare(spark))
+
+
+@_query("SELECT doc_id, md5(nfc_normalize(text)) AS digest, strlen(nfc_normalize(text)) AS n_bytes FROM documents")
+def nfc_documents(spark: SparkSession, d: str) -> DataFrame:
+    text = _read(spark, d, "documents").select("doc_id", unicode.nfc(F.col("text")).alias("text"))
+    return text.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
+
+
+@_query("SELECT ('0x' || b)::INT AS id, count(*) AS n FROM (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents) GROUP BY b")
+def bytes_encode(spark: SparkSession, d: str) -> DataFrame:
+    """Token counts in the vocabulary of bytes."""
+    ids = _read(spark, d, "documents").select(F.explode(tokens.encode_ordinary(F.col("text"), bytes256())).alias("id"))
+    return ids.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(lambda: f"WITH RECURSIVE {sql_bpe(_DOCS)}, counted AS (SELECT p, count(*) AS n FROM pieces GROUP BY p) SELECT v.id, sum(n)::BIGINT AS n FROM (SELECT n, unnest(toks) AS t FROM counted JOIN bpe USING (p)) JOIN vocab v ON v.h = t GROUP BY v.id")
+def bpe_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """How often each token occurs, by encoding each distinct piece once."""
+    return corpus.token_histogram(_read(spark, d, "documents"), "text", vocabulary())
+
+
+@_query(lambda: f"WITH RECURSIVE {sql_bpe(_DOCS)} SELECT key AS doc_id, sum(len(toks))::INT AS n_tokens FROM pieces JOIN bpe USING (p) GROUP BY key")
+def bpe_count(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "documents").select("doc_id", tokens.count_tokens(F.col("text"), vocabulary()).alias("n_tokens"))
+
+
+_FIRST_LAST = "t AS (SELECT key, pos, sub, id FROM (SELECT key, pos, unnest(range(len(toks))) AS sub, unnest(toks) AS h FROM pieces JOIN bpe USING (p)) JOIN vocab USING (h))"
+
+
+@_query(lambda: f"WITH RECURSIVE {sql_bpe(_DOCS, Grammar.O200K)}, {_FIRST_LAST} SELECT key AS doc_id, count(*)::INT AS n_tokens, arg_min(id, pos::BIGINT * 1000000 + sub) AS first_id, arg_max(id, pos::BIGINT * 1000000 + sub) AS last_id, sum(id)::BIGINT AS sum_ids FROM t GROUP BY key")
+def bpe_encode(spark: SparkSession, d: str) -> DataFrame:
+    """Encoded documents, by their length, ends and sum of ids; the case-aware grammar."""
+    e = Encoding("public50k-cased", vocabulary().ranks.items(), grammar=Grammar.O200K)
+    ids = _read(spark, d, "documents").select("doc_id", tokens.encode_ordinary(F.col("text"), e).alias("ids"))
+    total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
+    return ids.select("doc_id", F.size("ids").alias("n_tokens"), F.element_at("ids", 1).alias("first_id"), F.element_at("ids", -1).alias("last_id"), total.alias("sum_ids"))
+
+
+@_query(lambda: f"WITH RECURSIVE {sql_bpe(_ITEMS)}, {_FIRST_LAST} SELECT key AS item_id, (row_number() OVER (PARTITION BY key ORDER BY pos, sub) - 1)::INT AS pos, id FROM t")
+def bpe_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Every token of the benchmark with its place, by the set plan."""
+    return corpus.encode_set(_read(spark, d, "benchmark"), "text", vocabulary(), "item_id")
+
+
+@_query("SELECT (count(*) * 0)::BIGINT AS n_different, (SELECT count(*) FROM benchmark) AS n_items FROM benchmark")
+def plans_agree(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens on which the set plan and the row plan differ."""
+    items = _read(spark, d, "benchmark")
+    rows = items.select("item_id", F.posexplode(tokens.encode_ordinary(F.col("text"), vocabulary())).alias("pos", "id"))
+    different = corpus.differences(corpus.encode_set(items, "text", vocabulary(), "item_id"), rows, ["item_id"], "id")
+    return different.agg(F.count(F.lit(1)).alias("n_different")).crossJoin(items.agg(F.count(F.lit(1)).alias("n_items")))
+
+
+@_query("SELECT doc_id, md5(text) AS digest FROM documents")
+def decode_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents encoded and decoded again."""
+    ids = _read(spark, d, "documents").select("doc_id", tokens.encode_ordinary(F.col("text"), vocabulary()).alias("ids"))
+    return ids.select("doc_id", F.md5(tokens.decode(F.col("ids"), vocabulary()).cast("binary")).alias("digest"))
+
+
+@_query("SELECT item_id, text, NULL::BIGINT AS invalid_id FROM benchmark")
+def decode_by_join(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark decoded from rows of tokens."""
+    rows = corpus.encode_set(_read(spark, d, "benchmark"), "text", vocabulary(), "item_id")
+    return corpus.decode_set(rows, vocabulary(), "item_id").select("item_id", F.col("bytes").cast("string").alias("text"), "invalid_id")
+
+
+@_query(
+    """SELECT l_orderkey, CASE WHEN count(*) FILTER (x > 255) = 0 THEN string_agg(printf('%02X', x), '' ORDER BY l_linenumber, x) END AS bytes_hex,
+arg_min(x, l_linenumber * 1000 + x) FILTER (x > 255) AS invalid_id FROM (SELECT l_orderkey, l_linenumber, l_suppkey * 31 % 259 AS x FROM lineitem) GROUP BY l_orderkey"""
+)
+def decode_invalid(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of numbers, of which some are no tokens, decoded permissively."""
+    ids = F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_suppkey") * 31 % 259).alias("x"))))
+    lists = _read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(ids, lambda r: r["x"]).alias("ids"))
+    found = lists.select("l_orderkey", tokens.try_decode(F.col("ids"), bytes256()).alias("r"))
+    return found.select("l_orderkey", F.hex("r.bytes").alias("bytes_hex"), F.col("r.invalid_id").alias("invalid_id"))
+
+
+_CHAT_SQL = "SELECT conv_id, turn, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' AS t FROM conversations"
+
+
+def _chat(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>"))
+    return _read(spark, d, "conversations").select("conv_id", "turn", text.alias("t"))
+
+
+@_query(f"SELECT conv_id, turn, (strlen(t) - strlen('<|im_start|>') - strlen('<|im_end|>') + 2)::INT AS n_tokens, 256 AS first_id, 257 AS last_id FROM ({_CHAT_SQL})")
+def chat_all_specials(spark: SparkSession, d: str) -> DataFrame:
+    ids = _chat(spark, d).select("conv_id", "turn", tokens.encode_with_special(F.col("t"), chat()).alias("ids"))
+    return ids.select("conv_id", "turn", F.size("ids").alias("n_tokens"), F.element_at("ids", 1).alias("first_id"), F.element_at("ids", -1).alias("last_id"))
+
+
+@_query(f"SELECT conv_id, turn, NULL::INT AS n_tokens, '<|im_end|>' AS error_token, (strlen(t) - strlen('<|im_end|>'))::INT AS error_offset FROM ({_CHAT_SQL})")
+def chat_one_special(spark: SparkSession, d: str) -> DataFrame:
+    """Only the opening marker is allowed: the closing one is reported with its byte offset."""
+    found = _chat(spark, d).select("conv_id", "turn", tokens.try_encode(F.col("t"), chat(), ["<|im_start|>", "unknown"]).alias("r"))
+    return found.select("conv_id", "turn", F.when(F.col("r.ids").isNotNull(), F.size("r.ids")).alias("n_tokens"), "r.error_token", "r.error_offset")
+
+
+@_query(f"SELECT conv_id, turn, '<|im_end|>' AS token, (strlen(t) - strlen('<|im_end|>'))::INT AS token_offset FROM ({_CHAT_SQL})")
+def special_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The first of some special tokens in each message, in Spark expressions alone."""
+    found = _chat(spark, d).select("conv_id", "turn", specials.first(F.col("t"), ["<|endoftext|>", "<|im_end|>"]).alias("r"))
+    return found.select("conv_id", "turn", "r.token", F.col("r.offset").alias("token_offset"))
+
+
+@_query(f"SELECT conv_id, turn, unnest([0, 1, 2]) AS seg, unnest([true, false, true]) AS special, unnest(['<|im_start|>', t[13:-11], '<|im_end|>']) AS part FROM ({_CHAT_SQL})")
+def special_segments(spark: SparkSession, d: str) -> DataFrame:
+    return specials.segments(_chat(spark, d), "t", ["<|im_start|>", "<|im_end|>"], "conv_id", "turn")
+
+
+@_query(lambda: "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {i}, 1)" for n, i in CHAT) + ") t(name, id, n)")
+def special_table(spark: SparkSession, d: str) -> DataFrame:
+    return specials.table(prepare(spark), CHAT)
+
+
+@_query("SELECT doc_id, (sum(strlen(text)) OVER (ORDER BY doc_id) - strlen(text))::BIGINT AS start, (sum(strlen(text)) OVER (ORDER BY doc_id))::BIGINT AS \"end\" FROM documents")
+def batch_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Where each document's tokens lie in one flat list, in the vocabulary of bytes."""
+    counts = _read(spark, d, "documents").select("doc_id", tokens.count_tokens(F.col("text"), bytes256()).alias("n"))
+    return corpus.flat_offsets(counts, "doc_id", "n")
+
+
+@_query(lambda: f"WITH {sql_vocabulary()}, cut AS (SELECT id, h[1:2 * k] AS p, k FROM (SELECT id, h, unnest(range(1, len(h) // 2)) AS k FROM vocab)) SELECT v.id, b.prefix_id FROM vocab v LEFT JOIN (SELECT c.id, arg_max(w.id, k) AS prefix_id FROM cut c JOIN vocab w ON w.h = p GROUP BY c.id) b USING (id)")
+def vocab_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """The longest token that is a proper prefix of each token."""
+    return corpus.next_prefixes(prepare(spark), vocabulary())
+
+
+@_query(
+    lambda: f"""WITH RECURSIVE {sql_bpe(_DOCS)}, c AS (SELECT p, len(toks) AS k, strlen(p) AS size, p IN (SELECT p FROM whole) AS hit, n FROM bpe JOIN (SELECT p, count(*) AS n FROM pieces GROUP BY p) USING (p))
+SELECT sum(n)::BIGINT AS pieces, coalesce(sum(n) FILTER (size = 1), 0)::BIGINT AS single_byte, coalesce(sum(n) FILTER (size > 1 AND hit), 0)::BIGINT AS whole_hit, coalesce(sum(n) FILTER (NOT hit), 0)::BIGINT AS merged, sum(n * k)::BIGINT AS tokens, count(*) AS distinct_pieces FROM c"""
+)
+def profile(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of an encoding run."""
+    return corpus.profile(_read(spark, d, "documents"), "text", vocabulary())
+
+
+@_query("SELECT page_id, (unnest(range(len(l))))::INT AS pos, unnest(l) AS text FROM (SELECT page_id, list_filter(string_split(html, chr(10) || chr(10)), lambda x: x <> '') AS l FROM pages)")
+def corpus_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.paragraphs(_read(spark, d, "pages"), "html", "page_id")
+
+
+@_query("SELECT doc_id, (unnest(range(len(l))))::INT AS pos, unnest(l) AS text FROM (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT doc_id, string_split_regex(text, '\\r?\\n') AS l FROM documents))")
+def corpus_lines(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.lines(_read(spark, d, "documents"), "text", "doc_id")
+
+
+@_query("SELECT count(strlen(text)) AS n, min(strlen(text))::DOUBLE AS least, median(strlen(text)) AS median, avg(strlen(text)) AS mean, stddev_samp(strlen(text)) AS stdev, 100 * stddev_samp(strlen(text)) / avg(strlen(text)) AS cv FROM documents")
+def size_statistics(spark: SparkSession, d: str) -> DataFrame:
+    sizes = _read(spark, d, "documents").select(F.octet_length("text").cast("double").alias("v"))
+    s = corpus.statistics(sizes, "v")
+    return s
+
+
+@_query("SELECT conv_id, turn, strlen(text)::INT AS n_tokens, text AS back, 256 AS n_vocab FROM conversations")
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The same operators called from SQL."""
+    tokens.register(prepare(spark), bytes256(), "b256_")
+    _read(spark, d, "conversations").createOrReplaceTempView("tokloom_messages")
+    return spark.sql("SELECT conv_id, turn, b256_count(text) AS n_tokens, b256_decode(b256_encode(text)) AS back, b256_n_vocab() AS n_vocab FROM tokloom_messages")
+
+
+@_query("SELECT item_id, (unnest(range(strlen(text))))::INT AS pos, unnest(regexp_extract_all(hex(encode(text)), '..')) AS token FROM benchmark")
+def sql_table_function(spark: SparkSession, d: str) -> DataFrame:
+    table.register_tokens(prepare(spark), bytes256(), "b256_tokens")
+    _read(spark, d, "benchmark").createOrReplaceTempView("tokloom_items")
+    return spark.sql("SELECT item_id, t.pos, hex(t.bytes) AS token FROM tokloom_items, LATERAL b256_tokens(text) t")
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 1 WHEN event_id % 3 = 0 THEN 3 ELSE 0 END AS status, CASE WHEN event_id % 5 = 0 OR event_id % 3 = 0 THEN -1 ELSE strlen(event_type) END::INT AS n_tokens FROM events")
+def byte_input(spark: SparkSession, d: str) -> DataFrame:
+    """Untrusted bytes, of which some are null or no UTF-8: statuses instead of errors."""
+    raw = F.col("event_type").cast("binary")
+    data = F.when(F.col("event_id") % 5 == 0, F.lit(None)).when(F.col("event_id") % 3 == 0, F.concat(raw, F.unhex(F.lit("FF")))).otherwise(raw)
+    rows = _read(spark, d, "events").select("event_id", data.alias("data"))
+    return rows.select("event_id", tokens.encode_utf8(F.col("data"), bytes256())["status"].alias("status"), tokens.count_utf8(F.col("data"), bytes256()).alias("n_tokens"))
+
+
+@_query(lambda: f"WITH RECURSIVE {sql_bpe(_DOCS)} SELECT key AS doc_id, sum(len(toks))::INT AS n_tokens FROM pieces JOIN bpe USING (p) GROUP BY key")
+def stream_count(spark: SparkSession, d: str) -> DataFrame:
+    """Documents counted as a stream, read back from its sink."""
+    import uuid
+
+    prepare(spark)
+    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").schema
+    path = f"{d}/documents.parquet"
+    source = streaming.read(spark, path if os.path.isdir(path) else d, schema, pathGlobFilter="*.parquet" if os.path.isdir(path) else "documents.parquet")
+    streaming.write(streaming.counted(source, "text", vocabulary(), "doc_id"), f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out")
 
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql() for name, sql in _oracles.items()}
