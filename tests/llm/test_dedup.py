@@ -121,6 +121,14 @@ def test_near_copies_of_odd_rows(odd, odd_rows):
     assert [i for i, _ in kept].count(18) == 2 and {i for i, _ in kept} >= {1, 3, 4, 5, 6, 7, 8, 10, 14, 15, 16, 17, 18, 19}
 
 
+def test_long_candidate_lists_are_compared_in_blocks(spark, monkeypatch):
+    words = PROSE.split()
+    docs = make(spark, [(i, " ".join([*words[: i % 20], f"new{i}", *words[i % 20 + 1 :]])) for i in range(80)])
+    whole = sorted(map(tuple, minhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr(minhash, "LIST", 7)
+    assert sorted(map(tuple, minhash.near_duplicates(docs).collect())) == whole and len(whole) > 60
+
+
 def test_near_dedup_keeps_one_of_repeated_rows(spark):
     docs = make(spark, [(1, PROSE), (1, PROSE), (2, "something else entirely here")])
     assert sorted(r["doc_id"] for r in minhash.deduplicate(docs).collect()) == [1, 2]

@@ -10,7 +10,7 @@ more are near-duplicates; the groups are the connected components, and the least
 Scale: documents with the same minima become one node, so thousands of copies cost one signature. Equal candidate
 lists of several bands are compared once. Inside a list, components are searched with vectorized one-against-rest
 comparisons that leave out what was already reached: exact, linear for a list of near-copies. There is no cap on a
-list. Components across lists are found by alternating large and small stars over saved edge tables.
+list: one of more than LIST members is compared block against block, in as many pieces. Components across lists are found by alternating large and small stars over saved edge tables.
 With J of 0.5 a pair becomes a candidate with probability 0.92, with 0.6 with 0.996.
 
 Rows: null texts and texts without a word have no signature and are nobody's near-duplicate. A text of fewer than
@@ -34,6 +34,8 @@ from tokloom.session import prepare, save
 PERMUTATIONS, BITS, BANDS, ROWS, NGRAM, THRESHOLD = 160, 4, 40, 4, 3, 0.5
 #: Shingles whose permutations are computed at a time.
 BLOCK = 4096
+#: Members of a candidate list that are compared in one piece; a longer list is cut into blocks, and each pair of blocks is a piece of its own.
+LIST = 20000
 
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
@@ -170,8 +172,11 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     sigs = save(has.mapInArrow(_sign, "id long, h long, f long, sig binary, bands array<long>"), "minhash-signatures")
     nodes = sigs.dropDuplicates(["f"])
     lists = nodes.select("f", F.explode("bands").alias("b")).repartition("b").groupBy("b").agg(F.array_sort(F.collect_list("f")).alias("l")).where(F.size("l") > 1).select(F.xxhash64("l").alias("k"), "l").dropDuplicates(["k"])
-    members = lists.select("k", F.explode("l").alias("f")).join(sigs.select("f", "sig").dropDuplicates(["f"]), "f")
-    candidates = members.groupBy("k").agg(F.collect_list(F.struct("f", "sig")).alias("l")).select("l")
+    blocks = F.ceil(F.size("l") / F.lit(LIST)).cast("int")
+    members = lists.select("k", blocks.alias("n"), F.explode("l").alias("f")).withColumn("i", F.pmod(F.xxhash64("f"), "n").cast("int"))
+    # block i is compared with itself and with every other block j: pieces (i, i) and (i, j)
+    pieces = members.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("k", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "f")
+    candidates = pieces.join(sigs.select("f", "sig").dropDuplicates(["f"]), "f").groupBy("k", "i", "j").agg(F.collect_list(F.struct("f", "sig")).alias("l")).select("l")
     edges = save(candidates.mapInArrow(_verify, "a long, b long").distinct(), "minhash-edges")
     roots = components(edges)
     copies = sigs.groupBy("f").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("f")
