@@ -3,6 +3,8 @@
 import json
 import os
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from hypothesis import given, settings
@@ -11,6 +13,7 @@ from hypothesis import strategies as st
 from tokloom import encoding as E
 from tokloom.functions.grammars import Grammar, pattern
 from tokloom.operators import bpe
+from tokloom.operators import vectorized as V
 from tokloom.sources import blob as B
 from tokloom.sources import importer as I
 
@@ -286,3 +289,44 @@ def test_the_two_forms_of_a_public_vocabulary_agree():
     assert ours == ranks
     with pytest.raises(I.Refused):
         I.classify(d)  # its split is another one
+
+
+PARTS = ["a", "Z", "é", "ß", "1", "²", "٣", " ", "\t", "\n", "\r", "\r\n", "\u00a0", "\u2003", "'", "'s", "'RE", "'ll", "'v", ".", "!?", "中", "\U0001f600", "\u0870", "ſ", "/", "\0", "x" * 30, " the", "1234567"]
+
+
+@has_vocabulary
+@pytest.mark.parametrize("grammar", [Grammar.CL100K, Grammar.QWEN])
+def test_vectorized_encoder_against_the_definition(grammar, monkeypatch):
+    e = E.Encoding("t", B.load_ranks(RANKS), grammar=grammar)
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(PARTS, rng.integers(0, 25))) for _ in range(6000)]
+    want = [e._plain(t) for t in texts]
+    column = pa.array(texts)
+    assert e.encode_column(column).to_pylist() == want and e.count_column(column).to_pylist() == [len(x) for x in want]
+    assert e.encode_column(column.slice(7, 90)).to_pylist() == want[7:97]
+    long = "".join(texts)
+    assert e.encode_column(pa.array([long])).to_pylist() == [e._plain(long)]
+    # a table that fills up, and blocks shorter than a text
+    for name, value in (("MOST", 64), ("BLOCK", 50), ("CHUNK", 200)):
+        monkeypatch.setattr(V, name, value)
+    f = E.Encoding("t", e.ranks.items(), grammar=grammar)
+    assert f.encode_column(column).to_pylist() == want and f.count_column(column).to_pylist() == [len(x) for x in want]
+    assert f.encode_column(pa.array([long])).to_pylist() == [e._plain(long)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab \n\r\t'sS.19\x01é\U0001f600", max_size=30) | st.none(), max_size=6), st.sampled_from([Grammar.CL100K, Grammar.QWEN, Grammar.O200K]), st.booleans())
+def test_columns_equal_single_texts(texts, grammar, nfc):
+    e = E.Encoding("t", E.toy().ranks.items(), grammar=grammar, nfc=nfc)
+    column = pa.array(texts, pa.string())
+    want = [None if t is None else e.encode_ordinary(t) for t in texts]
+    assert e.encode_column(column).to_pylist() == want and e.count_column(column).to_pylist() == [None if x is None else len(x) for x in want]
+    assert [x and x["bytes"].decode() for x in e.decode_column(pa.array(want, pa.list_(pa.int64()))).to_pylist()] == [t if t is None else e.normalize(t) for t in texts]
+
+
+def test_columns_of_unknown_ids():
+    e = E.toy()
+    column = pa.array([[97, 256], [], None, [999, 98, 5000], [98, -1], [97, None], [257]], pa.list_(pa.int64()))
+    want = [(b"aab", None), (b"", None), None, (None, 999), (None, -1), (None, -1), (b"abc", None)]
+    assert [x and (x["bytes"], x["invalid_id"]) for x in e.decode_column(column).to_pylist()] == want
+    assert [x and (x["bytes"], x["invalid_id"]) for x in e.decode_column(column.slice(2, 3)).to_pylist()] == want[2:5]

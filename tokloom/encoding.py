@@ -9,9 +9,12 @@ from collections.abc import Callable, Iterable
 from functools import cached_property
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 from tokloom.functions.grammars import Grammar, pattern
+from tokloom.operators import vectorized
 from tokloom.operators.bpe import encode_piece
 from tokloom.sources.blob import KNOWN, UNKNOWN_GRAMMAR, Blob, load_ranks, load_specials
 
@@ -209,6 +212,55 @@ class Encoding:
     def count_batch(self, texts: list[str]) -> list[int]:
         return [self.count(t) for t in texts]
 
+    @cached_property
+    def _vectorized(self) -> vectorized.Encoder | None:
+        """None for the case-aware grammar, or where tiktoken or regex is missing."""
+        if self.grammar is Grammar.O200K:
+            return None
+        try:
+            return vectorized.Encoder(self.ranks, self.grammar)
+        except ImportError:
+            return None
+
+    def _texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+        """The normalized texts of a column for the vectorized encoder; None if it cannot take them."""
+        if not self._vectorized:
+            return None
+        raw, at = vectorized.buffers(column)
+        if self.nfc and len(raw) and raw.max() >= 0x80:
+            raw, at = vectorized.buffers(pa.array([t if t is None else self.normalize(t) for t in column.to_pylist()], pa.string()))
+        return None if (raw == vectorized.MARK).any() else (raw, at)
+
+    def encode_column(self, column: pa.Array) -> pa.Array:
+        """The ids of each text of an Arrow array; null for null."""
+        texts = self._texts(column)
+        if texts is None:
+            return pa.array([None if t is None else self.encode_ordinary(t) for t in column.to_pylist()], pa.list_(pa.int32()))
+        ids, at = self._vectorized.encode(*texts)
+        return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids), mask=column.is_null())
+
+    def count_column(self, column: pa.Array) -> pa.Array:
+        texts = self._texts(column)
+        if texts is None:
+            return pa.array([None if t is None else self.count(t) for t in column.to_pylist()], pa.int32())
+        return pa.array(self._vectorized.count(*texts).astype(np.int32), mask=np.asarray(column.is_null()))
+
+    @cached_property
+    def _decoder(self) -> vectorized.Decoder:
+        return vectorized.Decoder(self.by_id)
+
+    def decode_column(self, column: pa.Array) -> pa.Array:
+        """struct(bytes, invalid_id) of each list of ids of an Arrow array; bytes is null where an id is unknown."""
+        null = column.is_null()
+        flat, at = column.flatten(), np.r_[0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))].astype(np.int64)
+        # a null among the ids is no id
+        data, ends, wrong, bad = self._decoder.decode(flat.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), at)
+        invalid = np.zeros(len(column), np.int64)
+        invalid[wrong] = bad
+        whole = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+        texts = whole.take(pa.array(np.arange(len(column)), mask=wrong)) if wrong.any() else whole
+        return pa.StructArray.from_arrays([texts, pa.array(invalid, mask=~wrong)], ["bytes", "invalid_id"], mask=null)
+
     def shared(self, spark: SparkSession):
         """The encoding as a broadcast blob, made once per application."""
         key = spark.sparkContext.applicationId

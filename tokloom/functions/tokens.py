@@ -8,12 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from tokloom.encoding import DisallowedSpecial, Encoding, InvalidToken, allowed_ids, worker_encoding
+from tokloom.encoding import DisallowedSpecial, Encoding, allowed_ids, worker_encoding
 from tokloom.session import prepare
 
 _IDS = pa.list_(pa.int32())
 _ENCODED = pa.struct([("ids", _IDS), ("error_token", pa.string()), ("error_offset", pa.int32())])
-_DECODED = pa.struct([("bytes", pa.binary()), ("invalid_id", pa.int64())])
 
 
 def _session() -> SparkSession:
@@ -30,7 +29,7 @@ def encode_ordinary(text: Column, encoding: Encoding) -> Column:
 
     @F.arrow_udf("array<int>")
     def run(column: pa.Array) -> pa.Array:
-        return _each(column, worker_encoding(blob.value).encode_ordinary, _IDS)
+        return worker_encoding(blob.value).encode_column(column)
 
     return run(text)
 
@@ -41,7 +40,7 @@ def count_tokens(text: Column, encoding: Encoding) -> Column:
 
     @F.arrow_udf("int")
     def run(column: pa.Array) -> pa.Array:
-        return _each(column, worker_encoding(blob.value).count, pa.int32())
+        return worker_encoding(blob.value).count_column(column)
 
     return run(text)
 
@@ -84,15 +83,7 @@ def try_decode(ids: Column, encoding: Encoding) -> Column:
 
     @F.arrow_udf("struct<bytes: binary, invalid_id: bigint>")
     def run(column: pa.Array) -> pa.Array:
-        e = worker_encoding(blob.value)
-
-        def one(x: list) -> dict:
-            try:
-                return {"bytes": e.decode_bytes(x), "invalid_id": None}
-            except InvalidToken as bad:
-                return {"bytes": None, "invalid_id": bad.token_id}
-
-        return _each(column, one, _DECODED)
+        return worker_encoding(blob.value).decode_column(column)
 
     return run(ids.cast("array<bigint>"))
 
@@ -138,7 +129,7 @@ def register(spark: SparkSession, encoding: Encoding, prefix: str = "tok_") -> N
 
     @F.arrow_udf("array<int>")
     def enc(column: pa.Array) -> pa.Array:
-        return _each(column, worker_encoding(blob.value).encode_ordinary, _IDS)
+        return worker_encoding(blob.value).encode_column(column)
 
     @F.arrow_udf("array<int>")
     def special(column: pa.Array) -> pa.Array:
@@ -146,7 +137,7 @@ def register(spark: SparkSession, encoding: Encoding, prefix: str = "tok_") -> N
 
     @F.arrow_udf("int")
     def count(column: pa.Array) -> pa.Array:
-        return _each(column, worker_encoding(blob.value).count, pa.int32())
+        return worker_encoding(blob.value).count_column(column)
 
     @F.arrow_udf("string")
     def dec(column: pa.Array) -> pa.Array:
