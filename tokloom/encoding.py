@@ -6,7 +6,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Callable, Iterable
-from functools import cached_property
+from functools import cached_property, partial
 from pathlib import Path
 
 import numpy as np
@@ -218,7 +218,7 @@ class Encoding:
         if self.grammar is Grammar.O200K:
             return None
         try:
-            return vectorized.Encoder(self.ranks, self.grammar)
+            return vectorized.Encoder(self.ranks, partial(vectorized.pieces, digits=1 if self.grammar is Grammar.QWEN else 3))
         except ImportError:
             return None
 

@@ -7,10 +7,11 @@ it lacks are encoded once each by tiktoken, in one call; longer ones are encoded
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 
-from tokloom.functions.grammars import Grammar
 from tokloom.functions.unicode import members
 
 #: Bytes of text that are worked on at a time; a longer text is one chunk by itself.
@@ -65,7 +66,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def _characters(raw: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
+def characters(raw: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
     """(first byte of each character, or None if each is one byte; class of each)."""
     table = classes()
     if not len(raw) or raw.max() < 0x80:
@@ -81,7 +82,7 @@ def _characters(raw: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
     return first, found
 
 
-def _moved(x: np.ndarray, by: int, none: np.ndarray) -> np.ndarray:
+def moved(x: np.ndarray, by: int, none: np.ndarray) -> np.ndarray:
     """What stands one place before (1) or after (-1) each place; 0 at the places ``none``."""
     out = np.zeros_like(x)
     if by > 0:
@@ -96,15 +97,15 @@ def pieces(raw: np.ndarray, at: np.ndarray, digits: int) -> tuple[np.ndarray, np
     """(first byte of each piece, pieces before each text) of the texts between the offsets ``at``; ``digits`` is the most of them in a piece."""
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    byte, c = _characters(raw)
+    byte, c = characters(raw)
     n = len(c)
     edge = at if byte is None else np.searchsorted(byte, at)
     some = np.diff(edge) > 0
     begins, ends = edge[:-1][some], edge[1:][some] - 1
-    before, after = _moved(c, 1, begins), _moved(c, -1, ends)
+    before, after = moved(c, 1, begins), moved(c, -1, ends)
     # an unattached other: a space before it belongs to it, and it leads the letters after it if it is alone
     other = (c & OTHER != 0) & (before & (OTHER | SPACE) == 0)
-    leads = _moved(other | (c & (BLANK | LINE_END) == BLANK), 1, begins)
+    leads = moved(other | (c & (BLANK | LINE_END) == BLANK), 1, begins)
     alone = (c & BLANK != 0) & ((before | after) & BLANK == 0)
     cut = other | ((c & LETTER > before & LETTER) & ~leads) | (c & NUMBER > before & NUMBER) | (alone & ~((c & LINE_END != 0) & (before & OTHER != 0)))
 
@@ -147,10 +148,11 @@ def pieces(raw: np.ndarray, at: np.ndarray, digits: int) -> tuple[np.ndarray, np
 class Encoder:
     """Encodes texts given as Arrow arrays; it keeps what it has seen."""
 
-    def __init__(self, ranks: dict[bytes, int], grammar: Grammar):
+    def __init__(self, ranks: dict[bytes, int], split: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]):
+        """``split``: from bytes and offsets of texts to the first byte of each piece and the pieces before each text."""
         import tiktoken
 
-        self.digits = {Grammar.CL100K: 3, Grammar.QWEN: 1}[grammar]
+        self.split = split
         self.marked = tiktoken.Encoding("pieces", pat_str=r"[^\x01]+|\x01", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.mark_id = ranks[bytes([MARK])]
         classes()
@@ -235,7 +237,7 @@ class Encoder:
         while first < len(at) - 1:
             end = max(first + 1, int(np.searchsorted(at, at[first] + CHUNK, "right")) - 1)
             part, offsets = raw[at[first] : at[end]], at[first : end + 1] - at[first]
-            start, before = pieces(part, offsets, self.digits)
+            start, before = self.split(part, offsets)
             yield self._blocks(part, start), before
             first = end
 
