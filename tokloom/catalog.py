@@ -39,7 +39,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ---- SQL building blocks -------------------------------------------------------------------------------------------------------
+# SQL building blocks
 # RE2 has no look-ahead: the place where a run of blanks is cut is marked with U+0001 first, and the mark dropped after.
 _WS = r"\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _HW = r"\t\x0b\x0c \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -89,7 +89,7 @@ _DOCS = "SELECT doc_id AS key, text FROM documents"
 _ITEMS = "SELECT item_id AS key, text FROM benchmark"
 
 
-# ---- queries -------------------------------------------------------------------------------------------------------------------
+# Queries
 _queries: dict[str, Callable] = {}
 _oracles: dict[str, Callable[[], str]] = {}
 

@@ -87,10 +87,10 @@ class Blob:
             raise BadMagic("bad magic: not a vocabulary blob")
         (version,) = take("<H")
         if version > VERSION:
-            raise UnsupportedVersion(f"unsupported format version {version} (max supported {VERSION})")
+            raise UnsupportedVersion(f"version {version} of the format; this reads up to {VERSION}")
         _, expected = take("<HQ")
         if (actual := fnv1a(data[at:])) != expected:
-            raise ChecksumMismatch(f"checksum mismatch: header {expected:#x}, computed {actual:#x}")
+            raise ChecksumMismatch(f"the data's checksum is {actual:#x}, not {expected:#x} as the header says")
         try:
             name = raw(take("<H")[0]).decode()
         except UnicodeDecodeError as e:

@@ -37,17 +37,17 @@ def classify(spec: dict) -> tuple[Grammar, bool]:
     normalizer = spec.get("normalizer")
     if normalizer is not None and normalizer.get("type") != "NFC":
         raise Refused(f"REFUSED: normalizer {normalizer.get('type')!r}; none or NFC is supported")
-    kind = (spec.get("model") or {}).get("type")
-    if kind != "BPE":
-        raise Refused(f"REFUSED: model {kind!r}; byte-level BPE is supported")
+    model = spec.get("model") or {}
+    if model.get("type") != "BPE":
+        raise Refused(f"REFUSED: {model.get('type')!r} is no byte-level BPE")
     steps = spec.get("pre_tokenizer") or {}
     steps = steps.get("pretokenizers", []) if steps.get("type") == "Sequence" else [steps]
     if not any(s.get("type") == "ByteLevel" for s in steps):
         raise Refused("REFUSED: no ByteLevel pre-tokenizer")
-    splits = [s for s in steps if s.get("type") == "Split"]
-    if len(splits) != 1:
-        raise Refused(f"REFUSED: {len(splits)} Split pre-tokenizers; exactly one is supported")
-    expression = splits[0].get("pattern", {}).get("Regex")
+    expressions = [s.get("pattern", {}).get("Regex") for s in steps if s.get("type") == "Split"]
+    if not expressions or expressions[1:]:
+        raise Refused(f"REFUSED: pieces are split by {len(expressions)} expressions, not by one")
+    expression = expressions[0]
     if expression not in SPLIT_PATTERNS:
         raise Refused(f"REFUSED: no grammar for the pattern {expression!r}")
     return SPLIT_PATTERNS[expression], normalizer is not None
