@@ -3,11 +3,11 @@ from collections import Counter, defaultdict
 from itertools import product
 
 import numpy as np
-import tiktoken
-from tests.llm.conftest import make
+import pyarrow as pa
 
 from tokloom.llm import lengths, packing, sharding
 from tokloom.llm import tokens as K
+from tokloom.operators import vectorized as V
 
 
 def encoder():
@@ -149,7 +149,16 @@ def test_sharding_of_odd_rows(odd, odd_rows, empty):
     assert sharding.assign(empty).count() == 0
 
 
-def test_encoder_merges_by_rank():
-    e = encoder()
-    assert e.decode(e.encode_ordinary("round trip, naïve 日本")) == "round trip, naïve 日本" and isinstance(e, tiktoken.Encoding)
-    assert make is not None
+def test_counts_and_pieces_against_another_encoder():
+    rng = random.Random(5)
+    parts = [*"aZéß1²٣ \t\n\r\u00a0\u2003'.,!-/中ſ\0\x01", "\U0001f600", "'s", "'RE", "'ll", "'ve", "  ", "\r\n", " '", "x" * 30, " the"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(5000)]
+    with open(K.RANKS, "rb") as f:
+        count = K._counter(K.RANKS, f.read())
+    want = [encoder().encode_ordinary(t) for t in texts]
+    assert count(pa.array([*texts, None])).to_pylist() == [*map(len, want), None]
+    plain, fast = [t for t in texts if "\x01" not in t], K._loaded[("counter", K.RANKS)]
+    ids, at = fast.encode(*V.buffers(pa.array(plain)))
+    assert np.split(ids, at[1:-1])[0].tolist() == encoder().encode_ordinary(plain[0]) and ids.tolist() == [i for t in plain for i in encoder().encode_ordinary(t)]
+    whole = "".join(plain)
+    assert count(pa.array([whole])).to_pylist() == [len(encoder().encode_ordinary(whole))]
