@@ -306,6 +306,11 @@ def test_vectorized_encoder_against_the_definition(grammar, monkeypatch):
     assert e.encode_column(column.slice(7, 90)).to_pylist() == want[7:97]
     long = "".join(texts)
     assert e.encode_column(pa.array([long])).to_pylist() == [e._plain(long)]
+    # long pieces begin like short ones, with lengths that are equal modulo 256
+    for n in ([279, 23], [23, 279], [22, 24, 23, 535, 279, 23]):
+        runs = [" ".join("-" * k for k in n), "x".join("=" * k for k in n)]
+        assert e.encode_column(pa.array(runs)).to_pylist() == [e._plain(t) for t in runs]
+        assert E.Encoding("t", e.ranks.items(), grammar=grammar).encode_column(pa.array(runs)).to_pylist() == [e._plain(t) for t in runs]
     # a table that fills up, and blocks shorter than a text
     for name, value in (("MOST", 64), ("BLOCK", 50), ("CHUNK", 200)):
         monkeypatch.setattr(V, name, value)

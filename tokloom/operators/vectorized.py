@@ -210,8 +210,8 @@ class Encoder:
             todo, s = todo[on], (s[on] + 1) & last
         if len(new := np.flatnonzero(value < 0)):
             _, first, of = np.unique(h[new], return_index=True, return_inverse=True)
-            same = (size[new] <= LONGEST) & np.logical_and.reduce([x[new] == x[new[first]][of] for x in w])
             fit = size[new[first]] <= LONGEST
+            same = (size[new] <= LONGEST) & fit[of] & np.logical_and.reduce([x[new] == x[new[first]][of] for x in w])
             one, apart = new[first[fit]], new[~same]  # to be kept, and longer ones (or such as share a hash) for this call alone
             number = np.cumsum(fit) - 1
             value[new[same]] = self.n + number[of[same]]
