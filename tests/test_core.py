@@ -306,6 +306,9 @@ def test_vectorized_encoder_against_the_definition(grammar, monkeypatch):
     assert e.encode_column(column.slice(7, 90)).to_pylist() == want[7:97]
     long = "".join(texts)
     assert e.encode_column(pa.array([long])).to_pylist() == [e._plain(long)]
+    each = [p for t in texts[:500] for p in regex.findall(E._python(pattern(grammar, True, "rust")), t)] + ["", "-" * 300, "no one piece\n", "\x01"]
+    for column_of in (each, each[:-1]):
+        assert e.encode_pieces(pa.array(column_of)).to_pylist() == [bpe.encode_piece(p.encode(), e.ranks) for p in column_of]
     # long pieces begin like short ones, with lengths that are equal modulo 256
     for n in ([279, 23], [23, 279], [22, 24, 23, 535, 279, 23]):
         runs = [" ".join("-" * k for k in n), "x".join("=" * k for k in n)]

@@ -214,17 +214,15 @@ class Encoding:
 
     @cached_property
     def _vectorized(self) -> vectorized.Encoder | None:
-        """None for the case-aware grammar, or where tiktoken or regex is missing."""
-        if self.grammar is Grammar.O200K:
-            return None
+        """None where tiktoken or regex is missing."""
         try:
             return vectorized.Encoder(self.ranks, partial(vectorized.pieces, digits=1 if self.grammar is Grammar.QWEN else 3))
         except ImportError:
             return None
 
     def _texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
-        """The normalized texts of a column for the vectorized encoder; None if it cannot take them."""
-        if not self._vectorized:
+        """The normalized texts of a column for the vectorized encoder; None if it cannot take them, as with the case-aware grammar."""
+        if self.grammar is Grammar.O200K or not self._vectorized:
             return None
         raw, at = vectorized.buffers(column)
         if self.nfc and len(raw) and raw.max() >= 0x80:
@@ -239,6 +237,14 @@ class Encoding:
         ids, at = self._vectorized.encode(*texts)
         return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids), mask=column.is_null())
 
+    def encode_pieces(self, column: pa.Array) -> pa.Array:
+        """The same for an array of pieces; none is null."""
+        raw, at = vectorized.buffers(column)
+        if not self._vectorized or (raw == vectorized.MARK).any():
+            return pa.array([encode_piece(p.encode(), self.ranks) for p in column.to_pylist()], pa.list_(pa.int32()))
+        ids, at = self._vectorized.encode_whole(raw, at)
+        return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+
     def count_column(self, column: pa.Array) -> pa.Array:
         texts = self._texts(column)
         if texts is None:

@@ -255,12 +255,24 @@ class Encoder:
         for blocks, before in self._chunks(raw, at):
             counts = [np.zeros(1, np.int64)]
             for low, count in blocks:
-                total = np.cumsum(count)
-                out.append(self.ids.take(np.repeat(low - total + count, count) + np.arange(total[-1])))
+                out.append(self._gathered(low, count))
                 counts.append(count)
             sizes.append(np.diff(np.cumsum(np.concatenate(counts))[before]))
         return np.concatenate(out), np.cumsum(np.concatenate(sizes))
 
+    def encode_whole(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of texts each of which is one piece."""
+        some = np.diff(at) > 0
+        out, counts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for low, count in self._blocks(raw, at[:-1][some]):
+            out.append(self._gathered(low, count))
+            counts.append(count)
+        return np.concatenate(out), np.cumsum(np.concatenate(counts))[np.r_[0, np.cumsum(some)]]
+
+    def _gathered(self, low: np.ndarray, count: np.ndarray) -> np.ndarray:
+        total = np.cumsum(count)
+        return self.ids.take(np.repeat(low - total + count, count) + np.arange(total[-1]))
+
     def count(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The number of ids of each text."""
         sizes = [np.zeros(0, np.int64)]

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tokloom.encoding import Encoding, worker_encoding
 from tokloom.functions.grammars import pieces
 from tokloom.functions.unicode import nfc
-from tokloom.operators.bpe import encode_piece
 from tokloom.session import prepare
 
 #: A vocabulary is broadcast up to so many tokens, about 64 bytes each; beyond, its joins shuffle.
@@ -49,10 +48,9 @@ def piece_table(found: DataFrame, encoding: Encoding) -> DataFrame:
 
 def _merge(blob):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = worker_encoding(blob.value).ranks
+        encode = worker_encoding(blob.value).encode_pieces
         for b in batches:
-            ids = [encode_piece(p.as_py().encode(), ranks) for p in b.column(0)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["piece", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), encode(b.column(0))], names=["piece", "n", "ids"])
 
     return run
 
