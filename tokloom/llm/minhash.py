@@ -7,8 +7,8 @@ candidates. Two signatures agree in a slot with probability J + (1 - J) / 2^BITS
 and a bit count, gives an estimate of the Jaccard similarity J corrected for chance. Pairs estimated at THRESHOLD or
 more are near-duplicates; the groups are the connected components, and the least doc_id of each stays.
 
-Scale: documents with the same minima become one node, so thousands of copies cost one signature. Equal candidate
-lists of several bands are compared once. Inside a list, components are searched with vectorized one-against-rest
+Scale: documents with the same minima become one node, so thousands of copies cost one signature. Candidate
+lists of several bands that are equal as sets are compared once. Inside a list, components are searched with vectorized one-against-rest
 comparisons that leave out what was already reached: exact, linear for a list of near-copies. There is no cap on a
 list: one of more than LIST members is compared block against block, in as many pieces. Components across lists are found by alternating large and small stars over saved edge tables.
 With J of 0.5 a pair becomes a candidate with probability 0.92, with 0.6 with 0.996.
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokloom.llm import words as W
@@ -171,9 +171,13 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     has = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), text_key(F.col(text)).alias("h"), F.col(text).alias("t"))
     sigs = save(has.mapInArrow(_sign, "id long, h long, f long, sig binary, bands array<long>"), "minhash-signatures")
     nodes = sigs.dropDuplicates(["f"])
-    lists = nodes.select("f", F.explode("bands").alias("b")).repartition("b").groupBy("b").agg(F.array_sort(F.collect_list("f")).alias("l")).where(F.size("l") > 1).select(F.xxhash64("l").alias("k"), "l").dropDuplicates(["k"])
-    blocks = F.ceil(F.size("l") / F.lit(LIST)).cast("int")
-    members = lists.select("k", blocks.alias("n"), F.explode("l").alias("f")).withColumn("i", F.pmod(F.xxhash64("f"), "n").cast("int"))
+    # a band's members are counted and hashed as a set, never gathered in one row; most bands have one and end here
+    count = F.count(F.lit(1)).over(Window.partitionBy("b"))
+    pairs = save(nodes.select("f", F.explode("bands").alias("b")).withColumn("c", count).where("c > 1"), "minhash-bands")
+    # of bands with equal members one goes on
+    sets = pairs.groupBy("b", "c").agg(F.bit_xor(F.xxhash64("f")).alias("x"), F.bit_xor(F.xxhash64("f", F.lit(1))).alias("y"))
+    lists = sets.groupBy("c", "x", "y").agg(F.min("b").alias("b")).select("b", F.ceil(F.col("c") / LIST).cast("int").alias("n"))
+    members = pairs.join(lists, "b").select(F.col("b").alias("k"), "n", "f").withColumn("i", F.pmod(F.xxhash64("f"), "n").cast("int"))
     # block i is compared with itself and with every other block j: pieces (i, i) and (i, j)
     pieces = members.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("k", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "f")
     candidates = pieces.join(sigs.select("f", "sig").dropDuplicates(["f"]), "f").groupBy("k", "i", "j").agg(F.collect_list(F.struct("f", "sig")).alias("l")).select("l")
