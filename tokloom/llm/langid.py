@@ -51,8 +51,8 @@ def features(raw: np.ndarray, at: np.ndarray) -> tuple[W.Words, np.ndarray, np.n
     w = W.words(raw, at, low)
     n = len(raw)
     inside = np.zeros(n + 1, np.int8)
-    np.add.at(inside, w.start, 1)
-    np.add.at(inside, w.end, -1)
+    inside[w.start] += 1  # no two words begin or end at one place
+    inside[w.end] -= 1
     mask = np.cumsum(inside[:n]).astype(bool)
     b = np.zeros(n + 3, np.uint32)
     b[1 : n + 1] = np.where(mask, low, 0)  # what is not in a word is 0, so n-grams see the edges of words
@@ -73,13 +73,13 @@ def features(raw: np.ndarray, at: np.ndarray) -> tuple[W.Words, np.ndarray, np.n
 
 def emissions(m: Model, raw: np.ndarray, at: np.ndarray) -> tuple[W.Words, np.ndarray]:
     w, grams, mask, slots = features(raw, at)
-    score = m.weight[slots[:, 0]]
+    score = m.weight.take(slots[:, 0], axis=0)
     for k in range(1, slots.shape[1]):
-        score += m.weight[slots[:, k]]
+        score += m.weight.take(slots[:, k], axis=0)
     if len(w.hash):
-        each = m.weight[grams[0]]
-        each += m.weight[grams[1]]
-        each[~mask] = 0
+        each = m.weight.take(grams[0], axis=0)
+        each += m.weight.take(grams[1], axis=0)
+        each *= mask[:, None]
         # bytes between words add nothing, so sums from start to start are those of the words
         score += np.add.reduceat(each, w.start, axis=0) / (w.end - w.start)[:, None] * 3
         score += _lexicon(m, w)
@@ -90,7 +90,7 @@ def _lexicon(m: Model, w: W.Words) -> np.ndarray:
     if not len(m.lexicon):
         return np.zeros((len(w.hash), len(m.langs)), np.float32)
     i = np.minimum(np.searchsorted(m.lexicon, w.hash), len(m.lexicon) - 1)
-    return np.where((m.lexicon[i] == w.hash)[:, None], m.boost[m.owner[i]], 0)
+    return np.where((m.lexicon[i] == w.hash)[:, None], m.boost.take(m.owner.take(i), axis=0), 0)
 
 
 def posteriors(m: Model, score: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,17 +98,20 @@ def posteriors(m: Model, score: np.ndarray, first: np.ndarray) -> tuple[np.ndarr
     n, L = score.shape
     e = np.exp(score - score.max(axis=1, keepdims=True)).astype(np.float64)
     A, init = np.exp(m.step).astype(np.float64), np.exp(m.start).astype(np.float64)
-    T = max(1, int(np.sqrt(n)))
+    T = max(1, int(np.sqrt(n) / 3))  # a step over all runs costs more than one between runs
     B = -(-n // T)
     pad = B * T - n
-    E = np.concatenate([e, np.ones((pad, L))]).reshape(B, T, L)
-    S = np.concatenate([first, np.ones(pad, bool)]).reshape(B, T)
+    # by place in the run, then by run
+    E = np.ascontiguousarray(np.concatenate([e, np.ones((pad, L))]).reshape(B, T, L).swapaxes(0, 1))
+    resets = [np.flatnonzero(s) for s in np.concatenate([first, np.ones(pad, bool)]).reshape(B, T).T]
 
     def into(v: np.ndarray, t: int) -> np.ndarray:
-        """One word on: v (B, ..., L) are messages before word t of each run."""
-        total = v.sum(axis=-1, keepdims=True)
-        moved = np.where(S[:, t].reshape(B, *[1] * (v.ndim - 1)), total * init, v @ A) * E[:, t].reshape(B, *[1] * (v.ndim - 2), L)
-        return moved / moved.sum(axis=-1 if v.ndim == 2 else (-1, -2), keepdims=True)
+        """One word on: v (B, L) or (B, L, L) are messages before word t of each run."""
+        moved = (v.reshape(-1, L) @ A).reshape(v.shape)
+        moved[resets[t]] = v[resets[t]].sum(axis=-1, keepdims=True) * init
+        moved *= E[t] if v.ndim == 2 else E[t][:, None]
+        moved /= moved.sum(axis=-1 if v.ndim == 2 else (-1, -2), keepdims=True)
+        return moved
 
     M = np.broadcast_to(np.eye(L), (B, L, L))
     for t in range(T):
@@ -118,30 +121,25 @@ def posteriors(m: Model, score: np.ndarray, first: np.ndarray) -> tuple[np.ndarr
         enter[k] = v
         v = v @ M[k]
         v /= v.sum()
-    alpha, v = np.empty((B, T, L)), enter
+    alpha, v = np.empty((T, B, L)), enter
     for t in range(T):
         v = into(v, t)
-        alpha[:, t] = v
-
-    def back(u: np.ndarray, t: int) -> np.ndarray:
-        """Messages to word t - 1 from those to word t: u (B, L, ...)."""
-        x = E[:, t].reshape(B, L, *[1] * (u.ndim - 2)) * u
-        reset = np.tensordot(x, init, axes=([1], [0]))[:, None]
-        moved = np.where(S[:, t].reshape(B, *[1] * (u.ndim - 1)), np.broadcast_to(reset, u.shape), np.moveaxis(np.tensordot(x, A, axes=([1], [1])), -1, 1))
-        return moved / moved.sum(axis=1 if u.ndim == 2 else (1, 2), keepdims=True)
+        alpha[t] = v
 
     leave, u = np.empty((B, L)), np.ones(L)
-    R = np.ascontiguousarray(M)  # the same product, up to scale, moves backward messages over a run
     for k in range(B - 1, -1, -1):
         leave[k] = u
-        u = R[k] @ u
+        u = M[k] @ u  # the same product, up to scale, moves backward messages over a run
         u /= u.sum()
-    post, u = np.empty((B, T, L)), leave
+    post, u = np.empty((T, B, L)), leave
     for t in range(T - 1, -1, -1):
-        p = alpha[:, t] * u
-        post[:, t] = p / p.sum(axis=1, keepdims=True)
-        u = back(u, t)
-    return post.reshape(-1, L)[:n], alpha.reshape(-1, L)[:n]
+        p = alpha[t] * u
+        post[t] = p / p.sum(axis=1, keepdims=True)
+        x = E[t] * u
+        u = x @ A.T
+        u[resets[t]] = (x[resets[t]] @ init)[:, None]
+        u /= u.sum(axis=1, keepdims=True)
+    return tuple(x.swapaxes(0, 1).reshape(-1, L)[:n] for x in (post, alpha))
 
 
 def _first(w: W.Words) -> np.ndarray:
