@@ -77,6 +77,32 @@ def test_leaks_of_odd_rows(spark, odd, odd_rows, empty):
     assert D.leaks(odd, none).count() == 0 and D.remove_leaks(odd, none).count() == len(odd_rows)
 
 
+@pytest.mark.parametrize("verbatim", [False, True])
+@pytest.mark.parametrize("every", [4, 5, 6])
+def test_leaks_with_an_edit_in_every_few_words(spark, every, verbatim):
+    items = [(k, [f"i{k}w{j}" for j in range(24 + k)]) for k in range(6)]
+    edited = [(k, " ".join(["before", *(f"new{j}" if j % every == every - 1 else x for j, x in enumerate(q)), "after"])) for k, q in items]
+    texts = [(k, " ".join(q)) for k, q in items]
+    docs = edited + ([(100 + k, t) for k, t in texts] if verbatim else [])
+    true = brute_leaks(docs, texts)
+    assert {(k, k) for k, _ in items} <= true
+    assert {(r["doc_id"], r["item_id"]) for r in D.leaks(make(spark, docs), spark.createDataFrame(texts, "item_id long, text string")).collect()} == true
+
+
+def test_passages_left_out_cannot_reach_the_threshold():
+    rng = np.random.default_rng(4)
+    size = rng.integers(3, 20, 40)
+    items = D.Items(list(range(40)), [" ".join(f"w{x}" for x in rng.integers(0, 30, n)) for n in size])
+    raw = np.frombuffer(" ".join(f"w{x}" for x in rng.integers(0, 30, 3000)).encode(), np.uint8)
+    w = W.words(raw, np.array([0, len(raw)]))
+    item, begin = rng.integers(0, 40, 2500), rng.integers(0, 2900, 2500)
+    end = begin + rng.integers(1, 60, 2500)
+    shared = D.shared_words(items, item, w, begin, end)
+    for k in range(0, 2500, 9):
+        a, b = items.words[items.at[item[k]] : items.at[item[k] + 1]].tolist(), w.hash[begin[k] : end[k]].tolist()
+        assert shared[k] == sum(x in b for x in a) and slow_align(a, b) <= D.MATCH * shared[k]
+
+
 def test_leaks_of_the_tables(spark, sf_dir):
     docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     plain = lambda t: " " + " ".join(re.findall(r"\w+", t.lower())) + " "

@@ -1,13 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-A first pass over the corpus counts every word n-gram of the benchmark in all documents; the counts, one number per benchmark n-gram and
-task, are summed. Of every SPREAD neighbouring n-grams of an item the one that is rarest in the corpus becomes a seed, so that every run of
-SPREAD + GRAM - 1 unedited words holds a seed, however often the item itself was copied. A second pass finds the seeds in each document
+Every word n-gram of an item is a seed, however rare or common in the corpus, so every run of GRAM unedited words holds one, also beside edited words and where
+verbatim copies of the item are in the corpus too. One pass over the corpus finds the seeds in each document
 and aligns the item with the passage around them by Smith-Waterman over words (match 2, mismatch and gap -1). The score is divided by that of the item with itself;
-a document with a score of at least THRESHOLD has leaked the item, in whole, in part, edited or paraphrased.
+a document with a score of at least THRESHOLD has leaked the item, in whole, in part, edited or paraphrased. A passage that holds too few words of the item, in any order, to
+score as much is not aligned; this leaves out no leak.
 
-Both passes are maps: no text is shuffled, and only flagged pairs leave the second. The benchmark side is broadcast in parts of at most PART_WORDS
-words; a larger benchmark is worked off part by part, each with its own passes, so what a worker holds does not grow. There is no cap on candidates.
+The pass is a map: nothing is shuffled, and only flagged pairs leave it. The benchmark side is broadcast in parts of at most PART_WORDS
+words; a larger benchmark is worked off part by part, each with a pass of its own, so what a worker holds does not grow. There is no cap on candidates.
 
 Rows: null and empty texts match nothing; items that are null or without a word are left out, and one of fewer than GRAM words is one seed of all its words and is
 found only where it stands alone or by its whole run. Repeated rows count each and are flagged alike; items of equal text are reported each. Extra columns are of no matter.
@@ -28,10 +28,12 @@ from tokloom.llm import words as W
 from tokloom.llm.rows import positional
 from tokloom.session import prepare
 
-GRAM, SPREAD, THRESHOLD, PART_WORDS = 3, 4, 0.5, 1 << 20
+GRAM, THRESHOLD, PART_WORDS = 3, 0.5, 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words around the seeds' diagonal, as a share of the item, that a passage may hold beside the item's length.
 MARGIN = 0.5
+#: Words of passages, with their padding, that are aligned side by side; a longer passage is aligned by itself.
+AREA = 1 << 15
 
 
 class Items:
@@ -55,21 +57,6 @@ class Items:
             item.append(of[use])
             pos.append((first - self.at[of])[use])
         self.gram, self.item, self.pos = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((gram, np.uint64), (item, np.int64), (pos, np.int64)))
-        order = np.lexsort((self.pos, self.item))
-        self.gram, self.item, self.pos = self.gram[order], self.item[order], self.pos[order]
-        self.known = np.unique(self.gram)
-
-    def seeds(self, count: np.ndarray) -> None:
-        """Keep, of every SPREAD neighbouring grams of an item, the rarest by ``count`` of known (the least gram among equals)."""
-        rank = np.empty(len(self.known), np.int64)
-        rank[np.lexsort((self.known, count))] = np.arange(len(self.known))
-        value = rank[np.searchsorted(self.known, self.gram)]
-        chosen = np.zeros(len(value), bool)
-        for a, b in zip(*(np.searchsorted(self.item, np.arange(len(self.ids)), side) for side in ("left", "right")), strict=True):
-            v = value[a:b]
-            windows = np.lib.stride_tricks.sliding_window_view(v, min(SPREAD, len(v)))
-            chosen[a + np.arange(len(windows)) + windows.argmin(axis=1)] = True
-        self.gram, self.item, self.pos = self.gram[chosen], self.item[chosen], self.pos[chosen]
         order = np.argsort(self.gram, kind="stable")
         self.gram, self.item, self.pos = self.gram[order], self.item[order], self.pos[order]
         self.known = np.unique(self.gram)
@@ -121,6 +108,24 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return best
 
 
+def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run, place) of every place of the runs from begin[k] to end[k]."""
+    size = end - begin
+    return np.repeat(np.arange(len(size)), size), np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
+def shared_words(items: Items, item: np.ndarray, w: W.Words, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Words of each item that its passage, from begin to end, holds in any place; no alignment matches more."""
+    out = np.zeros(len(item), np.int64)
+    for s in range(0, len(item), 1024):
+        part = slice(s, s + 1024)
+        (a, i), (b, j) = _spread(items.at[item[part]], items.at[item[part] + 1]), _spread(begin[part], end[part])
+        key = lambda word, pair: word + W.mix(pair.astype(np.uint64) + np.uint64(1))
+        held = np.isin(key(items.words[i], a), key(w.hash[j], b))
+        out[part] = np.bincount(a[held], minlength=len(out[part]))
+    return out
+
+
 def matches(items: Items, find: Finder, w: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, item, score) of the pairs at or above THRESHOLD."""
     where, which = [], []
@@ -152,10 +157,15 @@ def matches(items: Items, find: Finder, w: W.Words) -> tuple[np.ndarray, np.ndar
     doc, item, begin = doc[starts], item[starts], begin[starts]
     assert len(end) == group[-1] + 1
     score = np.zeros(len(doc))
-    for s in range(0, len(doc), 256):
-        a = [items.words[items.at[k] : items.at[k + 1]] for k in item[s : s + 256]]
-        b = [w.hash[x:y] for x, y in zip(begin[s : s + 256], end[s : s + 256], strict=True)]
-        score[s : s + 256] = align(a, b) / (MATCH * np.array([len(x) for x in a]))
+    able = np.flatnonzero(shared_words(items, item, w, begin, end) >= THRESHOLD * np.diff(items.at)[item])
+    able = able[np.argsort((end - begin)[able], kind="stable")]
+    while len(able):
+        # widths are in order: as many as stay below AREA when padded to the last
+        few = max(1, int(np.searchsorted((end - begin)[able] * np.arange(1, len(able) + 1), AREA, "right")))
+        now, able = able[:few], able[few:]
+        a = [items.words[items.at[k] : items.at[k + 1]] for k in item[now]]
+        b = [w.hash[x:y] for x, y in zip(begin[now], end[now], strict=True)]
+        score[now] = align(a, b) / (MATCH * np.array([len(x) for x in a]))
     ok = score >= THRESHOLD
     doc, item, score = doc[ok], item[ok], score[ok]
     order = np.lexsort((-score, item, doc))
@@ -178,34 +188,13 @@ def parts(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", pa
         yield Items(ids, texts)
 
 
-def _counted(items: Items, column: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, count = Finder(items.known), np.zeros(len(items.known), np.int64)
-        for _, raw, at in W.slices(batches, column):
-            for g, _ in _grams(W.words(raw, at), items.lengths):
-                count += np.bincount(find(g)[1], minlength=len(count))
-        seen = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(count[seen])], names=["gram", "n"])
-
-    return run
-
-
-def seeded(docs: DataFrame, items: Items, text: str) -> Items:
-    """``items`` with seeds by counts over all documents."""
-    counts = docs.select(text).mapInArrow(_counted(items, 0), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    count = np.zeros(len(items.known), np.int64)
-    count[counts["gram"].to_numpy()] = counts["n"].to_numpy()
-    items.seeds(count)
-    return items
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", part_words: int = PART_WORDS) -> DataFrame:
     """(doc_id, item_id, score) of every document that holds an item of the benchmark."""
     spark = prepare(docs.sparkSession)
     kinds = f"doc_id {dict(docs.dtypes)[doc_id]}, item_id {dict(benchmark.dtypes)['item_id']}, score double"
 
     def found(items: Items) -> DataFrame:
-        shared = spark.sparkContext.broadcast(seeded(docs, items, text))
+        shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = shared.value
@@ -229,7 +218,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", part
     rows = positional(docs)
     schema = T.StructType(rows.schema.fields)
     for p in parts(benchmark, part_words=part_words):
-        shared = spark.sparkContext.broadcast(seeded(docs, p, text))
+        shared = spark.sparkContext.broadcast(p)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
