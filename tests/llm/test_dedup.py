@@ -109,6 +109,25 @@ def test_recall_against_brute_force(spark, sf_dir):
     assert found <= loose
 
 
+def test_recall_of_pairs_near_the_threshold(spark):
+    rng = random.Random(12)
+    docs, true = [], defaultdict(list)
+    for k in range(28, 34):
+        for _ in range(60):
+            i = len(docs)
+            base = [f"d{i}w{j}" for j in range(302)]
+            edited = list(base)
+            for j in rng.sample(range(100), k):  # words three apart or more lie in three shingles each
+                edited[3 * j + 1] = f"d{i}new{j}"
+            docs += [(i, " ".join(base)), (i + 1, " ".join(edited))]
+            s, t = (shingles(x) for _, x in docs[-2:])
+            true[k].append((i + 1, i, len(s & t) / len(s | t)))
+    assert all(0.5 <= j <= 0.57 for rows in true.values() for *_, j in rows)
+    found = {(r["doc_id"], r["kept_doc_id"]) for r in minhash.near_duplicates(make(spark, docs)).collect()}
+    recall = {k: sum((a, b) in found for a, b, _ in rows) / len(rows) for k, rows in true.items()}
+    assert min(recall.values()) >= 0.9, recall
+
+
 def test_near_copies_of_odd_rows(odd, odd_rows):
     pairs = {(r["doc_id"], r["kept_doc_id"]) for r in minhash.near_duplicates(odd).collect()}
     assert {(2, 1), (13, 1), (None, 1), (11, 10), (12, 10), (9, 8)} <= pairs

@@ -2,16 +2,16 @@
 
 The shingles of a document are its word n-grams. PERMUTATIONS multiplicative permutations of 32-bit shingle hashes
 give as many minima, kept in full only while the band hashes are made; of each minimum the low BITS bits are packed
-into the signature, 80 bytes for 160 minima of 4 bits. Documents that share all ROWS minima of one of the bands are
+into the signature, 160 bytes for 320 minima of 4 bits. Documents that share all ROWS minima of one of the bands are
 candidates. Two signatures agree in a slot with probability J + (1 - J) / 2^BITS, so the count of equal slots, an xor
-and a bit count, gives an estimate of the Jaccard similarity J corrected for chance. Pairs estimated at THRESHOLD or
-more are near-duplicates; the groups are the connected components, and the least doc_id of each stays.
+and a bit count, gives an estimate of the Jaccard similarity J corrected for chance. Pairs estimated at ACCEPT or
+more, which is THRESHOLD less MARGIN standard errors of the estimate, are near-duplicates, so that a pair of THRESHOLD is not left to the toss of its estimate; the groups are the connected components, and the least doc_id of each stays.
 
 Scale: documents with the same minima become one node, so thousands of copies cost one signature. Candidate
 lists of several bands that are equal as sets are compared once. Inside a list, components are searched with vectorized one-against-rest
 comparisons that leave out what was already reached: exact, linear for a list of near-copies. There is no cap on a
 list: one of more than LIST members is compared block against block, in as many pieces. Components across lists are found by alternating large and small stars over saved edge tables.
-With J of 0.5 a pair becomes a candidate with probability 0.92, with 0.6 with 0.996.
+A pair of J 0.50 becomes a candidate and is accepted with probability 0.97, one of 0.52 with 0.99, of 0.54 with 0.999; so is one of 0.45 with 0.60, of 0.40 with 0.08, of 0.35 with 0.001.
 
 Rows: null texts and texts without a word have no signature and are nobody's near-duplicate. A text of fewer than
 n words is one shingle. Rows that are equal in doc_id and text are one document; of them one row stays. A null
@@ -31,7 +31,11 @@ from tokloom.llm import words as W
 from tokloom.llm.rows import drop_rows, small, text_key
 from tokloom.session import prepare, save
 
-PERMUTATIONS, BITS, BANDS, ROWS, NGRAM, THRESHOLD = 160, 4, 40, 4, 3, 0.5
+PERMUTATIONS, BITS, BANDS, ROWS, NGRAM, THRESHOLD = 320, 4, 80, 4, 3, 0.5
+#: Standard errors of the estimate at THRESHOLD by which a pair may fall below it.
+MARGIN = 2.0
+_equal = THRESHOLD + (1 - THRESHOLD) / 2**BITS
+ACCEPT = THRESHOLD - MARGIN * (_equal * (1 - _equal) / PERMUTATIONS) ** 0.5 / (1 - 2.0**-BITS)
 #: Shingles whose permutations are computed at a time.
 BLOCK = 4096
 #: Members of a candidate list that are compared in one piece; a longer list is cut into blocks, and each pair of blocks is a piece of its own.
@@ -110,7 +114,7 @@ def _linked(f: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, int]]:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             at = queue.pop()
-            near = similarity(sig[rest], sig[at]) >= THRESHOLD
+            near = similarity(sig[rest], sig[at]) >= ACCEPT
             for k in rest[near]:
                 yield int(f[at]), int(f[k])
             queue += rest[near].tolist()
@@ -126,7 +130,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = W.string_buffers(flat.field(1))[0].view(np.uint64).reshape(len(f), -1)
         at = np.r_[0, np.cumsum(size)]
         two = at[:-1][size == 2]
-        near = similarity(sig[two], sig[two + 1]) >= THRESHOLD
+        near = similarity(sig[two], sig[two + 1]) >= ACCEPT
         a, b = [f[two[near]]], [f[two[near] + 1]]
         for k in np.flatnonzero(size > 2):
             if pairs := list(_linked(f[at[k] : at[k + 1]], sig[at[k] : at[k + 1]])):
