@@ -121,6 +121,27 @@ def test_content_of_a_page():
     assert (nodes, chosen) == (6, 2) and paths == 4
 
 
+@pytest.mark.parametrize(
+    "outlier",
+    [
+        "<p>Short, but <b>{}</b> goes on.",
+        "<section><div>{}</div></section>",
+    ],
+)
+def test_one_long_path_does_not_drop_the_paragraphs(outlier):
+    ordinary = [f"Paragraph {k} has some words, and a few marks; it is an ordinary one." for k in range(30)]
+    long = "words and, more words; " * 80
+    page = f"<body><nav><a href=x>Home</a></nav><article><h2>Head</h2>{outlier.format(long)}<h3>Part</h3>{''.join(f'<p>{x}</p>' for x in ordinary)}</article><div>Buy now</div><footer>Us</footer></body>"
+    kept = html.content(page)[0].split("\n")
+    assert set(ordinary) <= set(kept) and long.strip() in kept and not {"Home", "Buy now", "Us"} & set(kept)
+
+
+def test_inline_tags_share_the_lot_of_their_paragraph():
+    page = f"<body><nav><ul><li><a>Home</a></ul></nav><article>{'<p>One, two and <b>bold</b> three; four, <i>thin <b>or</b> so</i> and five.' * 9}</article><div><b>Buy</b></div></body>"
+    kept = html.content(page)[0].split("\n")
+    assert kept.count("bold") == kept.count("or") == kept.count("thin") == 9 and not {"Home", "Buy"} & set(kept)
+
+
 def slow_ratios(html_text):
     """Paths by joined names with a plain stack; for markup that closes all it opens."""
     stack, seen, out = [], {}, []

@@ -3,7 +3,8 @@
 Every text node of a page lies at the end of a root-to-leaf path of tags. For each path, in order of first appearance, the length of its text and its number of punctuation
 marks are aggregated and divided by its number of nodes: the text ratio and the punctuation ratio. Both are smoothed over neighbouring paths with a Gaussian
 kernel, then fused as a product. Paths whose fused ratio reaches SHARE of the standard deviation of the page's ratios are content; their nodes, in order, are the
-page's text, one line each.
+page's text, one line each. For the deviation, a ratio above CAP times that of the median character of the page counts as so much, so that one long node on a path of its own does not
+lift the threshold over the ordinary paragraphs. Inline tags inside a paragraph, heading, item or cell share its lot: if the path of one is content, all are.
 
 It is a map over pages, with no shuffle. Markup is read by one regular expression; comments, scripts, styles, templates and the head are no content, tags close
 each other as HTML5 says for paragraphs, items and cells, attribute values may hold brackets, and entities are resolved. Paths are interned, so deep nesting costs no more than
@@ -27,22 +28,25 @@ from pyspark.sql import functions as F
 
 from tokloom.session import prepare
 
-SIGMA, SHARE = 0.5, 0.5
+SIGMA, SHARE, CAP = 0.5, 0.5, 4.0
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[A-Za-z][^<>]*+>", re.S)
 _RAW = {n: re.compile(rf"</{n}\b[^>]*+>|\Z", re.I) for n in ("script", "style", "template", "noscript", "textarea", "svg", "iframe")}
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption summary address".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code dfn del em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 _SCOPE = frozenset("ul ol dl table select body html article section div".split())
 _DELETE_PUNCTUATION = {ord(c): None for c in ".,;:!?¿¡…—、。，；：！？"}
 
 
-def text_nodes(html: str) -> tuple[list[int], list[str]]:
-    """(path number, text) of each text node outside the head, in order; paths are numbered by first appearance."""
+def text_nodes(html: str) -> tuple[list[int], list[int], list[str]]:
+    """(path number, that of its block, text) of each text node outside the head, in order; paths are numbered by first
+    appearance. The block of a path of inline tags in one of _TEXT is the path of that, of others it is the path itself."""
     paths: dict[tuple[int, str], int] = {}
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple[str, int, int]] = []
     opened: Counter = Counter()
-    at, out_path, out_text = 0, [], []
+    at, out_path, out_block, out_text = 0, [], [], []
 
     def close(name: str) -> None:
         while stack:
@@ -55,7 +59,9 @@ def text_nodes(html: str) -> tuple[list[int], list[str]]:
         if raw and not raw.isspace() and not opened["head"]:
             clean = " ".join(unescape(raw).split())
             if clean:
-                out_path.append(stack[-1][1] if stack else 0)
+                _, path, block = stack[-1] if stack else ("", 0, 0)
+                out_path.append(path)
+                out_block.append(block or path)
                 out_text.append(clean)
 
     while m := _MARKUP.search(html, at):
@@ -76,7 +82,7 @@ def text_nodes(html: str) -> tuple[list[int], list[str]]:
             close("p")
         for other in _CLOSES.get(name, ()):
             if opened[other] > 0:
-                for top, _ in reversed(stack):
+                for top, _, _ in reversed(stack):
                     if top == other:
                         close(other)
                         break
@@ -84,10 +90,11 @@ def text_nodes(html: str) -> tuple[list[int], list[str]]:
                         break
         if name not in _VOID and not m[3].rstrip().endswith("/"):
             key = (stack[-1][1] if stack else 0, name)
-            stack.append((name, paths.setdefault(key, len(paths) + 1)))
+            path = paths.setdefault(key, len(paths) + 1)
+            stack.append((name, path, path if name in _TEXT else stack[-1][2] if stack and name in _INLINE else 0))
             opened[name] += 1
     text(html[at:])
-    return out_path, out_text
+    return out_path, out_block, out_text
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -100,17 +107,21 @@ def _smooth(x: np.ndarray) -> np.ndarray:
 
 def content(html: str) -> tuple[str | None, int, int, int]:
     """(content, paths with text, text nodes, content nodes) of a page."""
-    path, texts = text_nodes(html)
+    path, block, texts = text_nodes(html)
     if not texts:
         return None, 0, 0, 0
     number: dict[int, int] = {}
     index = np.array([number.setdefault(p, len(number)) for p in path])
     size = np.array([len(t) for t in texts], float)
     marks = np.array([len(t) - len(t.translate(_DELETE_PUNCTUATION)) for t in texts], float)
-    nodes = np.bincount(index)
-    length, punctuation = _smooth(np.bincount(index, size) / nodes), _smooth(np.bincount(index, marks) / nodes)
+    nodes, total = np.bincount(index), np.bincount(index, size)
+    length, punctuation = _smooth(total / nodes), _smooth(np.bincount(index, marks) / nodes)
     fused = length * punctuation if marks.any() else length
-    chosen = (fused >= SHARE * fused.std())[index]
+    order = np.argsort(fused)
+    weight = np.cumsum(total[order])
+    median = fused[order[np.searchsorted(weight, weight[-1] / 2)]]
+    good = {b for b, c in zip(block, (fused >= SHARE * np.minimum(fused, CAP * median).std())[index], strict=True) if c}
+    chosen = np.array([b in good for b in block])
     return "\n".join(t for t, c in zip(texts, chosen, strict=True) if c), len(number), len(texts), int(chosen.sum())
 
 
