@@ -142,6 +142,22 @@ def test_inline_tags_share_the_lot_of_their_paragraph():
     assert kept.count("bold") == kept.count("or") == kept.count("thin") == 9 and not {"Home", "Buy"} & set(kept)
 
 
+@pytest.mark.parametrize(
+    ("page", "content"),
+    [
+        ("<head><title>T</title><p>Text, all of it.", "Text, all of it."),
+        ("<html><head><meta charset=x><link href=y><title>T</title><style>a, b</style><script>c, d</script>Text, all of it.", "Text, all of it."),
+        ("<head><title>T</title><svg><path/></svg><p>Text, all of it.", "Text, all of it."),
+        ("<head><title>T</title></head><body><p>Before, <svg class='i' viewBox=\"0 0 9 9\" />after.", "Before,\nafter."),
+        ("<p>Before, <svg/>after.", "Before,\nafter."),
+        ("<p>Before, <svg><text>no, not this</text></svg>after.", "Before,\nafter."),
+    ],
+)
+def test_pages_that_leave_tags_out(spark, page, content):
+    df = spark.createDataFrame([(1, page)], "page_id long, html string")
+    assert html.extract(df).first()["content"] == content
+
+
 def slow_ratios(html_text):
     """Paths by joined names with a plain stack; for markup that closes all it opens."""
     stack, seen, out = [], {}, []

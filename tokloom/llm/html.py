@@ -6,7 +6,7 @@ kernel, then fused as a product. Paths whose fused ratio reaches SHARE of the st
 page's text, one line each. For the deviation, a ratio above CAP times that of the median character of the page counts as so much, so that one long node on a path of its own does not
 lift the threshold over the ordinary paragraphs. Inline tags inside a paragraph, heading, item or cell share its lot: if the path of one is content, all are.
 
-It is a map over pages, with no shuffle. Markup is read by one regular expression; comments, scripts, styles, templates and the head are no content, tags close
+It is a map over pages, with no shuffle. Markup is read by one regular expression; comments, scripts, styles, templates and the head are no content; the head ends, without a tag of its own, at the first text or tag that may not stand in it. Tags close
 each other as HTML5 says for paragraphs, items and cells, attribute values may hold brackets, and entities are resolved. Paths are interned, so deep nesting costs no more than
 its tags. The whole page is read.
 
@@ -32,6 +32,7 @@ SIGMA, SHARE, CAP = 0.5, 0.5, 4.0
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[A-Za-z][^<>]*+>", re.S)
 _RAW = {n: re.compile(rf"</{n}\b[^>]*+>|\Z", re.I) for n in ("script", "style", "template", "noscript", "textarea", "svg", "iframe")}
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_HEAD = frozenset("head base link meta title style script noscript template".split())
 _BLOCK = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption summary address".split())
@@ -56,7 +57,11 @@ def text_nodes(html: str) -> tuple[list[int], list[int], list[str]]:
                 return
 
     def text(raw: str) -> None:
-        if raw and not raw.isspace() and not opened["head"]:
+        if not raw or raw.isspace():
+            return
+        if stack and stack[-1][0] == "head":
+            close("head")
+        if not opened["head"]:
             clean = " ".join(unescape(raw).split())
             if clean:
                 _, path, block = stack[-1] if stack else ("", 0, 0)
@@ -73,11 +78,11 @@ def text_nodes(html: str) -> tuple[list[int], list[int], list[str]]:
             if opened[name] > 0:
                 close(name)
             continue
-        if name in _RAW:
+        if opened["head"] and name not in _HEAD:
+            close("head")
+        if name in _RAW and not (name == "svg" and m[3].rstrip().endswith("/")):
             at = _RAW[name].search(html, at).end()
             continue
-        if name == "body" and opened["head"]:
-            close("head")
         if name in _BLOCK and opened["p"] > 0:
             close("p")
         for other in _CLOSES.get(name, ()):
