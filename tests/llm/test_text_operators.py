@@ -1,5 +1,6 @@
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -239,3 +240,32 @@ def test_licenses_of_odd_rows(spark, odd, empty):
     docs = make(spark, [(1, "x " * 200000 + "Licensed under the\nAPACHE License, Version 2.0"), (1, "Released under the MIT license."), (None, "released under the mit license"), (2, "licensed under the Apache license, version 2"), (3, None)], extra=True)
     found = sorted(((r["doc_id"], r["license_id"], r["first_word"]) for r in licenses.scan(docs).collect()), key=str)
     assert found == [(1, "Apache-2.0-notice", 200000), (1, "MIT-notice", 0), (None, "MIT-notice", 0)]
+
+
+BSD = """Copyright (c) 2013, Some One. All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT OWNER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES."""
+GNU = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+
+
+def test_common_licenses_are_found(spark):
+    texts = {
+        "BSD-2-Clause": BSD.format(""),
+        "BSD-3-Clause": BSD.format("3. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "),
+        "GPL-2.0-header": GNU.format("program", "", 2), "GPL-3.0-header": GNU.format("program", "", 3), "LGPL-2.1-header": GNU.format("library", "Lesser ", "2.1"), "LGPL-3.0-header": GNU.format("library", "Lesser ", 3), "AGPL-3.0-header": GNU.format("program", "Affero ", 3),
+        "GPL-2.0-notice": "Licensed under the GNU General Public License version 2.", "AGPL-3.0-notice": "licensed under the GNU Affero General Public License, v3".replace("v3", "version 3"),
+        "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy", "CC0-1.0": "Dedicated under CC0 1.0 Universal.",
+        "CC-BY-4.0-notice": "Licensed under CC BY 4.0.", "CC-BY-SA-3.0-notice": "licensed under a Creative Commons CC BY-SA 3.0 license", "CC-BY-SA-4.0": "under a Creative Commons Attribution-ShareAlike 4.0 International License",
+        "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    }
+    for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("BSD-3-Clause", "BSD")):
+        if (path := Path("/usr/share/common-licenses") / file).exists():
+            texts[f"{name} in full"] = path.read_text()
+    names = list(texts)
+    docs = make(spark, [(k, f"before. {texts[n]} after.") for k, n in enumerate(names)])
+    found = {(names[r["doc_id"]], r["license_id"]) for r in licenses.scan(docs).collect()}
+    assert {(n, n.removesuffix(" in full")) for n in names} <= found
+    assert all(n == x for n, x in found if not n.endswith(" in full"))

@@ -44,6 +44,50 @@ Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribu
 THE SOFTWARE IS PROVIDED "AS IS" AND <<var;name="author";match=".{1,10}">> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS""",
 }
 
+_COPIES = 'Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed'
+_FSF = f"""Copyright <<beginOptional>>(C) <<endOptional>><<var;name="years";match="[0-9]+{{1,3}}">> Free Software Foundation, Inc<<var;name="address";match=".{{0,20}}">> {_COPIES}"""
+_CLAUSES = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<beginOptional>>1. <<endOptional>>Redistributions of
+source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2. <<endOptional>>Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. """
+_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY <<var;name="by";match=".{1,16}">> AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;name="holders";match=".{1,16}">> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"""
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+
+
+def _gnu(kind: str, version: str) -> dict[str, str]:
+    """The notice for source files, and the line 'licensed under', of a GNU license."""
+    return {
+        "header": f"""is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation,
+<<beginOptional>>either <<endOptional>>version {version} of the License""",
+        "notice": f"licensed under the GNU {kind}General Public License<<beginOptional>> v<<endOptional>><<beginOptional>> version<<endOptional>> {version}",
+    }
+
+
+#: Further public licenses: the notices, and of long licenses the title with the first sentences. The SQL goes over TEMPLATES alone.
+MORE = {
+    "BSD-2-Clause": _CLAUSES + _DISCLAIMER,
+    "BSD-3-Clause": _CLAUSES + """<<beginOptional>>3. <<endOptional>>Neither the name of <<var;name="organization";match=".{1,16}">> nor the names of <<var;name="its";match=".{0,3}">> contributors may be used to endorse or promote products derived from
+this software without specific prior written permission. """ + _DISCLAIMER,
+    "Apache-2.0": """Apache License Version 2.0, January 2004 <<beginOptional>>http<<beginOptional>>s<<endOptional>>://www.apache.org/licenses/ <<endOptional>>TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION""",
+    "GPL-2.0": f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 {_FSF}",
+    "GPL-3.0": f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 {_FSF}",
+    "LGPL-2.1": f"GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 {_FSF}",
+    "LGPL-3.0": f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 {_FSF}",
+    "AGPL-3.0": f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 {_FSF}",
+    "MPL-2.0": """Mozilla Public License Version 2.0 <<beginOptional>>1. <<endOptional>>Definitions <<beginOptional>>1.1. <<endOptional>>"Contributor" means each individual or legal entity""",
+    "MPL-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0""",
+    "CC0-1.0": "CC0 1.0 <<beginOptional>>Universal<<endOptional>>",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a
+compiled binary, for any purpose, commercial or non-commercial, and by any means""",
+}
+for _id, _kind, _version in (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3")):
+    MORE |= {f"{_id}-{k}": t for k, t in _gnu(_kind, _version).items() if f"{_id}-{k}" not in TEMPLATES}
+for _id, _kind in _CC.items():
+    for _version in ("3.0", "4.0"):
+        MORE[f"CC-{_id}-{_version}"] = f"Creative Commons {_kind} {_version}"
+        if (_name := f"CC-{_id}-{_version}-notice") not in TEMPLATES:
+            MORE[_name] = f"Licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>><<beginOptional>>Creative Commons <<endOptional>>CC {_id} {_version}"
+
 _MARK = re.compile(r"<<beginOptional>>|<<endOptional>>|<<var;(.*?)>>", re.S)
 _WORD = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
 _BOUNDS = re.compile(r"(.*?)\{(\d+),(\d+)\}$")
@@ -166,7 +210,7 @@ def compile_template(name: str, template: str) -> Automaton:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, license_id, first_word) of every license that a document holds."""
     prepare(docs.sparkSession)
-    automata = [compile_template(n, t) for n, t in (templates or TEMPLATES).items()]
+    automata = [compile_template(n, t) for n, t in (templates or TEMPLATES | MORE).items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
