@@ -338,3 +338,74 @@ def test_columns_of_unknown_ids():
     want = [(b"aab", None), (b"", None), None, (None, 999), (None, -1), (None, -1), (b"abc", None)]
     assert [x and (x["bytes"], x["invalid_id"]) for x in e.decode_column(column).to_pylist()] == want
     assert [x and (x["bytes"], x["invalid_id"]) for x in e.decode_column(column.slice(2, 3)).to_pylist()] == want[2:5]
+
+
+@pytest.mark.parametrize("grammar", list(Grammar))
+@pytest.mark.parametrize("marks", [False, True])
+def test_vectorized_pieces_equal_the_expression(grammar, marks):
+    import random
+
+    rng, find = random.Random(3), E.bytes256(grammar)._finder()
+    parts = [*"abBCéÉǅʰ字ª12٣Ⅷ \n\r\t '/._🦊ࡰſ\x01", " ", " ", "'s", "'ll", "'RE", "'T", "\U00010d4a", *(["́"] if marks else [])]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(4000)]
+    raw, at = V.buffers(pa.array(texts))
+    start, before = E.bytes256(grammar).split(raw, at)
+    end = np.r_[start, len(raw)]
+    for k, t in enumerate(texts):
+        assert [raw[a:b].tobytes().decode() for a, b in zip(end[before[k] : before[k + 1]], end[before[k] + 1 : before[k + 1] + 1], strict=True)] == find(t), repr(t)
+
+
+@has_vocabulary
+@pytest.mark.parametrize("grammar", list(Grammar))
+def test_long_texts_are_cut_where_pieces_end(grammar, monkeypatch):
+    import random
+
+    rng, e = random.Random(7), E.Encoding("x", B.load_ranks(RANKS), grammar=grammar)
+    parts = ["The ", "cat's", "  \n ", "12345", "字体", "ÉCOLE école", "\x01", "...", " ", "don't", "/\n/", "é"]
+    text = "".join(rng.choice(parts) for _ in range(9000))
+    want = e._plain(text)
+    monkeypatch.setattr(V, "CHUNK", 500)
+    assert e.encode_ordinary(text) == want and e.count_batch([text, "", text]) == [len(want), 0, len(want)]
+    assert e.encode_column(pa.array(["", text, None, text])).to_pylist() == [[], want, None, want]
+    assert "".join(r["piece"] for r in e.piece_column(pa.array([text]))[0].as_py()) == text
+
+
+@has_vocabulary
+@pytest.mark.parametrize("grammar", list(Grammar))
+def test_very_long_runs(grammar):
+    e = E.Encoding("x", B.load_ranks(RANKS), [(b"<|s|>", 60000)], grammar=grammar)
+    for c in (" ", "a", "A", "\n", "!", "7", "'s", "/\n"):
+        text = c * ((10**6 if c == " " else 10**5) // len(c))
+        ids = e.encode(f"{text}\x01<|s|>{text}", "all")
+        assert e.decode(ids) == f"{text}\x01<|s|>{text}" and ids.count(60000) == 1
+
+
+def test_special_tokens_of_columns():
+    import random
+
+    rng, e = random.Random(5), chat(nfc=True)
+    names = [n for n, _ in CHAT]
+    texts = ["".join(rng.choice([*names, "abc", "é", "é", "<|", "x ", " ", "<|end|"]) for _ in range(rng.randrange(8))) for _ in range(2000)] + [None, ""]
+    for allowed in ("all", None, ["<|go|>", "<|end|>s", "unknown"]):
+        ids, token, offset = (x.to_pylist() for x in e.encode_special_column(pa.array(texts), allowed))
+        for k, t in enumerate(texts):
+            try:
+                want = (None if t is None else e.encode(t, allowed), None, None)
+            except E.DisallowedSpecial as x:
+                want = (None, x.token, x.offset)
+            assert (ids[k], token[k], offset[k]) == want, repr(t)
+    assert E.toy().encode_special_column(pa.array(["<|go|>", None]), None)[0].to_pylist() == [list(b"<|go|>"), None]
+    column = pa.array([[257, 255], None, [97]], pa.list_(pa.int32()))
+    assert e.decode_text_column(column).to_pylist() == ["abc�", None, "a"]
+    with pytest.raises(E.InvalidToken):
+        e.decode_text_column(pa.array([[97, 5000]]))
+
+
+def test_flat_batches():
+    e = E.toy()
+    ids, at = e.encode_flat(["abc", "", "xab"])
+    assert ids.tolist() == [257, 120, 256] and at.tolist() == [0, 1, 1, 3]
+    assert e.encode_flat([])[1].tolist() == [0] and e.encode_batch([]) == [] and e.encode_batch(["ab", ""]) == [[256], []]
+    out = [1]
+    e.encode_into("ab", out)
+    assert out == [1, 256]

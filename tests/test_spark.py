@@ -228,3 +228,17 @@ def test_query_equals_sql(spark, sf_dir, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 20
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_long_texts_crash_nothing(spark):
+    """Runs that overflow the stack of a backtracking expression, and wide and narrow characters by turns in a text of 10 MB."""
+    blanks, wide = " " * 10**6, "a\U0001f600" * 1_700_000
+    df = spark.createDataFrame([(1, blanks), (2, blanks + "\x01x"), (3, "<|go|>" + blanks + "<|end|>"), (4, "\x01")], "k int, t string")
+    e = chat()
+    got = df.select("k", T.encode_with_special(F.col("t"), e).alias("a"), T.count_tokens(F.col("t"), e).alias("n")).collect()
+    assert {r["k"]: (len(r["a"]), r["n"]) for r in got} == {1: (10**6, 10**6), 2: (10**6 + 2, 10**6 + 2), 3: (10**6 + 2, 10**6 + 13), 4: (1, 1)}
+    for g in G.Grammar:
+        assert df.where("k < 3").select(F.size(G.pretokenize(F.col("t"), g)).alias("n")).count() == 2
+        assert [r["n"] for r in G.offsets(df.where("k = 1"), "t", g).groupBy().agg(F.max("end").alias("n")).collect()] == [10**6]
+    parts = S.segments(spark.createDataFrame([("<|go|>" + wide + "<|end|>",)], "t string"), "t", ["<|go|>", "<|end|>"]).select("seg", F.octet_length("part").alias("n")).collect()
+    assert [(r["seg"], r["n"]) for r in parts] == [(0, 6), (1, 5 * 1_700_000), (2, 7)]

@@ -6,11 +6,12 @@ import os
 import re
 import unicodedata
 from collections.abc import Callable, Iterable
-from functools import cached_property, partial
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 from tokloom.functions.grammars import Grammar, pattern
@@ -20,6 +21,8 @@ from tokloom.sources.blob import KNOWN, UNKNOWN_GRAMMAR, Blob, load_ranks, load_
 
 #: Configuration, then environment, that name a folder of vocabularies.
 FOLDER_CONF, FOLDER_ENV = "spark.tokloom.vocabularies", "TOKLOOM_VOCABULARIES"
+#: Characters of a text from which on it is cut by array operations: the expression with look-ahead, which backtracks, sees short texts only.
+LONG = 1 << 12
 
 
 class UnsupportedEncoding(ValueError):
@@ -117,28 +120,23 @@ class Encoding:
     def by_id(self) -> dict[int, bytes]:
         return {**{i: n for n, i in reversed(self.specials)}, **{i: t for t, i in self.ranks.items()}}
 
-    @cached_property
-    def _special_pattern(self) -> re.Pattern | None:
-        return re.compile("|".join(re.escape(n.decode(errors="replace")) for n, _ in self.specials)) if self.specials else None
-
     @cached_property
     def _ordinary(self) -> Callable[[str], list[int]]:
         try:
             import tiktoken
         except ImportError:
             return self._plain
-        return tiktoken.Encoding(self.name, pat_str=pattern(self.grammar, True, "rust"), mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
+        short = tiktoken.Encoding(self.name, pat_str=pattern(self.grammar, True, "rust"), mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
+        return lambda text: short(text) if len(text) < LONG else self._vectorized.encode(*vectorized.buffers(pa.array([text])))[0].tolist()
 
     @cached_property
     def _plain(self) -> Callable[[str], list[int]]:
-        import regex
-
-        find = regex.compile(_python(pattern(self.grammar, True, "rust")))
+        find = self._finder()
         known: dict[str, list[int]] = {}
 
         def encode(text: str) -> list[int]:
             out: list[int] = []
-            for p in find.findall(text):
+            for p in find(text):
                 ids = known.get(p)
                 if ids is None:
                     ids = encode_piece(p.encode(), self.ranks)
@@ -149,6 +147,11 @@ class Encoding:
 
         return encode
 
+    def _finder(self) -> Callable[[str], list[str]]:
+        import regex
+
+        return regex.compile(_python(pattern(self.grammar, True, "rust"))).findall
+
     def normalize(self, text: str) -> str:
         return unicodedata.normalize("NFC", text) if self.nfc and not text.isascii() else text
 
@@ -159,16 +162,20 @@ class Encoding:
     def count(self, text: str) -> int:
         return len(self.encode_ordinary(text))
 
-    def find_special(self, text: str, ids: set[int] | None = None, start: int = 0) -> re.Match | None:
-        """The first special token from ``start`` on, the longest one there; of those in ``ids`` only, if given."""
-        if not self._special_pattern:
-            return None
-        return (self._special_pattern if ids is None else self._pattern_of(frozenset(ids))).search(text, start)
+    def find_special(self, text: str, ids: set[int] | None = None) -> tuple[str, int, int] | None:
+        """(name, first byte, id) of the first special token, the longest one there; of those in ``ids`` only, if given."""
+        m = self._pattern_of(frozenset(i for _, i in self.specials if ids is None or i in ids)).search(text.encode())
+        return m and (m[0].decode(), m.start(), self._special_ids[m[0]])
+
+    @cached_property
+    def _special_ids(self) -> dict[bytes, int]:
+        return {n: i for n, i in reversed(self.specials)}
 
     def _pattern_of(self, ids: frozenset[int]) -> re.Pattern:
+        """What finds the names, as bytes, of these ids; nothing if there are none."""
         cache = self.__dict__.setdefault("_patterns", {})
         if ids not in cache:
-            cache[ids] = re.compile("|".join(re.escape(n.decode(errors="replace")) for n, i in self.specials if i in ids) or "(?!)")
+            cache[ids] = re.compile(b"|".join(re.escape(n) for n, i in self.specials if i in ids) or b"(?!)")
         return cache[ids]
 
     def encode(self, text: str, allowed: str | Iterable[str] | None = None) -> list[int]:
@@ -177,9 +184,8 @@ class Encoding:
         if not self.specials:
             return self._ordinary(text)
         ids = allowed_ids(self.specials, allowed)
-        if refused := {i for _, i in self.specials} - ids:
-            if m := self.find_special(text, refused):
-                raise DisallowedSpecial(m[0], len(text[: m.start()].encode()))
+        if (refused := {i for _, i in self.specials} - ids) and (found := self.find_special(text, refused)):
+            raise DisallowedSpecial(found[0], found[1])
         return self._spans(text, ids)
 
     def encode_with_special(self, text: str) -> list[int]:
@@ -187,12 +193,12 @@ class Encoding:
         return self._spans(self.normalize(text), {i for _, i in self.specials})
 
     def _spans(self, text: str, ids: set[int]) -> list[int]:
-        out, at = [], 0
-        while ids and (m := self.find_special(text, ids, at)):
-            out += self._ordinary(text[at : m.start()])
-            out.append(self.id_of(m[0]))
+        out, at, data = [], 0, text.encode()
+        for m in self._pattern_of(frozenset(ids)).finditer(data) if ids else ():
+            out += self._ordinary(data[at : m.start()].decode())
+            out.append(self._special_ids[m[0]])
             at = m.end()
-        return out + self._ordinary(text[at:])
+        return out + self._ordinary(data[at:].decode())
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         out = []
@@ -207,49 +213,122 @@ class Encoding:
         return self.decode_bytes(ids).decode(errors="replace")
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        return [self.encode_ordinary(t) for t in texts]
+        ids, at = self.encode_flat(texts)
+        return [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, n + 1 offsets into them)."""
+        column = self.encode_column(pa.array(texts, pa.string()))
+        return column.values.to_numpy(), column.offsets.to_numpy()
+
+    def encode_into(self, text: str, out: list[int]) -> None:
+        """Append the ids of the text to ``out``."""
+        out += self.encode_ordinary(text)
 
     def count_batch(self, texts: list[str]) -> list[int]:
-        return [self.count(t) for t in texts]
+        return self.count_column(pa.array(texts, pa.string())).to_pylist()
+
+    def split(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first byte of each piece, pieces before each text) of texts in an array of bytes."""
+        if self.grammar is Grammar.O200K:
+            return vectorized.pieces_cased(raw, at, self._finder())
+        return vectorized.pieces(raw, at, 1 if self.grammar is Grammar.QWEN else 3)
 
     @cached_property
     def _vectorized(self) -> vectorized.Encoder | None:
         """None where tiktoken or regex is missing."""
         try:
-            return vectorized.Encoder(self.ranks, partial(vectorized.pieces, digits=1 if self.grammar is Grammar.QWEN else 3))
+            return vectorized.Encoder(self.ranks, self.split)
         except ImportError:
             return None
 
-    def _texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
-        """The normalized texts of a column for the vectorized encoder; None if it cannot take them, as with the case-aware grammar."""
-        if self.grammar is Grammar.O200K or not self._vectorized:
-            return None
+    def _texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The normalized texts of a column, as bytes and offsets."""
         raw, at = vectorized.buffers(column)
         if self.nfc and len(raw) and raw.max() >= 0x80:
             raw, at = vectorized.buffers(pa.array([t if t is None else self.normalize(t) for t in column.to_pylist()], pa.string()))
-        return None if (raw == vectorized.MARK).any() else (raw, at)
+        return raw, at
+
+    def _of_bytes(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, n + 1 offsets into them)."""
+        if self._vectorized:
+            return self._vectorized.encode(raw, at)
+        each = [self._ordinary(raw[a:b].tobytes().decode()) for a, b in zip(at, at[1:], strict=False)]
+        return np.array([i for x in each for i in x], np.int32), np.cumsum([0, *map(len, each)])
 
     def encode_column(self, column: pa.Array) -> pa.Array:
         """The ids of each text of an Arrow array; null for null."""
-        texts = self._texts(column)
-        if texts is None:
-            return pa.array([None if t is None else self.encode_ordinary(t) for t in column.to_pylist()], pa.list_(pa.int32()))
-        ids, at = self._vectorized.encode(*texts)
+        ids, at = self._of_bytes(*self._texts(column))
         return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids), mask=column.is_null())
 
+    def encode_special_column(self, column: pa.Array, allowed: str | Iterable[str] | None = "all") -> tuple[pa.Array, pa.Array, pa.Array]:
+        """(ids, error_token, error_offset) of each text: allowed special tokens are ids; ids is null, and the first other special token
+        is told, where there is one. Texts are cut at special tokens one by one, only where they hold what all names begin with; all that is between
+        is encoded at once."""
+        raw, at = self._texts(column)
+        n = len(column)
+        ids = frozenset(allowed_ids(self.specials, allowed))
+        refused = frozenset(i for _, i in self.specials) - ids
+        bad, token, offset = np.zeros(n, bool), [None] * n, np.zeros(n, np.int32)
+        row, low, high, special = [], [], [], []
+        names = [x for x, _ in self.specials]
+        prefix = os.path.commonprefix(names)
+        if names and len(raw):
+            texts = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw)])
+            some = np.flatnonzero(pc.match_substring(texts, prefix).to_numpy(zero_copy_only=False)) if prefix else np.flatnonzero(np.diff(at))
+            for r in some.tolist():
+                data = raw[at[r] : at[r + 1]].tobytes()
+                if refused and (m := self._pattern_of(refused).search(data)):
+                    bad[r], token[r], offset[r] = True, m[0].decode(errors="replace"), m.start()
+                    continue
+                for m in self._pattern_of(ids).finditer(data) if ids else ():
+                    row.append(r)
+                    low.append(at[r] + m.start())
+                    high.append(at[r] + m.end())
+                    special.append(self._special_ids[m[0]])
+        row, low, high = (np.array(x, np.int64) for x in (row, low, high))
+        size = high - low
+        gone, before = np.r_[0, np.cumsum(size)], np.searchsorted(row, np.arange(n + 1))
+        if len(row):
+            edge = np.zeros(len(raw) + 1, np.int8)
+            edge[low] += 1
+            np.subtract.at(edge, high, 1)
+            raw = raw[np.cumsum(edge[:-1], dtype=np.int8) == 0]
+        cuts = np.insert(at - gone[before], row + 1, low - gone[:-1])
+        out, ends = self._of_bytes(raw, cuts)
+        nth = np.arange(len(row))
+        out = np.insert(out, ends[row + 1 + nth], np.array(special, np.int32))
+        ends = ends[np.arange(n + 1) + before] + before
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out.astype(np.int32)), mask=pa.array(np.asarray(column.is_null()) | bad))
+        return lists, pa.array(token, pa.string()), pa.array(offset, mask=~bad)
+
     def encode_pieces(self, column: pa.Array) -> pa.Array:
         """The same for an array of pieces; none is null."""
-        raw, at = vectorized.buffers(column)
-        if not self._vectorized or (raw == vectorized.MARK).any():
+        if not self._vectorized:
             return pa.array([encode_piece(p.encode(), self.ranks) for p in column.to_pylist()], pa.list_(pa.int32()))
-        ids, at = self._vectorized.encode_whole(raw, at)
+        ids, at = self._vectorized.encode_whole(*vectorized.buffers(column))
         return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
 
     def count_column(self, column: pa.Array) -> pa.Array:
-        texts = self._texts(column)
-        if texts is None:
-            return pa.array([None if t is None else self.count(t) for t in column.to_pylist()], pa.int32())
-        return pa.array(self._vectorized.count(*texts).astype(np.int32), mask=np.asarray(column.is_null()))
+        raw, at = self._texts(column)
+        n = self._vectorized.count(raw, at) if self._vectorized else np.diff(self._of_bytes(raw, at)[1])
+        return pa.array(n.astype(np.int32), mask=np.asarray(column.is_null()))
+
+    def piece_column(self, column: pa.Array) -> pa.Array:
+        """list(struct(start, end, piece)) of each text of an Arrow array; start and end count bytes of the text."""
+        raw, at = vectorized.buffers(column)
+        cuts, own = vectorized.segments(raw, at, vectorized.CHUNK)
+        starts, counts = [], [np.zeros(1, np.int64)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            some, _ = self.split(raw[a:b], np.array([0, b - a]))
+            starts.append(some + a)
+            counts.append([len(some)])
+        before = np.cumsum(np.concatenate(counts))[own]
+        first = np.concatenate([*starts, [len(raw)]]).astype(np.int64)
+        whole = pa.Array.from_buffers(pa.string(), len(first) - 1, [None, pa.py_buffer(first.astype(np.int32)), pa.py_buffer(raw)])
+        base = np.repeat(at[:-1], np.diff(before))
+        rows = pa.StructArray.from_arrays([pa.array((first[:-1] - base).astype(np.int32)), pa.array((first[1:] - base).astype(np.int32)), whole], ["start", "end", "piece"])
+        return pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), rows, mask=column.is_null())
 
     @cached_property
     def _decoder(self) -> vectorized.Decoder:
@@ -267,6 +346,19 @@ class Encoding:
         texts = whole.take(pa.array(np.arange(len(column)), mask=wrong)) if wrong.any() else whole
         return pa.StructArray.from_arrays([texts, pa.array(invalid, mask=~wrong)], ["bytes", "invalid_id"], mask=null)
 
+    def decode_text_column(self, column: pa.Array) -> pa.Array:
+        """The text of each list of ids; bytes that are not UTF-8 become U+FFFD, an unknown id is an error."""
+        found = self.decode_column(column)
+        if len(wrong := found.field("invalid_id").drop_null()):
+            raise InvalidToken(wrong[0].as_py())
+        data = found.field("bytes")
+        null = column.is_null()
+        try:
+            texts = data.cast(pa.string())
+        except pa.ArrowInvalid:
+            texts = pa.array([None if x is None else x.decode(errors="replace") for x in data.to_pylist()], pa.string())
+        return pc.if_else(null, pa.scalar(None, pa.string()), texts)
+
     def shared(self, spark: SparkSession):
         """The encoding as a broadcast blob, made once per application."""
         key = spark.sparkContext.applicationId
@@ -292,9 +384,9 @@ def worker_encoding(blob: bytes) -> Encoding:
     return _loaded[key]
 
 
-def bytes256() -> Encoding:
+def bytes256(grammar: Grammar = Grammar.CL100K) -> Encoding:
     """Every byte is a token, its id the byte's value."""
-    return Encoding("bytes256", [(bytes([b]), b) for b in range(256)])
+    return Encoding("bytes256", [(bytes([b]), b) for b in range(256)], grammar=grammar)
 
 
 def toy() -> Encoding:

@@ -8,7 +8,8 @@ from __future__ import annotations
 from enum import Enum
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokloom.functions.unicode import members, needs_new
@@ -63,11 +64,17 @@ def pieces(df: DataFrame, text: str, grammar: Grammar = Grammar.CL100K, *keys: s
 
 
 def offsets(df: DataFrame, text: str, grammar: Grammar = Grammar.CL100K, *keys: str) -> DataFrame:
-    """(keys..., pos, start, end, piece), start and end in bytes of the text, by a running sum over each row's pieces."""
-    sized = F.transform(pretokenize(F.col(text), grammar), lambda p: F.struct(p.alias("piece"), F.octet_length(p).alias("size")))
-    rows = df.select(*keys, sized.alias("_l"), F.monotonically_increasing_id().alias("_row")).select("_row", *keys, F.posexplode("_l").alias("pos", "x"))
-    end = F.sum("x.size").over(Window.partitionBy("_row").orderBy("pos"))
-    return rows.select(*keys, "pos", (end - F.col("x.size")).cast("int").alias("start"), end.cast("int").alias("end"), F.col("x.piece").alias("piece"))
+    """(keys..., pos, start, end, piece), start and end in bytes of the text; cut and measured in one Arrow pass, with no shuffle."""
+    from tokloom.encoding import bytes256, worker_encoding
+    from tokloom.session import prepare
+
+    blob = bytes256(grammar).shared(prepare(df.sparkSession))
+
+    @F.arrow_udf("array<struct<start: int, end: int, piece: string>>")
+    def cut(column: pa.Array) -> pa.Array:
+        return worker_encoding(blob.value).piece_column(column)
+
+    return df.select(*keys, F.posexplode(cut(F.col(text))).alias("pos", "x")).select(*keys, "pos", "x.start", "x.end", "x.piece")
 
 
 def kinds(pieces_df: DataFrame, grammar: Grammar) -> DataFrame:

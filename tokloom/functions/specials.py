@@ -36,8 +36,14 @@ def _common(names: list[str]) -> str:
 
 
 def segments(df: DataFrame, text: str, names: list[str], *keys: str) -> DataFrame:
-    """(keys..., seg, special, part): the text cut at the names, in order; special tells whether part is one of them."""
-    cut = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?:{_any(names)})|(?:(?!{_any(names)}).)+"), F.lit(0))
+    """(keys..., seg, special, part): the text cut at the names, in order; special tells whether part is one of them.
+
+    The expression is possessive, so that a text of any length takes no stack, and looks for a name only where one of their first characters stands.
+    """
+    some = _any(names)
+    first = "".join(sorted({rf"\x{{{ord(n[0]):x}}}" for n in names}))
+    rest = rf"(?:[^{first}]++|(?!{some}).)++" if names else ".++"
+    cut = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?:{some})|{rest}"), F.lit(0))
     return df.select(*keys, F.posexplode(cut).alias("seg", "part")).select(*keys, "seg", F.col("part").isin(names).alias("special"), "part")
 
 

@@ -16,7 +16,8 @@ def register_tokens(spark: SparkSession, encoding: Encoding, name: str = "tokens
     prepare(spark)
     blob = encoding.shared(spark)
 
-    @F.udtf(returnType="pos int, id int, bytes binary, start int, end int")
+    # a table function over whole Arrow columns cannot stand in a lateral join
+    @F.udtf(returnType="pos int, id int, bytes binary, start int, end int", useArrow=True)
     class Tokens:
         def eval(self, text: str) -> Iterator[tuple]:
             if text is None:

@@ -8,21 +8,14 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from tokloom.encoding import DisallowedSpecial, Encoding, allowed_ids, worker_encoding
+from tokloom.encoding import Encoding, allowed_ids, worker_encoding
 from tokloom.session import prepare
 
-_IDS = pa.list_(pa.int32())
-_ENCODED = pa.struct([("ids", _IDS), ("error_token", pa.string()), ("error_offset", pa.int32())])
-
 
 def _session() -> SparkSession:
     return prepare(SparkSession.active())
 
 
-def _each(column: pa.Array, f, kind: pa.DataType) -> pa.Array:
-    return pa.array([None if x is None else f(x) for x in (v.as_py() for v in column)], kind)
-
-
 def encode_ordinary(text: Column, encoding: Encoding) -> Column:
     """array<int>; null for a null text, [] for an empty one."""
     blob = encoding.shared(_session())
@@ -53,15 +46,7 @@ def try_encode(text: Column, encoding: Encoding, allowed: str | Iterable[str] |
 
     @F.arrow_udf("struct<ids: array<int>, error_token: string, error_offset: int>")
     def run(column: pa.Array) -> pa.Array:
-        e = worker_encoding(blob.value)
-
-        def one(t: str) -> dict:
-            try:
-                return {"ids": e.encode(t, names), "error_token": None, "error_offset": None}
-            except DisallowedSpecial as x:
-                return {"ids": None, "error_token": x.token, "error_offset": x.offset}
-
-        return _each(column, one, _ENCODED)
+        return pa.StructArray.from_arrays(worker_encoding(blob.value).encode_special_column(column, names), ["ids", "error_token", "error_offset"], mask=column.is_null())
 
     return run(text)
 
@@ -73,6 +58,11 @@ def encode(text: Column, encoding: Encoding, allowed: str | Iterable[str] | None
     return F.when(found["error_token"].isNotNull(), F.raise_error(said).cast("array<int>")).otherwise(found["ids"])
 
 
+def append_encoded(ids: Column, text: Column, encoding: Encoding) -> Column:
+    """``ids`` and, after them, those of the text; null if either is null."""
+    return F.concat(ids.cast("array<int>"), encode_ordinary(text, encoding))
+
+
 def encode_with_special(text: Column, encoding: Encoding) -> Column:
     return try_encode(text, encoding, "all")["ids"]
 
@@ -133,7 +123,7 @@ def register(spark: SparkSession, encoding: Encoding, prefix: str = "tok_") -> N
 
     @F.arrow_udf("array<int>")
     def special(column: pa.Array) -> pa.Array:
-        return _each(column, worker_encoding(blob.value).encode_with_special, _IDS)
+        return worker_encoding(blob.value).encode_special_column(column)[0]
 
     @F.arrow_udf("int")
     def count(column: pa.Array) -> pa.Array:
@@ -141,7 +131,7 @@ def register(spark: SparkSession, encoding: Encoding, prefix: str = "tok_") -> N
 
     @F.arrow_udf("string")
     def dec(column: pa.Array) -> pa.Array:
-        return _each(column, worker_encoding(blob.value).decode, pa.string())
+        return worker_encoding(blob.value).decode_text_column(column)
 
     for name, f in (("encode", enc), ("encode_special", special), ("count", count), ("decode", dec)):
         spark.udf.register(prefix + name, f)

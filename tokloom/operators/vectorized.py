@@ -1,52 +1,72 @@
 """BPE of many texts at a time: pieces are found by operations on whole arrays of bytes and looked up in a table of pieces seen before.
 
-The rules are those of the grammars CL100K and QWEN. Characters are letters, numbers, blanks or others; where a piece begins follows from a character's class, its neighbours',
-and, in runs of blanks, from the place of the last line end. A piece of up to LONGEST bytes is three 64-bit words, compared in full, so the table is exact. Pieces that
-it lacks are encoded once each by tiktoken, in one call; longer ones are encoded each time. A table of MOST pieces is begun anew.
+Characters are letters, numbers, blanks or others; where a piece begins follows from a character's class, its neighbours',
+and, in runs of blanks, from the place of the last line end; with letter case, from the runs of upper and lower case, too. A piece of up to LONGEST bytes is three 64-bit words, compared in full, so the table is exact. Pieces that
+it lacks are encoded once each by tiktoken, in one call, with an expression that cannot backtrack; longer ones are encoded each time. A table of MOST pieces is begun anew.
+
+A text longer than CHUNK is worked on in parts, cut between a letter or number and a blank, where every grammar ends a piece and begins the next without regard to what stands before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
 from tokloom.functions.unicode import members
+from tokloom.operators.bpe import encode_piece
 
-#: Bytes of text that are worked on at a time; a longer text is one chunk by itself.
+#: Bytes of text that are worked on at a time; a longer text is cut.
 CHUNK = 1 << 18
 LONGEST, MOST = 23, 1 << 19
 #: Pieces that are looked up at a time; at most MOST.
 BLOCK = 1 << 17
 LETTER, NUMBER, BLANK, OTHER, LINE_END, SPACE, QUOTE = (1 << k for k in range(7))
 _BLANKS = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-#: What ends a piece in a call to tiktoken; texts that hold it are left to the caller.
+#: What ends a piece in a call to tiktoken; pieces that hold it are encoded one by one.
 MARK = 1
+#: Letter case, in a table of its own: a letter or mark that may stand among upper case, among lower case; a mark; a slash.
+UPPER, LOWER, COMBINING, SLASH = (1 << k for k in range(4))
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 #: Of a piece of n bytes, the bits that are its own in the words at 0, 8 and 16, and n.
 _MASKS = np.array([[(1 << 8 * min(max(n - at, 0), 8)) - 1 for n in range(LONGEST + 1)] for at in (0, 8, 16)], np.uint64)
-_classes: list[np.ndarray] = []
 
 
+def _ranges(name: str) -> list[tuple[int, int]]:
+    """The runs of code points of a class, ends excluded."""
+    import regex
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    shift = 0xE000 - 0xD800
+    return [tuple(x if x < 0xD800 else x + shift for x in (m.start(), m.end() - 1)) for m in regex.finditer(f"[{_escaped(members(name))}]+", every)]
+
+
+@cache
 def classes() -> np.ndarray:
     """The class of every code point, in bits."""
-    if not _classes:
-        import regex
-
-        table = np.full(0x110000, OTHER, np.uint8)
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        shift = 0xE000 - 0xD800
-        for name, bit in (("letter", LETTER), ("number", NUMBER)):
-            for m in regex.finditer(f"[{_escaped(members(name))}]+", every):
-                a, b = (x if x < 0xD800 else x + shift for x in m.span())
-                table[a:b] = bit
-        table[list(_BLANKS)] = BLANK
-        table[[10, 13]] |= LINE_END
-        table[32] |= SPACE
-        table[39] |= QUOTE
-        _classes.append(table)
-    return _classes[0]
+    table = np.full(0x110000, OTHER, np.uint8)
+    for name, bit in (("letter", LETTER), ("number", NUMBER)):
+        for a, b in _ranges(name):
+            table[a : b + 1] = bit
+    table[list(_BLANKS)] = BLANK
+    table[[10, 13]] |= LINE_END
+    table[32] |= SPACE
+    table[39] |= QUOTE
+    return table
+
+
+@cache
+def cases() -> np.ndarray:
+    """The letter case of every code point, in bits."""
+    table = np.zeros(0x110000, np.uint8)
+    for name, bit in (("upper", UPPER), ("lower", LOWER)):
+        for a, b in _ranges(name):
+            table[a : b + 1] |= bit
+    table[(table != 0) & (classes() & LETTER == 0)] |= COMBINING
+    table[ord("/")] = SLASH
+    return table
 
 
 def _escaped(inside: str) -> str:
@@ -66,20 +86,23 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def characters(raw: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
-    """(first byte of each character, or None if each is one byte; class of each)."""
-    table = classes()
+def characters(raw: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray | None, ...]:
+    """(first byte of each character, or None if each is one byte; class of each; entry of each in each of the tables ``more``)."""
+    tables = (classes(), *more)
     if not len(raw) or raw.max() < 0x80:
-        return None, table[:256].take(raw)
+        return None, *(t[:256].take(raw) for t in tables)
     first = np.flatnonzero((raw & 0xC0) != 0x80)
     b = raw.take(first)
-    found = table[:256].take(b)
     high = np.flatnonzero(b >= 0x80)
     at, lead, end = first[high], b[high].astype(np.int32), len(raw) - 1
     x, y, z = ((raw[np.minimum(at + k, end)] & 0x3F).astype(np.int32) for k in (1, 2, 3))
     two, three, four = (lead & 31) << 6 | x, (lead & 15) << 12 | x << 6 | y, (lead & 7) << 18 | x << 12 | y << 6 | z
-    found[high] = table.take(np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, four)), mode="clip")
-    return first, found
+    code, out = np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, four)), []
+    for t in tables:
+        found = t[:256].take(b)
+        found[high] = t.take(code, mode="clip")
+        out.append(found)
+    return first, *out
 
 
 def moved(x: np.ndarray, by: int, none: np.ndarray) -> np.ndarray:
@@ -93,27 +116,16 @@ def moved(x: np.ndarray, by: int, none: np.ndarray) -> np.ndarray:
     return out
 
 
-def pieces(raw: np.ndarray, at: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first byte of each piece, pieces before each text) of the texts between the offsets ``at``; ``digits`` is the most of them in a piece."""
-    if not len(raw):
-        return np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    byte, c = characters(raw)
-    n = len(c)
-    edge = at if byte is None else np.searchsorted(byte, at)
-    some = np.diff(edge) > 0
-    begins, ends = edge[:-1][some], edge[1:][some] - 1
-    before, after = moved(c, 1, begins), moved(c, -1, ends)
-    # an unattached other: a space before it belongs to it, and it leads the letters after it if it is alone
-    other = (c & OTHER != 0) & (before & (OTHER | SPACE) == 0)
-    leads = moved(other | (c & (BLANK | LINE_END) == BLANK), 1, begins)
-    alone = (c & BLANK != 0) & ((before | after) & BLANK == 0)
-    cut = other | ((c & LETTER > before & LETTER) & ~leads) | (c & NUMBER > before & NUMBER) | (alone & ~((c & LINE_END != 0) & (before & OTHER != 0)))
-
+def _digits(cut: np.ndarray, c: np.ndarray, before: np.ndarray, most: int) -> None:
+    """Cut runs of numbers after every ``most`` of them."""
     if len(many := np.flatnonzero(c & before & NUMBER)):
         number = np.flatnonzero(c & NUMBER)
         new = before[number] & NUMBER == 0
-        cut[many] = ((number - number[new][np.cumsum(new) - 1]) % digits == 0)[~new]
+        cut[many] = ((number - number[new][np.cumsum(new) - 1]) % most == 0)[~new]
+
 
+def _blank_runs(cut: np.ndarray, c: np.ndarray, before: np.ndarray, after: np.ndarray, owners: int) -> None:
+    """Cut runs of two blanks or more; line ends right after a character of a class of ``owners`` belong to it."""
     blank, was, will = (x & BLANK != 0 for x in (c, before, after))
     if len(s := np.flatnonzero(blank & ~was & will)):
         e = np.flatnonzero(blank & was & ~will) + 1
@@ -122,21 +134,155 @@ def pieces(raw: np.ndarray, at: np.ndarray, digits: int) -> tuple[np.ndarray, np
         i = np.repeat(s - offsets, size) + np.arange(size.sum())
         line = c[i] & LINE_END != 0
         past = np.maximum.reduceat(np.where(line, i + 1, 0), offsets)  # the last line end
-        # line ends right after others belong to them
-        a = np.where(before[s] & OTHER, np.minimum(np.minimum.reduceat(np.where(line, n, i), offsets), e), s)
+        a = np.where(before[s] & owners, np.minimum(np.minimum.reduceat(np.where(line, len(c), i), offsets), e), s)
         rest = np.maximum(past, a)
         cut[a[a < e]] = True
         left = rest < e
         cut[rest[left]] = True
         cut[(e - 1)[left & (after[e - 1] != 0)]] = True
 
+
+def _contraction(raw: np.ndarray, byte: np.ndarray | None, quote: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Letters of the contraction after each quote, 0 where there is none; a letter follows each quote."""
+    p = quote if byte is None else byte[quote]
+    x, y = raw[p + 1] | 0x20, raw[np.minimum(p + 2, len(raw) - 1)] | 0x20
+    one = np.isin(x, np.frombuffer(b"stmd", np.uint8))
+    two = (((x == ord("r")) | (x == ord("v"))) & (y == ord("e")) | (x == ord("l")) & (y == ord("l"))) & (after[quote + 1] & LETTER != 0)
+    return np.where(one, 1, np.where(two, 2, 0))
+
+
+def pieces_cased(raw: np.ndarray, at: np.ndarray, slow: Callable[[str], list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """The same by the case-aware grammar. Texts with combining marks, which are others or letters as their neighbours say, are cut by ``slow``."""
+    if not len(raw):
+        return np.zeros(0, np.int64), np.zeros(len(at), np.int64)
+    byte, c, k = characters(raw, cases())
+    n = len(c)
+    edge = at if byte is None else np.searchsorted(byte, at)
+    some = np.diff(edge) > 0
+    begins, ends = edge[:-1][some], edge[1:][some] - 1
+    before, after = moved(c, 1, begins), moved(c, -1, ends)
+    marked = np.unique(np.searchsorted(edge, np.flatnonzero(k & COMBINING), "right") - 1) if byte is not None else np.zeros(0, np.int64)
+    attached = np.zeros(n, bool)  # what goes with the piece before it; the next character begins as a text does
+
+    # line ends after others, and line ends and slashes after these
+    z = np.flatnonzero((c & LINE_END != 0) | (k & SLASH != 0))
+    line = c[z] & LINE_END != 0
+    if line.any():
+        begin = np.zeros(n, bool)
+        begin[begins] = True
+        first = np.flatnonzero(np.r_[True, z[1:] != z[:-1] + 1] | begin[z])
+        run = np.cumsum(np.bincount(first, minlength=len(z))) - 1
+        slash = np.minimum.reduceat(np.where(line, n, z), first)
+        root = np.where(before[z[first]] & OTHER != 0, -1, slash)
+        tail = np.minimum.reduceat(np.where(line & (z > root[run]), z, n), first)
+        attached[z[z >= tail[run]]] = True
+    # contractions after letters; of those that follow each other at once every second is none
+    quote = np.flatnonzero((c & QUOTE != 0) & (before & LETTER != 0) & (after & LETTER != 0))
+    if len(quote):
+        letters = _contraction(raw, byte, quote, after)
+        quote, letters = quote[letters > 0], letters[letters > 0]
+        chain = np.r_[True, quote[1:] != (quote + letters)[:-1] + 1][: len(quote)]
+        nth = np.arange(len(quote)) - np.flatnonzero(chain)[np.cumsum(chain) - 1]
+        quote, letters = quote[nth % 2 == 0], letters[nth % 2 == 0]
+        for j in range(3):
+            attached[(quote + j)[letters >= j]] = True
+    if attached.any():
+        c[attached], k[attached] = 0, 0
+        before, after = moved(c, 1, begins), moved(c, -1, ends)
+
+    other = (c & OTHER != 0) & (before & (OTHER | SPACE) == 0)
+    leads = moved(other | (c & (BLANK | LINE_END) == BLANK), 1, begins)
+    letter, was_letter = c & LETTER != 0, before & LETTER != 0
+    cut = other | (letter & ~was_letter & ~leads) | (c & NUMBER > before & NUMBER) | ((c & BLANK != 0) & ((before | after) & BLANK == 0))
+    # upper case begins a piece after lower case
+    k &= UPPER | LOWER
+    k[~letter] = 0
+    was = moved(k, 1, begins)
+    upper = k == UPPER
+    cut |= upper & (was == LOWER)
+    both = np.flatnonzero(upper & (was == UPPER | LOWER))
+    if len(both):  # and after letters of both cases, if lower case was before them or nothing but upper case is left
+        place = np.arange(n)
+        stop = k != UPPER | LOWER
+        stop[begins] = True
+        last = np.maximum.accumulate(np.where(stop, place, -1))
+        end = ~upper
+        end[begins] = True
+        after_end = np.r_[np.minimum.accumulate(np.where(end, place, n)[::-1])[::-1], n]
+        e = after_end[both + 1]
+        start = np.zeros(n + 1, bool)
+        start[begins], start[n] = True, True
+        done = start[e] | (np.r_[k, 0][e] == 0)
+        cut[both[(k[last[both - 1]] == LOWER) | done]] = True
+    _digits(cut, c, before, 3)
+    _blank_runs(cut, c, before, after, 0)
+
+    start = np.flatnonzero(cut)
+    if byte is not None:
+        start = byte.take(start)
+    for t in marked:
+        sizes = [len(p.encode()) for p in slow(raw[at[t] : at[t + 1]].tobytes().decode())]
+        low, high = np.searchsorted(start, at[t : t + 2])
+        start = np.r_[start[:low], at[t] + np.cumsum([0, *sizes[:-1]]), start[high:]]
+    return start, np.searchsorted(start, at)
+
+
+def _safe_place(raw: np.ndarray, low: int, high: int) -> int:
+    """The first byte from ``low`` on, in a text that ends at ``high``, at which it may be cut; ``high`` if there is none."""
+    size = 1 << 12
+    while low < high:
+        while low < high and raw[low] & 0xC0 == 0x80:
+            low += 1
+        end = min(low + size, high)
+        while end < high and raw[end] & 0xC0 == 0x80:
+            end += 1
+        byte, c = characters(raw[low:end])
+        hit = np.flatnonzero((c[:-1] & (LETTER | NUMBER) != 0) & (c[1:] & BLANK != 0))
+        if len(hit):
+            return low + int(hit[0] + 1 if byte is None else byte[hit[0] + 1])
+        # the last character is looked at again, as the first of the next part
+        low, size = end if end == high else end - 1, size * 2
+        while low > 0 and low < high and raw[low] & 0xC0 == 0x80:
+            low -= 1
+    return high
+
+
+def segments(raw: np.ndarray, at: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets with the places, too, where texts longer than ``room`` are cut; which of them are those of ``at``)."""
+    long = np.flatnonzero(np.diff(at) > room)
+    where, place = [], []
+    for t in long:
+        low, high = int(at[t]), int(at[t + 1])
+        while high - low > room and (low := _safe_place(raw, low + room, high)) < high:
+            where.append(t + 1)
+            place.append(low)
+    if not where:
+        return at, np.arange(len(at))
+    return np.insert(at, where, place), np.arange(len(at)) + np.searchsorted(where, np.arange(len(at)), "right")
+
+
+def pieces(raw: np.ndarray, at: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte of each piece, pieces before each text) of the texts between the offsets ``at``; ``digits`` is the most of them in a piece."""
+    if not len(raw):
+        return np.zeros(0, np.int64), np.zeros(len(at), np.int64)
+    byte, c = characters(raw)
+    edge = at if byte is None else np.searchsorted(byte, at)
+    some = np.diff(edge) > 0
+    begins, ends = edge[:-1][some], edge[1:][some] - 1
+    before, after = moved(c, 1, begins), moved(c, -1, ends)
+    # an unattached other: a space before it belongs to it, and it leads the letters after it if it is alone
+    other = (c & OTHER != 0) & (before & (OTHER | SPACE) == 0)
+    leads = moved(other | (c & (BLANK | LINE_END) == BLANK), 1, begins)
+    alone = (c & BLANK != 0) & ((before | after) & BLANK == 0)
+    cut = other | ((c & LETTER > before & LETTER) & ~leads) | (c & NUMBER > before & NUMBER) | (alone & ~((c & LINE_END != 0) & (before & OTHER != 0)))
+
+    _digits(cut, c, before, digits)
+    _blank_runs(cut, c, before, after, OTHER)
+
     quote = np.flatnonzero((c & QUOTE != 0) & other & (after & LETTER != 0))
     if len(quote):
-        p = quote if byte is None else byte[quote]
-        x, y = raw[p + 1] | 0x20, raw[np.minimum(p + 2, len(raw) - 1)] | 0x20
-        one = np.isin(x, np.frombuffer(b"stmd", np.uint8))
-        two = (((x == ord("r")) | (x == ord("v"))) & (y == ord("e")) | (x == ord("l")) & (y == ord("l"))) & (after[quote + 1] & LETTER != 0)
-        last = (quote + one + 2 * two)[one | two]
+        letters = _contraction(raw, byte, quote, after)
+        last = (quote + letters)[letters > 0]
         cut[(last + 1)[after[last] & LETTER != 0]] = True
 
     start = np.flatnonzero(cut)
@@ -152,7 +298,7 @@ class Encoder:
         """``split``: from bytes and offsets of texts to the first byte of each piece and the pieces before each text."""
         import tiktoken
 
-        self.split = split
+        self.split, self.ranks = split, ranks
         self.marked = tiktoken.Encoding("pieces", pat_str=r"[^\x01]+|\x01", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.mark_id = ranks[bytes([MARK])]
         classes()
@@ -172,6 +318,19 @@ class Encoder:
         text = np.repeat(start - begin, whole) + np.arange(int(whole.sum()))
         text = raw.take(text, mode="clip")
         text[begin + size] = MARK
+        if len(held := np.flatnonzero(text == MARK)) > len(size):
+            piece = np.searchsorted(begin, held, "right") - 1
+            bad = np.unique(piece[held != (begin + size)[piece]])
+            good = np.setdiff1d(np.arange(len(size)), bad)
+            ids, n = self._encoded(raw, start[good], size[good])
+            odd = [encode_piece(raw[s : s + m].tobytes(), self.ranks) for s, m in zip(start[bad], size[bad], strict=True)]
+            count = np.zeros(len(size), np.int64)
+            count[good], count[bad] = n, [len(x) for x in odd]
+            low, out = np.cumsum(count) - count, np.empty(int(count.sum()), np.int32)
+            out[np.repeat(low[good] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+            for a, x in zip(low[bad], odd, strict=True):
+                out[a : a + len(x)] = x
+            return out, count
         ids = np.array(self.marked(text.tobytes().decode()), np.int32)
         marks = np.flatnonzero(ids == self.mark_id)
         return np.delete(ids, marks), np.diff(np.r_[-1, marks]) - 1
@@ -231,8 +390,8 @@ class Encoder:
                 left, s = left[stay], (s[stay] + 1) & last
         return value
 
-    def _chunks(self, raw: np.ndarray, at: np.ndarray):
-        """(blocks of pieces, pieces before each text) of runs of whole texts."""
+    def _chunks(self, raw: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
+        """(blocks of pieces, pieces before each segment) of runs of whole segments."""
         first = 0
         while first < len(at) - 1:
             end = max(first + 1, int(np.searchsorted(at, at[first] + CHUNK, "right")) - 1)
@@ -252,13 +411,14 @@ class Encoder:
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, n + 1 offsets into them)."""
         out, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        at, own = segments(raw, at, CHUNK)
         for blocks, before in self._chunks(raw, at):
             counts = [np.zeros(1, np.int64)]
             for low, count in blocks:
                 out.append(self._gathered(low, count))
                 counts.append(count)
             sizes.append(np.diff(np.cumsum(np.concatenate(counts))[before]))
-        return np.concatenate(out), np.cumsum(np.concatenate(sizes))
+        return np.concatenate(out), np.cumsum(np.concatenate(sizes))[own]
 
     def encode_whole(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same of texts each of which is one piece."""
@@ -275,11 +435,12 @@ class Encoder:
 
     def count(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The number of ids of each text."""
-        sizes = [np.zeros(0, np.int64)]
+        sizes = [np.zeros(1, np.int64)]
+        at, own = segments(raw, at, CHUNK)
         for blocks, before in self._chunks(raw, at):
             counts = [np.zeros(1, np.int64), *(count for _, count in blocks)]
             sizes.append(np.diff(np.cumsum(np.concatenate(counts))[before]))
-        return np.concatenate(sizes)
+        return np.diff(np.cumsum(np.concatenate(sizes))[own])
 
 
 class Decoder:
