@@ -1,12 +1,16 @@
 import random
+import time
 from collections import Counter, defaultdict
-from itertools import product
+from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from tests.llm.conftest import make
 
 from tokloom.llm import lengths, packing, sharding
 from tokloom.llm import tokens as K
+from tokloom.llm.rows import numbered
 from tokloom.operators import vectorized as V
 
 
@@ -55,40 +59,127 @@ def check_bins(rows, want, capacity):
     return len(bins)
 
 
-def test_packing_invariants(spark):
+def contents(groups):
+    return [[s for s, c in items.items() for _ in range(c)] for n, items in groups for _ in range(n)]
+
+
+def plain_best_fit(sizes, capacity):
+    """One document at a time."""
+    bins = []
+    for n in sorted(sizes, reverse=True):
+        fits = [b for b in bins if sum(b) + n <= capacity]
+        if fits:
+            max(fits, key=sum).append(n)
+        else:
+            bins.append([n])
+    return bins
+
+
+def better(bins, capacity):
+    """Some exchange, by trying all of them, that raises the sum of squared fills of underfull bins."""
+    under = [b for b in bins if sum(b) < capacity]
+    for t, d in permutations(range(len(under)), 2):
+        taker, giver = under[t], under[d]
+        for s in giver:
+            for give in [(), *((x,) for x in taker), *combinations(taker, 2)]:
+                gain = s - sum(give)
+                if gain > 0 and sum(taker) + gain <= capacity and (sum(taker) + gain) ** 2 + (sum(giver) - gain) ** 2 > sum(taker) ** 2 + sum(giver) ** 2:
+                    return taker, giver, give, s
+    return None
+
+
+def groups_of(bins):
+    return [(n, dict(key)) for key, n in Counter(tuple(sorted(Counter(b).items())) for b in bins).items()]
+
+
+def test_packing_against_plain_best_fit_and_all_exchanges():
+    rng, raised = random.Random(1), 0
+    for _ in range(150):
+        cap = rng.choice([10, 20, 50])
+        sizes = [rng.randrange(1, cap) for _ in range(rng.randrange(1, 40))]
+        start = packing.best_fit(Counter(sizes), cap)
+        assert sorted(map(sum, contents(start))) == sorted(map(sum, plain_best_fit(sizes, cap)))
+        # from best fit, and from bins of one document each
+        for before in (start, groups_of([[s] for s in sizes])):
+            bins = contents(packing.local_search(before, cap))
+            assert Counter(s for b in bins for s in b) == Counter(sizes) and max(map(sum, bins)) <= cap
+            assert better(bins, cap) is None
+            squares = lambda bins: sum(sum(b) ** 2 for b in bins)
+            assert squares(bins) >= squares(contents(before)) and len(bins) <= len(contents(before))
+            raised += squares(bins) > squares(contents(before))
+    assert raised > 100
+
+
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [
+        ([[3, 4, 2], [8]], [[2, 8], [3, 4]]),  # two for one
+        ([[6, 3], [7]], [[7, 3], [6]]),  # one for one
+        ([[6], [4]], [[6, 4]]),  # a move, and the bin it empties is gone
+        ([[6, 3], [5, 4], [4, 3, 2], [3]], [[6, 4], [5, 3, 2], [4, 3, 3]]),  # several, till a bin is empty
+    ],
+)
+def test_each_exchange(before, after):
+    assert better(before, 10)
+    bins = contents(packing.local_search(groups_of(before), 10))
+    assert sorted(map(sum, bins)) == sorted(map(sum, after)) and better(bins, 10) is None
+    # the same for a thousand such bins at a time
+    many = packing.local_search([(1000 * n, items) for n, items in groups_of(before)], 10)
+    assert sum(n for n, _ in many) <= 1000 * len(after)
+
+
+def test_local_search_saves_bins_of_middling_documents():
+    counts = Counter(np.random.default_rng(0).integers(100, 200, 20000).tolist())
+    start = packing.best_fit(counts, 410)
+    assert sum(n for n, _ in packing.local_search(start, 410)) < 0.97 * sum(n for n, _ in start)
+
+
+@pytest.mark.parametrize("size", [1, 3, 5])
+def test_many_short_documents_take_no_time(size):
+    began = time.perf_counter()
+    bins, runs = packing.plan({size: 10**9})
+    assert time.perf_counter() - began < 1 and bins <= -(-(10**9) // (4096 // size))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_packing_of_a_table(spark, kind):
     rng = random.Random(3)
     sizes = {d: rng.choice([rng.randrange(1, 60), rng.randrange(1, 400), 250]) for d in range(900)}
-    df = spark.createDataFrame(list(sizes.items()), "doc_id long, n_tokens long")
-    for group_docs in (10**6, 200):
-        n = check_bins(packing.pack(df, 100, group_docs).collect(), sizes, 100)
-        assert n <= -(-sum(sizes.values()) // 100) + 3 * max(1, 900 // group_docs + 1)
-
-
-def test_local_search_raises_squares_and_finds_optimal_bins():
-    rng = random.Random(1)
-    worse = 0
-    for _ in range(60):
-        cap, sizes = 20, sorted((rng.randrange(1, 15) for _ in range(7)), reverse=True)
-        start = packing.best_fit(sizes, cap)
-        out = packing.local_search(sizes, [list(b) for b in start], cap)
-        squares = lambda bins: sum(sum(sizes[i] for i in b) ** 2 for b in bins)
-        assert squares(out) >= squares(start) and len(out) <= len(start) and sorted(i for b in out for i in b) == list(range(7))
-        assert all(sum(sizes[i] for i in b) <= cap for b in out)
-        best = min((len(set(p)) for p in product(range(3), repeat=7) if all(sum(sizes[i] for i in range(7) if p[i] == k) <= cap for k in range(3))), default=len(out))
-        worse += len(out) > best
-    assert worse <= 4
-    # best fit leaves [7, 2] [6, 3] [4]; exchanges empty a bin
-    sizes = [6, 5, 5, 4, 4, 3, 3]
-    assert len(packing.local_search(sizes, [[0, 5], [1, 3], [2, 4], [6]], 10)) == 3
-
-
-def test_local_search_exchanges_two_for_one():
-    sizes = [9, 5, 3, 8]
-    out = packing.local_search(sizes, [[1, 2], [0], [3]], 10)
-    assert sum(sum(sizes[i] for i in b) ** 2 for b in out) >= 8**2 + 9**2 + 8**2 and len(out) == 3
-    before = [[0, 1], [2]]
-    out = packing.local_search([3, 4, 9], before, 10)  # 3 and 4 for 9
-    assert sorted(sorted(b) for b in out) == [[0, 1], [2]]
+    df = spark.createDataFrame(list(sizes.items()), "doc_id long, n_tokens long").selectExpr(f"CAST(doc_id AS {kind}) doc_id", "n_tokens")
+    rows = [r.asDict() | {"doc_id": int(r["doc_id"])} for r in packing.pack(df, 100).collect()]
+    assert check_bins(rows, sizes, 100) == packing.plan(Counter(n % 100 for n in sizes.values() if n % 100), 100)[0] + sum(n // 100 for n in sizes.values())
+    rests = defaultdict(list)
+    for r in rows:
+        if r["n_tokens"] < 100:
+            rests[r["bin_id"]].append(r["n_tokens"])
+    assert better(list(rests.values()), 100) is None
+    assert len(rests) <= len(plain_best_fit([n % 100 for n in sizes.values() if n % 100], 100))
+
+
+def test_packing_of_many_equal_rows(spark):
+    df = spark.range(0, 3000, 1, 8).selectExpr("CAST(NULL AS long) doc_id", "CAST(if(id % 3 = 0, id % 7 + 1, 5) AS long) n_tokens")
+    rows = packing.pack(df, 16).collect()
+    want = Counter({None: df.agg({"n_tokens": "sum"}).first()[0]})
+    check_bins(rows, want, 16)
+    assert len({(r["bin_id"], r["bin_offset"]) for r in rows}) == 3000
+
+
+def test_numbers_within_groups(spark):
+    rng = random.Random(4)
+    data = [(rng.randrange(4), rng.choice([None, 1, 1, 1, rng.randrange(50)]), rng.randrange(5)) for _ in range(4000)]
+    df = spark.createDataFrame(data, "g int, k int, n long").repartition(6)
+    out = numbered(df, "g", ["k"], "n").collect()
+    by = defaultdict(list)
+    for r in out:
+        by[r["g"]].append((r["r"], r["k"]))
+    for g, rows in by.items():
+        rows.sort()
+        assert [r for r, _ in rows] == list(range(len(rows)))
+        keys = [(k is None, k or 0) for _, k in rows]
+        assert keys == sorted(keys) and len(rows) == sum(x[0] == g for x in data)
+    spans = sorted((r["before"], r["before"] + r["n"]) for r in out)
+    assert all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False)) and spans[-1][1] == sum(x[2] for x in data)
+    assert numbered(df.limit(0), "g", ["k"]).count() == 0
 
 
 def test_packing_of_odd_rows(odd, odd_rows, empty):
@@ -111,7 +202,7 @@ def brute_ring(keys, hashes, shards, vnodes, slack):
     room = [max(1, -(-int(np.ceil((1 + slack) * len(keys))) // shards))] * shards
     arcs = defaultdict(list)
     for k, h in zip(keys, hashes, strict=True):
-        arcs[int(np.searchsorted(positions, h)) % len(positions)].append((h, -1 if k is None else k, k))
+        arcs[int(np.searchsorted(positions, h)) % len(positions)].append((h, k is None, k or 0, k))
     todo = [(a, [k for *_, k in sorted(v)]) for a, v in sorted(arcs.items())]
     out, turn = [], 0
     while todo:
@@ -137,6 +228,14 @@ def test_ring_against_key_by_key(spark):
         assert max(Counter(s for _, s in got).values()) <= np.ceil(np.ceil((1 + slack) * len(keys)) / shards)
 
 
+def test_a_key_that_most_rows_have(spark):
+    df = spark.range(0, 5000, 1, 8).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN NULL ELSE CAST(id AS string) END AS doc_id")
+    got = [r["shard"] for r in sharding.assign(df, shards=10, vnodes=20, slack=0.1).collect()]
+    assert len(got) == 5000 and max(Counter(got).values()) <= 550
+    plan = sharding.assign(df, shards=10, vnodes=20, slack=0.1)._jdf.queryExecution().toString()
+    assert "row_number" not in plan
+
+
 def test_a_new_shard_moves_few_keys(spark):
     df = spark.range(20000).withColumnRenamed("id", "doc_id")
     a, b = (dict(map(tuple, sharding.assign(df, shards=n).collect())) for n in (20, 21))
@@ -149,6 +248,11 @@ def test_sharding_of_odd_rows(odd, odd_rows, empty):
     assert sharding.assign(empty).count() == 0
 
 
+def test_counts_of_long_blanks(spark):
+    texts = [" " * 10**6, "\x01", " " * 10**6 + "\x01", "a" * 10**6, ("word and\n" * 10**5)]
+    assert [r["n_tokens"] for r in K.counted(make(spark, list(enumerate(texts)))).collect()] == [10**6, 1, 10**6 + 1, len(encoder().encode_ordinary(texts[3])), len(encoder().encode_ordinary(texts[4]))]
+
+
 def test_counts_and_pieces_against_another_encoder():
     rng = random.Random(5)
     parts = [*"aZéß1²٣ \t\n\r\u00a0\u2003'.,!-/中ſ\0\x01", "\U0001f600", "'s", "'RE", "'ll", "'ve", "  ", "\r\n", " '", "x" * 30, " the"]

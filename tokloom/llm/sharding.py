@@ -5,10 +5,11 @@ more than ceil((1 + SLACK) * keys / shards). A shard fills from its arcs in ring
 clockwise, point by point, to the first shard with room. Adding or removing a shard moves its arcs and some overflow, and little else.
 
 Only counts per arc, shards times VNODES numbers whatever the data, reach the driver, which plans who overflows where.
-Rows of arcs that keep all their keys are placed by a map, with no shuffle; only the arcs that overflow are shuffled, to rank their keys.
+Rows of arcs that keep all their keys are placed by a map, with no shuffle; only the arcs that overflow are shuffled, by ranges of (arc, hash, key), to rank their keys; a
+key that a third of the rows have is spread over many partitions.
 
-Rows: every row is placed, repeated ones each. A null key hashes like any other value, and is first among equal hashes. Extra columns are of no matter;
-an empty table gives an empty result.
+Rows: every row is placed, repeated ones each. A null key hashes like any other value, and is last among equal hashes. Keys may be of any type with an order. No text is read, so its length is
+of no matter. Extra columns are of no matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokloom.session import prepare
+from tokloom.llm.rows import numbered
+from tokloom.session import prepare, save
 
 SHARDS, VNODES, SLACK = 64, 100, 0.05
 
@@ -85,8 +87,8 @@ def assign(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, vnodes: i
     out = found.where("shard >= 0").select("key", "shard")
     if split:
         ranges = F.broadcast(spark.createDataFrame(split, "arc int, low long, high long, to int"))
-        ranked = found.where("shard < 0").withColumn("r", F.row_number().over(Window.partitionBy("arc").orderBy("h", "key")))
-        out = out.union(ranked.join(ranges, "arc").where("r BETWEEN low AND high").select("key", F.col("to").alias("shard")))
+        ranked = numbered(save(found.where("shard < 0").select("key", "h", "arc"), "ring-overflow"), "arc", ["h", "key"])
+        out = out.union(ranked.join(ranges, "arc").where("r + 1 BETWEEN low AND high").select("key", F.col("to").alias("shard")))
     return out.withColumnRenamed("key", key)
 
 
