@@ -1,10 +1,12 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from tests.llm.conftest import make
 
 from tokloom.llm import langid, quality
+from tokloom.llm import words as W
 
 
 def joined(texts):
@@ -41,7 +43,8 @@ def test_convolution_against_plain_loops():
     assert np.allclose(fast, slow, atol=1e-4) and np.allclose(ready, slow, atol=1e-4)
 
 
-def test_gradients_against_differences():
+def test_gradients_against_differences(monkeypatch):
+    """Of every layer, the learned filters too, in double precision."""
     rng = random.Random(5)
     texts = [bytes(rng.randrange(97, 110) for _ in range(n)) for n in (5, 300, 900)]
     raw, at = joined(texts)
@@ -49,21 +52,33 @@ def test_gradients_against_differences():
     m = quality.initial()
     for name in ("table", "bias", "dense", "dense_bias", "out"):
         setattr(m, name, getattr(m, name).astype(np.float64))
+    monkeypatch.setattr(quality, "REAL", np.float64)
     grads = quality._gradients(m, raw, at, y, w)
 
     def loss():
         p = quality.score(m, raw, at)
         return -(w * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()
 
-    for p, g in zip(m.parameters()[2:], grads[2:], strict=True):  # layers above the single-precision pooling
-        i = np.unravel_index(np.abs(g).argmax(), g.shape)
-        old, e = p[i], 1e-5
-        p[i] = old + e
-        up = loss()
-        p[i] = old - e
-        down = loss()
-        p[i] = old
-        assert abs((up - down) / (2 * e) - g[i]) < 1e-3 * max(1, abs(g[i]))
+    for p, g in zip(m.parameters(), grads, strict=True):
+        largest = np.argsort(np.abs(g).ravel())[::-1]
+        assert abs(g.ravel()[largest[0]]) > 1e-4
+        for place in largest[:12]:
+            i = np.unravel_index(place, g.shape)
+            old, e = p[i], 1e-6
+            p[i] = old + e
+            up = loss()
+            p[i] = old - e
+            down = loss()
+            p[i] = old
+            assert abs((up - down) / (2 * e) - g[i]) < 1e-4 * max(1, abs(g[i]))
+
+
+def test_quality_is_fitted_on_one_row_of_an_id(spark, tables):
+    docs, labels = tables
+    rows = docs.select("doc_id", "text")
+    many = rows.union(rows.limit(5).crossJoin(spark.range(40)).select("doc_id", "text"))
+    a, b = quality.train(rows, labels, sample=60), quality.train(many, labels, sample=60)
+    assert all((x == y).all() for x, y in zip(a.parameters(), b.parameters(), strict=True)) and a.threshold == b.threshold
 
 
 def test_quality_of_held_out_documents(tables):
@@ -109,6 +124,127 @@ def test_forward_backward_against_a_plain_chain():
         assert np.allclose(post, p / p.sum(axis=1, keepdims=True), atol=1e-6)
 
 
+def slow_label(m, text):
+    """Words by a plain loop, features of each by name, the chain by the plain recurrence; (lang, probability) of each word."""
+    is_word = lambda b: b >= 128 or chr(b).isalnum()
+    low, words, i = text.lower(), [], 0  # ASCII and no ideographs here
+    while i < len(text):
+        j = i
+        while j < len(text) and is_word(text[j]):
+            j += 1
+        if j > i:
+            words.append((i, j))
+        i = max(j, i + 1)
+    slot = lambda x: (x & 0xFFFFFFFF) >> 17
+    rows = []
+    for a, b in words:
+        word, n, row = low[a:b], b - a, np.zeros(len(m.langs))
+        for k in range(1, 4):
+            pre, suf = 7 * k, 7 * k + 3
+            for j in range(k):
+                pre = pre * 257 + (word[j] if j < n else 0)
+                suf = suf * 257 + (word[n - 1 - j] if j < n else 0)
+            row += m.weight[slot(pre * 0xC2B2AE3D)] + m.weight[slot(suf * 0xC2B2AE3D)]
+        h = int(W.words(np.frombuffer(word, np.uint8), np.array([0, n])).hash[0])
+        row += m.weight[h >> 49]
+        grams = np.zeros(len(m.langs))
+        for p in range(n):
+            before = word[p - 1] if p else 0
+            here, after = word[p], word[p + 1] if p + 1 < n else 0
+            grams += m.weight[slot((before + here * 256) * 0x9E3779B1)] + m.weight[slot((before + here * 256 + after * 65536) * 0x85EBCA77)]
+        row += grams / n * 3
+        if h in m.lexicon.tolist():
+            row += m.boost[m.owner[m.lexicon.tolist().index(h)]]
+        rows.append(row)
+    e, A, init = np.exp(np.array(rows)), np.exp(m.step), np.exp(m.start)
+    alpha, v = [], None
+    for t in range(len(rows)):
+        v = (init if t == 0 else v @ A) * e[t]
+        v = v / v.sum()
+        alpha.append(v)
+    out, u = [], np.ones(len(m.langs))
+    for t in range(len(rows) - 1, -1, -1):
+        p = alpha[t] * u / (alpha[t] * u).sum()
+        out.append((m.langs[int(p.argmax())], float(p.max())))
+        u = A @ (e[t] * u)
+        u = u / u.sum()
+    return out[::-1]
+
+
+def test_language_query_against_plain_loops(spark, model):
+    """From features to spans, as the query gives them."""
+    texts = ["The cat and the dog, and le chat dans la maison; und der Hund", "x", "Ein 12 Wort-teil here", "der die das the of to la les des", "a" * 40 + " b" * 30]
+    for r in langid.identify(make(spark, list(enumerate(texts))), model).collect():
+        want = slow_label(model, texts[r["doc_id"]].encode())
+        got = [(s["lang"], k) for s in r["spans"] for k in range(s["first_word"], s["first_word"] + s["n_words"])]
+        assert got == [(x, k) for k, (x, _) in enumerate(want)] and r["n_words"] == len(want)
+        assert r["n_switches"] == sum(a[0] != b[0] for a, b in zip(want, want[1:], strict=False))
+        for s in r["spans"]:
+            assert abs(s["p"] - np.mean([p for _, p in want[s["first_word"] : s["first_word"] + s["n_words"]]])) < 2e-3
+        assert r["lang"] == max(sorted(model.langs), key=lambda x: sum(w == x for w, _ in want))
+
+
+def test_gradients_of_the_chain_against_differences():
+    rng = np.random.default_rng(3)
+    L, n = 3, 40
+    zeros = (np.zeros(0, np.uint64), np.zeros(0, int), np.zeros((L, L)))
+    m = langid.Model(list("abc"), np.zeros((1, L)), rng.normal(0, 1, (L, L)), rng.normal(0, 1, L), *zeros)
+    score, first, truth = rng.normal(0, 2, (n, L)), np.zeros(n, bool), rng.integers(0, L, n)
+    first[[0, 17, 18]] = True
+
+    def likelihood():
+        """Log of the truth's score over that of all paths."""
+        total, v = 0.0, None
+        for t in range(n):
+            if first[t]:
+                total -= 0 if v is None else np.log(np.exp(v).sum())
+                total += m.start[truth[t]]
+                v = m.start + score[t]
+            else:
+                total += m.step[truth[t - 1], truth[t]]
+                v = np.log(np.exp(v[:, None] + m.step).sum(axis=0)) + score[t]
+            total += score[t, truth[t]]
+        return total - np.log(np.exp(v).sum())
+
+    post, alpha = langid.posteriors(m, score, first)
+    g = post.copy()
+    g[np.arange(n), truth] -= 1
+    seen, inner = np.zeros((L, L)), np.flatnonzero(~first)
+    np.add.at(seen, (truth[inner - 1], truth[inner]), 1)
+    for p, grad in ((score, g), (m.step, langid._edges(m, score, post, alpha, first) - seen), (m.start, g[first].sum(axis=0))):
+        for i in np.ndindex(*p.shape):
+            old, e = p[i], 1e-5
+            p[i] = old + e
+            up = likelihood()
+            p[i] = old - e
+            down = likelihood()
+            p[i] = old
+            assert abs((down - up) / (2 * e) - grad[i]) < 1e-5
+
+
+def test_long_texts_are_labelled_in_strips(model, monkeypatch):
+    raw, at = joined([("the cat und der hund, le chat est dans la maison " * 400).encode()])
+    whole = langid.label(model, raw, at)
+    monkeypatch.setattr(W, "CHUNK", 700)
+    before, state, p = langid._labelled(model, raw, at)
+    assert before.tolist() == [0, len(whole[1])] and (state == whole[1]).all() and np.allclose(p, whole[2], atol=1e-5)
+
+
+def test_every_language_has_its_share_of_the_sample(spark, monkeypatch):
+    rows = [(k, f"text number {k}", "en" if k % 300 else "rare") for k in range(6000)] + [(1, "text again", "en")] * 3000 + [(None, "no id", "other"), (None, "no id", "other")]
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda texts, lang: seen.update(n=Counter(lang), texts=texts))
+    langid.train(make(spark, rows), sample=90)
+    assert seen["n"] == {"en": 30, "rare": 20, "other": 1} and len(set(seen["texts"])) == 51
+
+
+def test_all_words_of_both_texts_are_in_a_switched_one():
+    texts = [" ".join(f"w{i}" for i in range(n)).encode() for n in (3, 900, 50)]
+    for i, (text, spans) in enumerate(langid.switched(texts, np.array([0, 1, 2]), np.random.default_rng(1))):
+        counts = Counter(text.split())
+        assert any(counts == Counter(texts[i].split()) + Counter(t.split()) for t in texts) and sum(n + 1 for _, n in spans) == len(text) + 1
+
+
 @pytest.fixture(scope="module")
 def model(tables):
     return langid.train(tables[0], sample=400)
@@ -132,7 +268,7 @@ def test_language_of_odd_rows(odd, odd_rows, empty, model):
     for r, (_, t) in zip(out, odd_rows, strict=True):
         assert r["n_words"] == sum(s["n_words"] for s in r["spans"]) and (r["lang"] is None) == (r["n_words"] == 0)
         assert (r["n_words"] == 0) == (not t or not any(c.isalnum() for c in t)) and r["n_switches"] == max(0, len(r["spans"]) - 1)
-        assert [s["first_word"] for s in r["spans"]] == [sum(x["n_words"] for x in r["spans"][:i]) for i in range(len(r["spans"]))]
+        assert [s["first_word"] for s in r["spans"]] == np.cumsum([0, *(s["n_words"] for s in r["spans"])])[: len(r["spans"])].tolist()
     assert out[13]["n_words"] == 60000 or max(r["n_words"] for r in out) == 60000
     assert langid.identify(empty, model).count() == 0
 

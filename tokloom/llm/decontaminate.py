@@ -7,7 +7,8 @@ a document with a score of at least THRESHOLD has leaked the item, in whole, in
 score as much is not aligned; this leaves out no leak.
 
 The pass is a map: nothing is shuffled, and only flagged pairs leave it. The benchmark side is broadcast in parts of at most PART_WORDS
-words; a larger benchmark is worked off part by part, each with a pass of its own, so what a worker holds does not grow. There is no cap on candidates.
+words; a larger benchmark is worked off part by part, each with a pass of its own, so what a worker holds does not grow. There is no cap on candidates: seeds are worked off in blocks of SEEDS,
+a text longer than a chunk in strips that share more words than an alignment can span, and a passage longer than WIDTH words in strips likewise, so that memory is bounded and no score changes.
 
 Rows: null and empty texts match nothing; items that are null or without a word are left out, and one of fewer than GRAM words is one seed of all its words and is
 found only where it stands alone or by its whole run. Repeated rows count each and are flagged alike; items of equal text are reported each. Extra columns are of no matter.
@@ -26,14 +27,20 @@ from pyspark.sql import types as T
 
 from tokloom.llm import words as W
 from tokloom.llm.rows import positional
+from tokloom.llm.words import Finder
 from tokloom.session import prepare
 
 GRAM, THRESHOLD, PART_WORDS = 3, 0.5, 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words around the seeds' diagonal, as a share of the item, that a passage may hold beside the item's length.
 MARGIN = 0.5
-#: Words of passages, with their padding, that are aligned side by side; a longer passage is aligned by itself.
+#: Words of passages, with their padding, that are aligned side by side.
 AREA = 1 << 15
+#: Words of a passage that are aligned at a time, or WIDE times the item's if that is more; the next strip begins SPAN times the item's before the end, for a match gains 2 and a gap costs 1,
+#: so that an alignment of positive score spans at most that.
+WIDTH, WIDE, SPAN = 4096, 8, 3
+#: Places of seeds that are worked on at a time.
+SEEDS = 1 << 19
 
 
 class Items:
@@ -57,28 +64,13 @@ class Items:
             item.append(of[use])
             pos.append((first - self.at[of])[use])
         self.gram, self.item, self.pos = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((gram, np.uint64), (item, np.int64), (pos, np.int64)))
-        order = np.argsort(self.gram, kind="stable")
+        # of a gram that an item holds at several places, the first and the last
+        order = np.lexsort((self.pos, self.item, self.gram))
         self.gram, self.item, self.pos = self.gram[order], self.item[order], self.pos[order]
-        self.known = np.unique(self.gram)
-
-
-class Finder:
-    """Membership of many hashes in a small sorted set, by a bit table first."""
-
-    def __init__(self, known: np.ndarray):
-        self.known = known
-        self.bits = max(12, int(len(known)).bit_length() + 5)
-        self.table = np.zeros(1 << self.bits, bool)
-        self.table[known >> np.uint64(64 - self.bits)] = True
-
-    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in x, index in known) of the members."""
-        at = np.flatnonzero(self.table[x >> np.uint64(64 - self.bits)])
-        if not len(self.known):
-            return at[:0], at[:0]
-        i = np.minimum(np.searchsorted(self.known, x[at]), len(self.known) - 1)
-        ok = self.known[i] == x[at]
-        return at[ok], i[ok]
+        new = np.flatnonzero(np.r_[True, (self.gram[1:] != self.gram[:-1]) | (self.item[1:] != self.item[:-1])][: len(order)])
+        self.last = np.maximum.reduceat(self.pos, new) if len(new) else self.pos
+        self.gram, self.item, self.pos = self.gram[new], self.item[new], self.pos[new]
+        self.known, self.kind = np.unique(self.gram, return_inverse=True)
 
 
 def _grams(w: W.Words, lengths: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -114,11 +106,19 @@ def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(np.arange(len(size)), size), np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
 
 
+def _runs(cost: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of at least one that cost ``most`` together, or one that costs more."""
+    total, a = np.r_[0, np.cumsum(cost)], 0
+    while a < len(cost):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + most, "right")) - 1)
+        yield slice(a, b)
+        a = b
+
+
 def shared_words(items: Items, item: np.ndarray, w: W.Words, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Words of each item that its passage, from begin to end, holds in any place; no alignment matches more."""
     out = np.zeros(len(item), np.int64)
-    for s in range(0, len(item), 1024):
-        part = slice(s, s + 1024)
+    for part in _runs(np.diff(items.at)[item] + end - begin, AREA * 8):
         (a, i), (b, j) = _spread(items.at[item[part]], items.at[item[part] + 1]), _spread(begin[part], end[part])
         key = lambda word, pair: word + W.mix(pair.astype(np.uint64) + np.uint64(1))
         held = np.isin(key(items.words[i], a), key(w.hash[j], b))
@@ -126,38 +126,18 @@ def shared_words(items: Items, item: np.ndarray, w: W.Words, begin: np.ndarray,
     return out
 
 
-def matches(items: Items, find: Finder, w: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, item, score) of the pairs at or above THRESHOLD."""
-    where, which = [], []
-    for g, first in _grams(w, items.lengths):
-        at, i = find(g)
-        where.append(first[at])
-        which.append(i)
-    none = np.zeros(0, np.int64)
-    at, i = (np.concatenate(x) if x else none for x in (where, which))
-    if not len(at):
-        return none, none, np.zeros(0)
-    low, high = (np.searchsorted(items.gram, items.known[i], side) for side in ("left", "right"))
-    times = high - low
-    at = np.repeat(at, times)
-    seed = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
-    item = items.item[seed]
-    doc = np.searchsorted(w.at, at, "right") - 1
+def _scores(items: Items, w: W.Words, item: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Score of each item with its passage, from begin to end, over that of the item with itself; 0 where it cannot reach THRESHOLD."""
     size = np.diff(items.at)[item]
-    pad = np.ceil(size * MARGIN).astype(np.int64)
-    begin = np.maximum(at - items.pos[seed] - pad, w.at[doc])
-    end = np.minimum(at - items.pos[seed] + size + pad, w.at[doc + 1])
-    order = np.lexsort((begin, item, doc))
-    doc, item, begin, end = doc[order], item[order], begin[order], end[order]
-    # windows of one item that overlap by most are one passage
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] > begin[:-1] + np.ceil(np.diff(items.at)[item[1:]] * MARGIN / 2))]
-    group = np.cumsum(new) - 1
-    starts = np.flatnonzero(new)
-    end = np.maximum.reduceat(end, starts)
-    doc, item, begin = doc[starts], item[starts], begin[starts]
-    assert len(end) == group[-1] + 1
-    score = np.zeros(len(doc))
-    able = np.flatnonzero(shared_words(items, item, w, begin, end) >= THRESHOLD * np.diff(items.at)[item])
+    width = np.maximum(WIDTH, WIDE * size)
+    strips = np.maximum(1, -(-(end - begin - SPAN * size) // (width - SPAN * size)))
+    of, nth = _spread(np.zeros(len(strips), np.int64), strips)
+    item, size, width = item[of], size[of], width[of]
+    begin = begin[of] + nth * (width - SPAN * size)
+    end = np.minimum(begin + width, end[of])
+    score = np.zeros(len(of))
+    able = np.flatnonzero(end - begin >= THRESHOLD * size)
+    able = able[shared_words(items, item[able], w, begin[able], end[able]) >= THRESHOLD * size[able]]
     able = able[np.argsort((end - begin)[able], kind="stable")]
     while len(able):
         # widths are in order: as many as stay below AREA when padded to the last
@@ -166,14 +146,63 @@ def matches(items: Items, find: Finder, w: W.Words) -> tuple[np.ndarray, np.ndar
         a = [items.words[items.at[k] : items.at[k + 1]] for k in item[now]]
         b = [w.hash[x:y] for x, y in zip(begin[now], end[now], strict=True)]
         score[now] = align(a, b) / (MATCH * np.array([len(x) for x in a]))
-    ok = score >= THRESHOLD
-    doc, item, score = doc[ok], item[ok], score[ok]
+    return np.maximum.reduceat(score, np.cumsum(strips) - strips) if len(score) else score
+
+
+def _best(doc: np.ndarray, item: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row, of the highest score, for each document and item."""
     order = np.lexsort((-score, item, doc))
     doc, item, score = doc[order], item[order], score[order]
     first = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])][: len(doc)]
     return doc[first], item[first], score[first]
 
 
+def matches(items: Items, find: Finder, w: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, item, score) of the pairs at or above THRESHOLD."""
+    where, which = [], []
+    for g, first in _grams(w, items.lengths):
+        at, i = find(g)
+        where.append(first[at])
+        which.append(i)
+    none = np.zeros(0, np.int64)
+    at, i = (np.concatenate(x) if x else none for x in (where, which))
+    if not len(at):
+        return none, none, np.zeros(0)
+    size_of, found = np.diff(items.at), []
+    seeds = np.bincount(items.item, np.bincount(i, minlength=len(items.known))[items.kind], len(size_of)).astype(np.int64)
+    for block in _runs(seeds, SEEDS):
+        entry = np.flatnonzero((items.item >= block.start) & (items.item < block.stop))
+        low, high = (np.searchsorted(items.kind[entry], i, side) for side in ("left", "right"))
+        of, seed = _spread(low, high)
+        seed, place = entry[seed], at[of]
+        item, doc = items.item[seed], np.searchsorted(w.at, place, "right") - 1
+        size = size_of[item]
+        pad = np.ceil(size * MARGIN).astype(np.int64)
+        begin = np.maximum(place - items.last[seed] - pad, w.at[doc])
+        end = np.minimum(place - items.pos[seed] + size + pad, w.at[doc + 1])
+        order = np.lexsort((begin, item, doc))
+        doc, item, begin, end = doc[order], item[order], begin[order], end[order]
+        # windows of one item that overlap by most are one passage
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] > begin[:-1] + np.ceil(size_of[item[1:]] * MARGIN / 2))][: len(doc)]
+        starts = np.flatnonzero(new)
+        if not len(starts):
+            continue
+        end = np.maximum.reduceat(end, starts)
+        doc, item, begin = doc[starts], item[starts], begin[starts]
+        score = _scores(items, w, item, begin, end)
+        ok = score >= THRESHOLD
+        found.append((doc[ok], item[ok], score[ok]))
+    return _best(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (none, none, np.zeros(0))
+
+
+def _matches(items: Items, find: Finder, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of texts; a text longer than a chunk is read in strips that share all words of an alignment and of the windows that lead to it."""
+    if len(at) > 2 or len(raw) <= W.CHUNK or not len(items.known):
+        return matches(items, find, W.words(raw, at))
+    longest = int(np.diff(items.at).max())
+    return _best(*(np.concatenate(x) for x in zip(*(matches(items, find, w) for _, _, w in W.strips(raw, 2 * SPAN * longest)), strict=True)))
+
+
 def parts(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", part_words: int = PART_WORDS) -> Iterator[Items]:
     """The benchmark, read once and in order, in parts of at most about ``part_words`` words."""
     ids, texts, n = [], [], 0
@@ -201,7 +230,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
             find, kind = Finder(items.known), None
             ids = pa.array(items.ids)
             for rows, raw, at in W.slices(batches, 1):
-                doc, item, score = matches(items, find, W.words(raw, at))
+                doc, item, score = _matches(items, find, raw, at)
                 kind = rows.column(0).type
                 yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(doc)).cast(kind), ids.take(pa.array(item)), pa.array(np.round(score, 4))], names=["doc_id", "item_id", "score"])
 
@@ -225,7 +254,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", part
             find = Finder(items.known)
             for batch, raw, at in W.slices(batches, column):
                 keep = np.ones(batch.num_rows, bool)
-                keep[matches(items, find, W.words(raw, at))[0]] = False
+                keep[_matches(items, find, raw, at)[0]] = False
                 yield batch.filter(pa.array(keep))
 
         rows = rows.mapInArrow(run, schema)

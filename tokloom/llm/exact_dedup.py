@@ -10,7 +10,7 @@ together move each surviving text about twice. Groups are aggregated with map-si
 millions share is no hot task, and AQE splits a skewed join back.
 
 Rows: a null text has no copies and stays. Empty texts are copies of each other. Of equal texts the row with the least
-doc_id stays, null ids last; rows that are equal in doc_id and text count as copies, too. Other columns and their names
+doc_id stays, null ids last; rows that are equal in doc_id and text count as copies, too. A very long text is compared in runs of at most MOST bytes. Ids may be of any type with an order. Other columns and their names
 are of no matter. An empty table gives an empty result.
 """
 

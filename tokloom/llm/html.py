@@ -7,8 +7,8 @@ page's text, one line each. For the deviation, a ratio above CAP times that of t
 lift the threshold over the ordinary paragraphs. Inline tags inside a paragraph, heading, item or cell share its lot: if the path of one is content, all are.
 
 It is a map over pages, with no shuffle. Markup is read by one regular expression; comments, scripts, styles, templates and the head are no content; the head ends, without a tag of its own, at the first text or tag that may not stand in it. Tags close
-each other as HTML5 says for paragraphs, items and cells, attribute values may hold brackets, and entities are resolved. Paths are interned, so deep nesting costs no more than
-its tags. The whole page is read.
+each other as HTML5 says for paragraphs, items and cells, attribute values may hold brackets, and entities are resolved. Paths are interned and the places of open tags kept by name, so a tag is opened
+and closed in the same time at any depth, and a comment or raw text that nothing ends goes to the end of the page: the time grows with the page's length. The whole page is read.
 
 Rows: a null or empty page, or one without text, gives content null and zero counts. Where no node holds punctuation the text ratio decides alone. Repeated rows are extracted alike;
 extra columns are of no matter.
@@ -17,7 +17,7 @@ extra columns are of no matter.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from tokloom.session import prepare
 
 SIGMA, SHARE, CAP = 0.5, 0.5, 4.0
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[A-Za-z][^<>]*+>", re.S)
-_RAW = {n: re.compile(rf"</{n}\b[^>]*+>|\Z", re.I) for n in ("script", "style", "template", "noscript", "textarea", "svg", "iframe")}
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[A-Za-z][^<>]*+>", re.S)
+_RAW = {n: re.compile(rf"</{n}\b[^>]*+(?:>|\Z)|\Z", re.I) for n in ("script", "style", "template", "noscript", "textarea", "svg", "iframe")}
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _HEAD = frozenset("head base link meta title style script noscript template".split())
 _BLOCK = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -46,13 +46,16 @@ def text_nodes(html: str) -> tuple[list[int], list[int], list[str]]:
     appearance. The block of a path of inline tags in one of _TEXT is the path of that, of others it is the path itself."""
     paths: dict[tuple[int, str], int] = {}
     stack: list[tuple[str, int, int]] = []
-    opened: Counter = Counter()
+    opened: dict[str, list[int]] = defaultdict(list)  # where in the stack the tags of a name are
+    scopes: list[int] = [-1]  # and those that an end of an item or cell does not reach over
     at, out_path, out_block, out_text = 0, [], [], []
 
     def close(name: str) -> None:
         while stack:
             top = stack.pop()[0]
-            opened[top] -= 1
+            opened[top].pop()
+            if top in _SCOPE:
+                scopes.pop()
             if top == name:
                 return
 
@@ -75,7 +78,7 @@ def text_nodes(html: str) -> tuple[list[int], list[int], list[str]]:
         if not name:
             continue
         if m[1]:
-            if opened[name] > 0:
+            if opened[name]:
                 close(name)
             continue
         if opened["head"] and name not in _HEAD:
@@ -83,21 +86,18 @@ def text_nodes(html: str) -> tuple[list[int], list[int], list[str]]:
         if name in _RAW and not (name == "svg" and m[3].rstrip().endswith("/")):
             at = _RAW[name].search(html, at).end()
             continue
-        if name in _BLOCK and opened["p"] > 0:
+        if name in _BLOCK and opened["p"]:
             close("p")
         for other in _CLOSES.get(name, ()):
-            if opened[other] > 0:
-                for top, _, _ in reversed(stack):
-                    if top == other:
-                        close(other)
-                        break
-                    if top in _SCOPE:
-                        break
+            if opened[other] and opened[other][-1] > scopes[-1]:
+                close(other)
         if name not in _VOID and not m[3].rstrip().endswith("/"):
             key = (stack[-1][1] if stack else 0, name)
             path = paths.setdefault(key, len(paths) + 1)
             stack.append((name, path, path if name in _TEXT else stack[-1][2] if stack and name in _INLINE else 0))
-            opened[name] += 1
+            opened[name].append(len(stack) - 1)
+            if name in _SCOPE:
+                scopes.append(len(stack) - 1)
     text(html[at:])
     return out_path, out_block, out_text
 

@@ -2,15 +2,15 @@
 
 States are the languages of the labelled documents. The score of a word in a state sums hashed features: its prefixes and
 suffixes of one to three bytes, its byte bigrams and trigrams with its edges, the word itself, and its membership in a lexicon of each
-language (the words whose share of one language in the fitting sample is highest). Learned transitions join
+language (all words that the fitting sample has five times or more, above 0.8 of them in one language). Learned transitions join
 neighbouring words. Forward-backward gives each word's posterior; a word gets the state of the greatest one.
 
-It is fitted on the driver by maximum conditional likelihood (Adam) on at most ``sample`` documents with a language,
-those of least hash of doc_id: their words in order, and code-switched texts made by alternating runs of words of different languages.
+It is fitted on the driver by maximum conditional likelihood (Adam) on at most ``sample`` documents with a language, an equal share of each language,
+those of least hash of doc_id: all their words in order, and code-switched texts made of all words of two of them by alternating runs.
 
 The chain runs over all words of a chunk of documents at once, in the manner of a two-level scan: transfer matrices
-of runs of words, then vectors into each run, then all runs side by side. That is exact for documents of any length,
-and no text is cut. Scoring is a map, with no shuffle. A word that has no letter takes the state that the chain gives it.
+of runs of words, then vectors into each run, then all runs side by side. A document longer than a chunk is read in strips, twice: once for
+the transfer matrix of each strip, once for the posteriors between the messages that enter it. That is exact for documents of any length, no text is cut, and memory does not grow with a document but for its labels. Scoring is a map, with no shuffle. A word that has no letter takes the state that the chain gives it.
 
 Rows: a null text, or one without a word, gives n_words 0, a null language and no spans. Repeated rows are labelled alike; extra columns are of no
 matter. Ties go to the first language in alphabetical order. Without a labelled document there are no states and every language is null.
@@ -23,13 +23,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokloom.llm import words as W
 from tokloom.session import prepare
 
-SLOTS, SAMPLE, EPOCHS, RATE, BATCH_WORDS, SEGMENT, LEXICON = 1 << 15, 1200, 3, 0.05, 20000, 25, 2000
+SLOTS, SAMPLE, EPOCHS, RATE, BATCH_WORDS, SEGMENT = 1 << 15, 1200, 3, 0.05, 20000, 25
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 _SHIFT = np.uint32(32 - 15)
 
@@ -93,53 +93,104 @@ def _lexicon(m: Model, w: W.Words) -> np.ndarray:
     return np.where((m.lexicon[i] == w.hash)[:, None], m.boost.take(m.owner.take(i), axis=0), 0)
 
 
-def posteriors(m: Model, score: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior (words, L), forward messages (words, L) scaled to sum 1); first marks the first word of each chain."""
-    n, L = score.shape
-    e = np.exp(score - score.max(axis=1, keepdims=True)).astype(np.float64)
-    A, init = np.exp(m.step).astype(np.float64), np.exp(m.start).astype(np.float64)
-    T = max(1, int(np.sqrt(n) / 3))  # a step over all runs costs more than one between runs
-    B = -(-n // T)
-    pad = B * T - n
-    # by place in the run, then by run
-    E = np.ascontiguousarray(np.concatenate([e, np.ones((pad, L))]).reshape(B, T, L).swapaxes(0, 1))
-    resets = [np.flatnonzero(s) for s in np.concatenate([first, np.ones(pad, bool)]).reshape(B, T).T]
-
-    def into(v: np.ndarray, t: int) -> np.ndarray:
+class _Chain:
+    """Words in runs of equal length, side by side, the last one filled up; first marks the first word of each chain."""
+
+    def __init__(self, m: Model, score: np.ndarray, first: np.ndarray):
+        self.n, self.L = score.shape
+        e = np.exp(score - score.max(axis=1, keepdims=True)).astype(np.float64)
+        self.A, self.init = np.exp(m.step).astype(np.float64), np.exp(m.start).astype(np.float64)
+        self.T = max(1, int(np.sqrt(self.n) / 3))  # a step over all runs costs more than one between runs
+        self.B = -(-self.n // self.T)
+        self.real = self.T - (self.B * self.T - self.n)  # words of the last run
+        pad = self.T - self.real
+        # by place in the run, then by run
+        self.E = np.ascontiguousarray(np.concatenate([e, np.ones((pad, self.L))]).reshape(self.B, self.T, self.L).swapaxes(0, 1))
+        self.resets = [np.flatnonzero(s) for s in np.concatenate([first, np.zeros(pad, bool)]).reshape(self.B, self.T).T]
+        M = np.broadcast_to(np.eye(self.L), (self.B, self.L, self.L))
+        for t in range(self.T):
+            M = self.into(M, t)
+        self.M = M
+
+    def into(self, v: np.ndarray, t: int) -> np.ndarray:
         """One word on: v (B, L) or (B, L, L) are messages before word t of each run."""
-        moved = (v.reshape(-1, L) @ A).reshape(v.shape)
-        moved[resets[t]] = v[resets[t]].sum(axis=-1, keepdims=True) * init
-        moved *= E[t] if v.ndim == 2 else E[t][:, None]
+        moved = (v.reshape(-1, self.L) @ self.A).reshape(v.shape)
+        moved[self.resets[t]] = v[self.resets[t]].sum(axis=-1, keepdims=True) * self.init
+        moved *= self.E[t] if v.ndim == 2 else self.E[t][:, None]
         moved /= moved.sum(axis=-1 if v.ndim == 2 else (-1, -2), keepdims=True)
+        if t >= self.real:
+            moved[-1] = v[-1]
         return moved
 
-    M = np.broadcast_to(np.eye(L), (B, L, L))
-    for t in range(T):
-        M = into(M, t)
-    enter, v = np.empty((B, L)), np.full(L, 1 / L)
-    for k in range(B):
-        enter[k] = v
-        v = v @ M[k]
-        v /= v.sum()
-    alpha, v = np.empty((T, B, L)), enter
-    for t in range(T):
-        v = into(v, t)
-        alpha[t] = v
-
-    leave, u = np.empty((B, L)), np.ones(L)
-    for k in range(B - 1, -1, -1):
-        leave[k] = u
-        u = M[k] @ u  # the same product, up to scale, moves backward messages over a run
+    def transfer(self) -> np.ndarray:
+        """What moves a message over all words, up to scale: (L, L)."""
+        out = np.eye(self.L)
+        for x in self.M:
+            out = out @ x
+            out /= out.sum()
+        return out
+
+    def posteriors(self, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(posterior (words, L), forward messages (words, L) scaled to sum 1), between the message before the first word and the backward one after the last."""
+        T, B, L = self.T, self.B, self.L
+        into, v = np.empty((B, L)), np.full(L, 1 / L) if enter is None else enter
+        for k in range(B):
+            into[k] = v
+            v = v @ self.M[k]
+            v /= v.sum()
+        alpha, v = np.empty((T, B, L)), into
+        for t in range(T):
+            v = self.into(v, t)
+            alpha[t] = v
+
+        back, u = np.empty((B, L)), np.ones(L) if leave is None else leave
+        for k in range(B - 1, -1, -1):
+            back[k] = u
+            u = self.M[k] @ u  # the same product, up to scale, moves backward messages over a run
+            u /= u.sum()
+        post, u = np.empty((T, B, L)), back
+        for t in range(T - 1, -1, -1):
+            p = alpha[t] * u
+            post[t] = p / p.sum(axis=1, keepdims=True)
+            x = self.E[t] * u
+            new = x @ self.A.T
+            new[self.resets[t]] = (x[self.resets[t]] @ self.init)[:, None]
+            new /= new.sum(axis=1, keepdims=True)
+            if t >= self.real:
+                new[-1] = u[-1]
+            u = new
+        return tuple(x.swapaxes(0, 1).reshape(-1, L)[: self.n] for x in (post, alpha))
+
+
+def posteriors(m: Model, score: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(posterior (words, L), forward messages (words, L) scaled to sum 1)."""
+    return _Chain(m, score, first).posteriors()
+
+
+def _label_strips(m: Model, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(state of each word, its posterior) of one long text."""
+
+    def chain(a: int, b: int) -> _Chain | None:
+        w, score = emissions(m, raw[a:b], np.array([0, b - a]))
+        return _Chain(m, score, (np.arange(len(score)) == 0) & (k == at)) if len(w.hash) else None
+
+    strips, at, matrices = [(a, b) for a, b, w in W.strips(raw, 0) if len(w.hash)], 0, []
+    for k, (a, b) in enumerate(strips):
+        matrices.append(chain(a, b).transfer())
+    back, u = [None] * len(strips), np.ones(len(m.langs))
+    for k in range(len(strips) - 1, -1, -1):
+        back[k] = u
+        u = matrices[k] @ u
         u /= u.sum()
-    post, u = np.empty((T, B, L)), leave
-    for t in range(T - 1, -1, -1):
-        p = alpha[t] * u
-        post[t] = p / p.sum(axis=1, keepdims=True)
-        x = E[t] * u
-        u = x @ A.T
-        u[resets[t]] = (x[resets[t]] @ init)[:, None]
-        u /= u.sum(axis=1, keepdims=True)
-    return tuple(x.swapaxes(0, 1).reshape(-1, L)[:n] for x in (post, alpha))
+    states, chances, v = [], [], np.full(len(m.langs), 1 / len(m.langs))
+    for k, (a, b) in enumerate(strips):
+        post, _ = chain(a, b).posteriors(v, back[k])
+        best = np.round(post, 9).argmax(axis=1)
+        states.append(best.astype(np.int16))
+        chances.append(post[np.arange(len(best)), best].astype(np.float32))
+        v = v @ matrices[k]
+        v /= v.sum()
+    return (np.concatenate(states).astype(np.int64), np.concatenate(chances)) if states else (np.zeros(0, np.int64), np.zeros(0))
 
 
 def _first(w: W.Words) -> np.ndarray:
@@ -176,7 +227,9 @@ def switched(texts: list[bytes], lang: np.ndarray, rng: np.random.Generator) ->
         parts, spans, pos = [], [], [0, 0]
         source = (i, j)
         side = 0
-        while pos[side] < len(split[source[side]]) and sum(pos) < 400:
+        while any(pos[k] < len(split[source[k]]) for k in (0, 1)):
+            if pos[side] == len(split[source[side]]):
+                side = 1 - side
             run = split[source[side]][pos[side] : pos[side] + int(rng.integers(1, SEGMENT))]
             pos[side] += len(run)
             parts.append(b" ".join(run))
@@ -211,9 +264,7 @@ def fit(texts: list[bytes], lang: list[str], epochs: int = EPOCHS, seed: int = 5
         rate = (count + 0.1) / (count.sum(axis=0) + 1)
         rate /= rate.sum(axis=1, keepdims=True)
         ok = (rate.max(axis=1) > 0.8) & (count.sum(axis=1) >= 5)
-        order = np.lexsort((known, -count.sum(axis=1), ~ok))[: min(int(ok.sum()), LEXICON * L)]
-        order = order[np.argsort(known[order])]
-        m.lexicon, m.owner = known[order], rate[order].argmax(axis=1)
+        m.lexicon, m.owner = known[ok], rate[ok].argmax(axis=1)
         data = [(t, [(int(k), len(t))]) for t, k in zip(texts, y, strict=True)] + switched(texts, y, rng)
         params = [m.weight, m.step, m.start, m.boost]
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
@@ -261,42 +312,61 @@ def fit(texts: list[bytes], lang: list[str], epochs: int = EPOCHS, seed: int = 5
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on the documents of least hash that have a language, ``sample`` at most."""
+    """Fit on the documents of least hash of each language, ``sample`` at most, an equal share of each.
+
+    Of an id that several rows have, the row of the least language and text stands. Which hashes are small enough to be among the least follows from the number of
+    ids of each language, so that few rows are ordered, whatever the corpus.
+    """
     has = docs.where("lang IS NOT NULL AND length(text) > 0")
-    ids = has.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    rows = has.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    sizes = {r["lang"]: r["n"] for r in has.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}
+    share = max(1, sample // max(1, len(sizes)))
+    # of 2^20 classes of hashes as many as hold about twice the share, and 100 more
+    limit = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1 << 20, (2 * share + 100) * (1 << 20) // max(n, 1) + 1))))) if sizes else None
+    h = F.xxhash64("doc_id")
+    near = has.select("doc_id", "lang", h.alias("h")).where(F.shiftrightunsigned(h, 44) < limit[F.col("lang")]) if sizes else has.select("doc_id", "lang", h.alias("h"))
+    ids = near.groupBy("doc_id", "h").agg(F.min("lang").alias("lang")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 44), "h", "doc_id")))
+    some = F.broadcast(ids.where(F.col("r") <= share).select(F.col("doc_id").alias("d"), F.col("lang").alias("l")))  # sample rows at most
+    rows = has.join(some, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("lang") == F.col("l"))).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = rows.toPandas().sort_values("doc_id")
     return fit([t.encode() for t in rows["text"]], rows["lang"].tolist())
 
 
+def _labelled(m: Model, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words before each text, state of each word, its posterior); without states, no word has one."""
+    if m.langs and len(at) == 2 and len(raw) > W.CHUNK:
+        state, p = _label_strips(m, raw)
+        return np.array([0, len(state)]), state, p
+    if m.langs:
+        w, state, p = label(m, raw, at)
+        return w.at, state, p
+    return W.words(raw, at).at, np.zeros(0, np.int64), np.zeros(0)
+
+
 def _rows(m: Model):
     L = len(m.langs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, at in W.slices(batches, 1):
             n = rows.num_rows
-            if L:
-                w, state, p = label(m, raw, at)
-            else:
-                w = W.words(raw, at)
-                state, p = np.zeros(0, np.int64), np.zeros(0)
-            counts = np.zeros((n, max(L, 1)), np.int64)
-            np.add.at(counts, (w.doc[: len(state)], state), 1)
-            cut = _first(w)[: len(state)] | np.r_[True, state[1:] != state[:-1]][: len(state)]
+            at, state, p = _labelled(m, raw, at)
+            doc = np.repeat(np.arange(n), np.diff(at))[: len(state)]
+            counts = np.bincount(doc * max(L, 1) + state, minlength=n * max(L, 1)).reshape(n, -1)
+            cut = np.r_[True, (state[1:] != state[:-1]) | (doc[1:] != doc[:-1])][: len(state)]
             begin = np.flatnonzero(cut)
             size = np.diff(np.r_[begin, len(state)])
-            before = np.searchsorted(begin, w.at if L else np.zeros(n + 1, np.int64))
+            before = np.searchsorted(begin, at if L else np.zeros(n + 1, np.int64))
             names = pa.array(m.langs or [""], pa.string())
             mean = np.add.reduceat(p, begin) / size if len(begin) else np.zeros(0)
             spans = pa.StructArray.from_arrays(
                 [
                     names.take(pa.array(state[begin])),
-                    pa.array((begin - np.repeat(w.at[:-1], np.diff(before)) if L else begin).astype(np.int32)),
+                    pa.array((begin - np.repeat(at[:-1], np.diff(before)) if L else begin).astype(np.int32)),
                     pa.array(size.astype(np.int32)),
                     pa.array(np.round(mean, 4)),
                 ],
                 names=["lang", "first_word", "n_words", "p"],
             )
-            total = np.diff(w.at)
+            total = np.diff(at)
             main = pa.array(counts.argmax(axis=1), mask=(total == 0) | (L == 0))
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), names.take(main), pa.array(total.astype(np.int32)), pa.array(np.maximum(np.diff(before) - 1, 0).astype(np.int32)), pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), spans)],

@@ -6,10 +6,11 @@ A license is a template: text with ``<<beginOptional>>...<<endOptional>>`` aroun
 case, so case, white space and punctuation are free, as license matching guidelines have it). A passage is accepted if its words lead from the start to an accepting state, that is,
 if all mandatory wording is there exactly and in order, with nothing in between but what is optional or replaceable.
 
-A document goes to the automata only if, for some template, it holds the longest mandatory word, which is tested by Spark itself, with no loss; then
-its whole text is searched. It is a map, with no shuffle; templates are a fixed list of a few kilobytes, in the closure.
+Every template has an anchor: up to four mandatory words in a row, which stand in a passage at a distance from its begin that the template bounds. Hashes of the words of many documents are looked up among the anchors
+at once, and only where an anchor stands are the automata run, from the few words at which the passage may begin. That loses nothing. The whole text is read. It is a map, with no shuffle;
+templates are a fixed list of a few hundred kilobytes, broadcast. Full texts are in the folder ``templates``, one to a file; a folder of one's own can be given instead.
 
-Rows: null and empty texts hold no license. The earliest passage of each license is reported. Repeated rows are reported alike; extra columns are of no matter.
+Rows: null and empty texts hold no license. The earliest passage of each license is reported. Repeated rows are reported alike. A very long text is read whole, its words as numbers. Extra columns are of no matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,11 +18,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokloom.llm import words as W
+from tokloom.llm.words import Finder
 from tokloom.session import prepare
 
 #: Public license notices, by identifier.
@@ -41,7 +48,9 @@ OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO
 ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE""",
     "ISC": """<<beginOptional>>ISC License <<endOptional>><<beginOptional>>Copyright <<beginOptional>>(c) <<endOptional>><<var;name="copyright";match=".{1,40}">> <<endOptional>>
 Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-THE SOFTWARE IS PROVIDED "AS IS" AND <<var;name="author";match=".{1,10}">> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS""",
+THE SOFTWARE IS PROVIDED "AS IS" AND <<var;name="author";match=".{1,10}">> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL
+<<var;name="author";match=".{1,10}">> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE""",
 }
 
 _COPIES = 'Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed'
@@ -50,7 +59,9 @@ _CLAUSES = """Redistribution and use in source and binary forms, with or without
 source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2. <<endOptional>>Redistributions in binary form must reproduce the above copyright notice,
 this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. """
 _DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY <<var;name="by";match=".{1,16}">> AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
-PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;name="holders";match=".{1,16}">> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"""
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;name="holders";match=".{1,16}">> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"""
 _CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
 
 
@@ -63,22 +74,26 @@ def _gnu(kind: str, version: str) -> dict[str, str]:
     }
 
 
-#: Further public licenses: the notices, and of long licenses the title with the first sentences. The SQL goes over TEMPLATES alone.
+#: Further public licenses: full wording, notices, and of long licenses, as -head, the title with the first sentences. The SQL goes over TEMPLATES alone.
 MORE = {
     "BSD-2-Clause": _CLAUSES + _DISCLAIMER,
     "BSD-3-Clause": _CLAUSES + """<<beginOptional>>3. <<endOptional>>Neither the name of <<var;name="organization";match=".{1,16}">> nor the names of <<var;name="its";match=".{0,3}">> contributors may be used to endorse or promote products derived from
 this software without specific prior written permission. """ + _DISCLAIMER,
-    "Apache-2.0": """Apache License Version 2.0, January 2004 <<beginOptional>>http<<beginOptional>>s<<endOptional>>://www.apache.org/licenses/ <<endOptional>>TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION""",
-    "GPL-2.0": f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 {_FSF}",
-    "GPL-3.0": f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 {_FSF}",
-    "LGPL-2.1": f"GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 {_FSF}",
-    "LGPL-3.0": f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 {_FSF}",
-    "AGPL-3.0": f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 {_FSF}",
-    "MPL-2.0": """Mozilla Public License Version 2.0 <<beginOptional>>1. <<endOptional>>Definitions <<beginOptional>>1.1. <<endOptional>>"Contributor" means each individual or legal entity""",
+    "Apache-2.0-head": """Apache License Version 2.0, January 2004 <<beginOptional>>http<<beginOptional>>s<<endOptional>>://www.apache.org/licenses/ <<endOptional>>TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION""",
+    "GPL-2.0-head": f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 {_FSF}",
+    "GPL-3.0-head": f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 {_FSF}",
+    "LGPL-2.1-head": f"GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 {_FSF}",
+    "LGPL-3.0-head": f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 {_FSF}",
+    "AGPL-3.0-head": f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 {_FSF}",
+    "MPL-2.0-head": """Mozilla Public License Version 2.0 <<beginOptional>>1. <<endOptional>>Definitions <<beginOptional>>1.1. <<endOptional>>"Contributor" means each individual or legal entity""",
     "MPL-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0""",
-    "CC0-1.0": "CC0 1.0 <<beginOptional>>Universal<<endOptional>>",
+    "CC0-1.0-notice": "CC0 1.0 <<beginOptional>>Universal<<endOptional>>",
     "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a
-compiled binary, for any purpose, commercial or non-commercial, and by any means""",
+compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED
+TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,
+TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE""",
 }
 for _id, _kind, _version in (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3")):
     MORE |= {f"{_id}-{k}": t for k, t in _gnu(_kind, _version).items() if f"{_id}-{k}" not in TEMPLATES}
@@ -90,6 +105,7 @@ for _id, _kind in _CC.items():
 
 _MARK = re.compile(r"<<beginOptional>>|<<endOptional>>|<<var;(.*?)>>", re.S)
 _WORD = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
+_INSIDE = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _BOUNDS = re.compile(r"(.*?)\{(\d+),(\d+)\}$")
 
 
@@ -97,6 +113,32 @@ def tokens(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+@dataclass
+class Passages:
+    """The words of a batch of lower-case texts; those of text d are from at[d] to at[d + 1]."""
+
+    raw: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    at: np.ndarray
+    hash: np.ndarray
+
+    def __getitem__(self, i: int) -> str:
+        return self.raw[self.start[i] : self.end[i]].tobytes().decode()
+
+
+def passages(column: pa.Array) -> Passages:
+    raw, at = W.string_buffers(pc.utf8_lower(column))
+    inside = _INSIDE[raw]
+    edge = np.ones(len(raw) + 1, bool)
+    edge[1:-1] = inside[1:] != inside[:-1]
+    edge[at] = True
+    edge = np.flatnonzero(edge)
+    run = inside[edge[:-1]]
+    start, end = edge[:-1][run], edge[1:][run]
+    return Passages(raw, start, end, np.searchsorted(start, at), W.run_hashes(raw, start, end))
+
+
 @dataclass
 class Automaton:
     """States are numbers; state 0 begins. word[s]: {word: next}; free[s]: [(pattern or None for any word, next)]; skip[s]: next states without a word."""
@@ -106,7 +148,9 @@ class Automaton:
     free: list[list[tuple[re.Pattern | None, int]]] = field(default_factory=lambda: [[]])
     skip: list[list[int]] = field(default_factory=lambda: [[]])
     accept: int = 0
-    longest: str = ""  # the longest mandatory word
+    anchor: tuple[str, ...] = ()  # mandatory words in a row
+    least: int = 0  # words that may stand in a passage before the anchor
+    most: int = 0
     regex: str = ""  # the same language, each word with a blank before it
 
     def state(self) -> int:
@@ -124,13 +168,10 @@ class Automaton:
                     todo.append(s)
         return found
 
-    def begins(self, first: str) -> bool:
-        return any(first in self.word[s] or any(p is None or p.fullmatch(first) for p, _ in self.free[s]) for s in self.closure({0}))
-
-    def at(self, text: list[str], i: int) -> int:
-        """Words of the longest passage accepted at word i; 0 if there is none."""
+    def at(self, text, i: int, end: int) -> int:
+        """Words of the longest passage accepted at word i, and before ``end``; 0 if there is none."""
         now, best = self.closure({0}), 0
-        for k in range(i, len(text)):
+        for k in range(i, end):
             w, after = text[k], set()
             for s in now:
                 if (n := self.word[s].get(w)) is not None:
@@ -143,27 +184,39 @@ class Automaton:
                 best = k + 1 - i
         return best
 
-    def search(self, text: list[str]) -> tuple[int, int] | None:
-        """(first word, words) of the earliest passage."""
-        for i, w in enumerate(text):
-            if self.begins(w) and (n := self.at(text, i)):
-                return i, n
+    def search(self, text, anchors, begin: int, end: int) -> tuple[int, int] | None:
+        """(first word, words) of the earliest passage between two words, of those around the anchors at the given words, in order."""
+        tried = begin
+        for hit in anchors:
+            for i in range(max(tried, hit - self.most), hit - self.least + 1):
+                if n := self.at(text, i, end):
+                    return i, n
+            tried = max(tried, hit - self.least + 1)
         return None
 
+    def find(self, text: list[str]) -> tuple[int, int] | None:
+        """The same of a list of words."""
+        k = len(self.anchor)
+        return self.search(text, [i for i in range(len(text)) if tuple(text[i : i + k]) == self.anchor], 0, len(text))
+
 
 def compile_template(name: str, template: str) -> Automaton:
     a, at, open_at, depth = Automaton(name), 0, [], 0
     now, regex = 0, []
+    low = high = 0  # words that may stand before this place
+    rows: list[list[tuple[str, int, int]]] = [[]]  # mandatory words in a row, with these bounds
 
     def wording(part: str) -> None:
-        nonlocal now
+        nonlocal now, low, high
         for w in tokens(part):
             after = a.state()
             a.word[now][w] = after
             now = after
             regex.append(" " + w)
-            if not depth and len(w) > len(a.longest):
-                a.longest = w
+            if not depth:
+                rows[-1].append((w, low, high))
+                low += 1
+            high += 1
 
     def split() -> None:
         """A fresh state, so that what leaves the old one stays apart."""
@@ -174,6 +227,7 @@ def compile_template(name: str, template: str) -> Automaton:
 
     for m in _MARK.finditer(template):
         wording(template[at : m.start()])
+        rows.append([])
         at = m.end()
         if m[0] == "<<beginOptional>>":
             split()
@@ -188,50 +242,82 @@ def compile_template(name: str, template: str) -> Automaton:
         else:
             match = re.search(r'match="(.*?)"', m[1], re.S)
             found = _BOUNDS.match(match[1] if match else ".{1,1}")
-            kind, low, high = (found[1], int(found[2]), int(found[3])) if found else (match[1], 1, 1)
+            kind, few, many = (found[1], int(found[2]), int(found[3])) if found else (match[1], 1, 1)
+            low, high = low + few * (not depth), high + many
             pattern = None if kind == "." else re.compile(kind)
             split()
             first = [now]
-            for _ in range(high):
+            for _ in range(many):
                 after = a.state()
                 a.free[first[-1]].append((pattern, after))
                 first.append(after)
             end = a.state()
-            for s in first[low:]:
+            for s in first[few:]:
                 a.skip[s].append(end)
             now = end
-            regex.append("(?: " + ("[^ ]+" if kind == "." else kind) + f"){{{low},{high}}}")
+            regex.append("(?: " + ("[^ ]+" if kind == "." else kind) + f"){{{few},{many}}}")
     wording(template[at:])
-    assert not open_at and a.longest, f"{name}: unbalanced markup or no mandatory word"
+    grams = [row[i : i + 4] for row in rows for i in range(max(1, len(row) - 3)) if row]
+    assert not open_at and grams, f"{name}: unbalanced markup or no mandatory word"
+    # as many words as can be, then as near the begin as can be
+    best = min(grams, key=lambda g: (-len(g), g[0][2] - g[0][1], g[0][2]))
+    a.anchor, a.least, a.most = tuple(w for w, _, _ in best), best[0][1], best[0][2]
     a.accept, a.regex = now, "".join(regex)
     return a
 
 
+def load_templates(folder: str | Path | None = None) -> dict[str, str]:
+    """Template of each license: those of this module and the full texts of the package, or the files <id>.txt of a folder."""
+    folder_of = Path(folder) if folder else Path(__file__).with_name("templates")
+    files = {f.stem: f.read_text(encoding="utf-8") for f in sorted(folder_of.glob("*.txt"))}
+    return files if folder else TEMPLATES | MORE | files
+
+
+@lru_cache(8)
+def _compiled(templates: tuple[tuple[str, str], ...]) -> tuple[list[Automaton], dict[int, tuple[Finder, dict[int, list[Automaton]]]]]:
+    """(automata, for each length of an anchor what finds it and whose it is)."""
+    automata, by = [compile_template(n, t) for n, t in templates], {}
+    for k in sorted({len(a.anchor) for a in automata}):
+        own: dict[int, list[Automaton]] = {}
+        for a in automata:
+            if len(a.anchor) == k:
+                w = passages(pa.array([" ".join(a.anchor)]))
+                own.setdefault(int(W.ngrams(W.Words(w.hash, w.start, w.end, w.at), k, short=False)[0][0]), []).append(a)
+        known = np.sort(np.array(list(own), np.uint64))
+        by[k] = Finder(known), {i: own[int(g)] for i, g in enumerate(known)}
+    return automata, by
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, license_id, first_word) of every license that a document holds."""
-    prepare(docs.sparkSession)
-    automata = [compile_template(n, t) for n, t in (templates or TEMPLATES | MORE).items()]
+    spark = prepare(docs.sparkSession)
+    given = tuple((load_templates() if templates is None else templates).items())
+    _compiled(given)  # a wrong template fails here, not in a task
+    shared = spark.sparkContext.broadcast(given)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        _, anchors = _compiled(shared.value)
+        for b, _, _ in W.slices(batches, 1):
+            w = passages(b.column(1))
             row, name, first = [], [], []
-            for i, t in enumerate(x.as_py() for x in b.column(1)):
-                found = tokens(t)
-                present = set(found)
-                for a in automata:
-                    if a.longest in present and (hit := a.search(found)):
-                        row.append(i)
-                        name.append(a.name)
-                        first.append(hit[0])
+            for k, (find, own) in anchors.items():
+                grams, word, _ = W.ngrams(W.Words(w.hash, w.start, w.end, w.at), k, short=False)
+                at, which = find(grams)
+                at = word[at]
+                doc = np.searchsorted(w.at, at, "right") - 1
+                order = np.lexsort((at, which, doc))
+                new = np.flatnonzero(np.r_[True, (np.diff(doc[order]) != 0) | (np.diff(which[order]) != 0)][: len(order)])
+                for some in np.split(order, new[1:]) if len(order) else ():
+                    d, begin, end = int(doc[some[0]]), int(w.at[doc[some[0]]]), int(w.at[doc[some[0]] + 1])
+                    for a in own[int(which[some[0]])]:
+                        if hit := a.search(w, at[some].tolist(), begin, end):
+                            row.append(d)
+                            name.append(a.name)
+                            first.append(hit[0] - begin)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(name, pa.string()), pa.array(first, pa.int32())], names=["doc_id", "license_id", "first_word"])
 
-    low = F.lower(F.col(text))
-    some = None
-    for word in sorted({a.longest for a in automata}):
-        hit = F.contains(low, F.lit(word))
-        some = hit if some is None else some | hit
     kind = dict(docs.dtypes)[doc_id]
-    return docs.where(some).select(doc_id, text).mapInArrow(run, f"doc_id {kind}, license_id string, first_word int")
+    return docs.where(F.col(text).isNotNull()).select(doc_id, text).mapInArrow(run, f"doc_id {kind}, license_id string, first_word int")
 
 
 def _sql() -> str:

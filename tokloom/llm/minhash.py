@@ -7,7 +7,8 @@ candidates. Two signatures agree in a slot with probability J + (1 - J) / 2^BITS
 and a bit count, gives an estimate of the Jaccard similarity J corrected for chance. Pairs estimated at ACCEPT or
 more, which is THRESHOLD less MARGIN standard errors of the estimate, are near-duplicates, so that a pair of THRESHOLD is not left to the toss of its estimate; the groups are the connected components, and the least doc_id of each stays.
 
-Scale: documents with the same minima become one node, so thousands of copies cost one signature. Candidate
+Scale: documents with the same minima become one node, so thousands of copies cost one signature; nodes whose 64-bit hash of all minima is equal and whose signatures differ are told apart. Members of a band
+are counted with partial sums before they are shuffled, so that a band that many documents share is no hot task, and only bands of two or more go on. Candidate
 lists of several bands that are equal as sets are compared once. Inside a list, components are searched with vectorized one-against-rest
 comparisons that leave out what was already reached: exact, linear for a list of near-copies. There is no cap on a
 list: one of more than LIST members is compared block against block, in as many pieces. Components across lists are found by alternating large and small stars over saved edge tables.
@@ -15,7 +16,7 @@ A pair of J 0.50 becomes a candidate and is accepted with probability 0.97, one
 
 Rows: null texts and texts without a word have no signature and are nobody's near-duplicate. A text of fewer than
 n words is one shingle. Rows that are equal in doc_id and text are one document; of them one row stays. A null
-doc_id is last in order. Extra columns and their names are of no matter; an empty table gives an empty result.
+doc_id is last in order; ids may be of any type with an order. A very long text is signed in parts of whole words. Extra columns and their names are of no matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokloom.llm import words as W
@@ -77,13 +78,28 @@ def signatures(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return packed, W.mix(bands).view(np.int64), W.mix(whole).view(np.int64)
 
 
+def _minima(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
+    """(minima, which documents have some). A text longer than a chunk is read in strips that share NGRAM - 1 words."""
+    if len(at) == 2 and len(raw) > W.CHUNK:
+        out = None
+        for _, _, w in W.strips(raw, NGRAM - 1):
+            grams, _, before = W.ngrams(w, NGRAM, short=False)
+            if len(grams):
+                m = minima(grams, before)
+                out = m if out is None else np.minimum(out, m)
+        if out is not None:
+            return out, np.ones(1, bool)
+    grams, _, before = W.ngrams(W.words(raw, at), NGRAM)
+    has = np.diff(before) > 0
+    return minima(grams, np.r_[before[:-1][has], before[-1]]) if has.any() else None, has
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, raw, at in W.slices(batches, 2):
-        grams, _, before = W.ngrams(W.words(raw, at), NGRAM)
-        has = np.diff(before) > 0
-        if not has.any():
+        m, has = _minima(raw, at)
+        if m is None:
             continue
-        packed, bands, whole = signatures(minima(grams, np.r_[before[:-1][has], before[-1]]))
+        packed, bands, whole = signatures(m)
         keep, width = pa.array(has), packed.shape[1] * 8
         yield pa.RecordBatch.from_arrays(
             [
@@ -169,17 +185,30 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _copies(sigs: DataFrame) -> DataFrame:
+    """(f, c, low, high) of the nodes of several documents; low and high differ where signatures do."""
+    sig = F.xxhash64("sig")
+    return save(sigs.groupBy("f").agg(F.count(F.lit(1)).alias("c"), F.min(sig).alias("low"), F.max(sig).alias("high")).where("c > 1"), "minhash-copies")
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A saved table (id, h, root, sig) of the documents of all near-duplicate groups; h is text_key."""
     prepare(docs.sparkSession)
-    has = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), text_key(F.col(text)).alias("h"), F.col(text).alias("t"))
-    sigs = save(has.mapInArrow(_sign, "id long, h long, f long, sig binary, bands array<long>"), "minhash-signatures")
-    nodes = sigs.dropDuplicates(["f"])
-    # a band's members are counted and hashed as a set, never gathered in one row; most bands have one and end here
-    count = F.count(F.lit(1)).over(Window.partitionBy("b"))
-    pairs = save(nodes.select("f", F.explode("bands").alias("b")).withColumn("c", count).where("c > 1"), "minhash-bands")
+    kind = dict(docs.dtypes)[doc_id]
+    has = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), text_key(F.col(text)).alias("h"), F.col(text).alias("t"))
+    sigs = save(has.mapInArrow(_sign, f"id {kind}, h long, f long, sig binary, bands array<long>"), "minhash-signatures")
+    copies = _copies(sigs)
+    chance = copies.where("low <> high").select("f", F.lit(True).alias("shared"))
+    if not chance.isEmpty():  # of 10^11 documents a few hundred are expected to share an f and no signature
+        f = F.when(F.col("shared"), F.xxhash64("f", "sig")).otherwise(F.col("f"))
+        sigs = save(sigs.join(small(chance, 16), "f", "left").withColumn("f", f).drop("shared"), "minhash-signatures")
+        copies = _copies(sigs)
+    # bands of two nodes or more, by partial sums: a band's members are counted and hashed as a set, never gathered in one row or task
+    members = sigs.select("f", F.explode("bands").alias("b"))
+    busy = save(members.groupBy("b").agg(F.min("f").alias("low"), F.max("f").alias("high")).where("low <> high").select("b"), "minhash-busy")
+    pairs = save(members.join(small(busy, 8), "b").distinct(), "minhash-bands")
     # of bands with equal members one goes on
-    sets = pairs.groupBy("b", "c").agg(F.bit_xor(F.xxhash64("f")).alias("x"), F.bit_xor(F.xxhash64("f", F.lit(1))).alias("y"))
+    sets = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("f")).alias("x"), F.bit_xor(F.xxhash64("f", F.lit(1))).alias("y"))
     lists = sets.groupBy("c", "x", "y").agg(F.min("b").alias("b")).select("b", F.ceil(F.col("c") / LIST).cast("int").alias("n"))
     members = pairs.join(lists, "b").select(F.col("b").alias("k"), "n", "f").withColumn("i", F.pmod(F.xxhash64("f"), "n").cast("int"))
     # block i is compared with itself and with every other block j: pieces (i, i) and (i, j)
@@ -187,7 +216,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     candidates = pieces.join(sigs.select("f", "sig").dropDuplicates(["f"]), "f").groupBy("k", "i", "j").agg(F.collect_list(F.struct("f", "sig")).alias("l")).select("l")
     edges = save(candidates.mapInArrow(_verify, "a long, b long").distinct(), "minhash-edges")
     roots = components(edges)
-    copies = sigs.groupBy("f").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("f")
+    copies = copies.select("f")
     grouped = copies.join(roots, copies["f"] == roots["node"], "full").select(F.coalesce("f", "node").alias("f"), F.coalesce("root", "f").alias("root"))
     return save(sigs.select("id", "h", "f", "sig").join(grouped, "f").select("id", "h", "root", "sig"), "minhash-groups")
 
@@ -206,7 +235,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """(doc_id, kept_doc_id, similarity to it, estimated): a row for each document that has a near-duplicate which stays."""
     found = groups(docs, doc_id, text).distinct()
     pairs = found.join(_kept(found), "root").where("NOT (id <=> k.id AND h = k.h)").select("id", F.col("k.id").alias("kept"), "sig", F.col("k.sig").alias("ksig"))
-    return pairs.mapInArrow(_similarity, "doc_id long, kept_doc_id long, similarity double")
+    kind = dict(docs.dtypes)[doc_id]
+    return pairs.mapInArrow(_similarity, f"doc_id {kind}, kept_doc_id {kind}, similarity double")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -36,6 +36,7 @@ SAMPLE, EPOCHS, RATE, BATCH_BYTES = 3000, 6, 0.01, 1 << 17
 MIDDLE, KEEP = 0.5, 0.995
 #: Bytes whose activations are held at a time.
 SPAN = 1 << 13
+REAL = np.float32
 
 
 @dataclass
@@ -74,14 +75,14 @@ def convolve(m: Model, raw: np.ndarray, at: np.ndarray, arg: bool = False):
     Filters that reach over the end of their document see byte 0 there.
     """
     start, before, length = _blocks(raw, at)
-    best = np.empty((len(start), FILTERS), np.float32)
+    best = np.empty((len(start), FILTERS), REAL)
     where = np.empty((len(start), FILTERS), np.int64) if arg else None
     doc = np.repeat(np.arange(len(at) - 1), np.diff(before))
     step = max(1, SPAN // HALF)
     for low in range(0, len(start), step):
         high = min(low + step, len(start))
         a, b = int(start[low]), int(start[high - 1] + length[high - 1])
-        act, row = np.empty((b - a, FILTERS), np.float32), np.empty((b - a, FILTERS), np.float32)
+        act, row = np.empty((b - a, FILTERS), REAL), np.empty((b - a, FILTERS), REAL)
         seen = np.zeros(b - a + WIDTH, np.uint8)
         seen[: min(len(raw), b + WIDTH) - a] = raw[a : b + WIDTH]
         if m.pairs is None:
@@ -121,11 +122,11 @@ def _forward(m: Model, best: np.ndarray, before: np.ndarray, length: np.ndarray)
     first, second, cb, size = _chunks(before, length)
     takes = best[second] > best[first]
     pooled = np.maximum(np.where(takes, best[second], best[first]) + m.bias, 0)
-    x = np.concatenate([pooled, np.log2(size / CHUNK)[:, None].astype(np.float32)], axis=1)
+    x = np.concatenate([pooled, np.log2(size / CHUNK)[:, None].astype(REAL)], axis=1)
     hidden = np.maximum(x @ m.dense + m.dense_bias, 0)
     top = np.maximum.reduceat(hidden, cb[:-1], axis=0)
     count = np.diff(cb)[:, None]
-    doc = np.concatenate([top, np.add.reduceat(hidden, cb[:-1], axis=0) / count, np.ones((len(count), 1), np.float32)], axis=1)
+    doc = np.concatenate([top, np.add.reduceat(hidden, cb[:-1], axis=0) / count, np.ones((len(count), 1), REAL)], axis=1)
     return 1 / (1 + np.exp(-np.clip(doc @ m.out, -30, 30))), (first, second, cb, takes, x, hidden, top, count, doc)
 
 
@@ -143,7 +144,7 @@ def _gradients(m: Model, raw: np.ndarray, at: np.ndarray, y: np.ndarray, weight:
     by = np.repeat(np.arange(len(y)), np.diff(cb))
     gh = g[by, None] * m.out[None, HIDDEN : 2 * HIDDEN] / count[by]
     is_top = hidden == top[by]
-    gh += np.where(is_top, g[by, None] * m.out[None, :HIDDEN], 0) / np.maximum(1, np.add.reduceat(is_top.astype(np.float32), cb[:-1], axis=0))[by]
+    gh += np.where(is_top, g[by, None] * m.out[None, :HIDDEN], 0) / np.maximum(1, np.add.reduceat(is_top.astype(REAL), cb[:-1], axis=0))[by]
     gh *= hidden > 0
     dense, dense_bias = x.T @ gh, gh.sum(axis=0)
     gp = (gh @ m.dense[:FILTERS].T) * (x[:, :FILTERS] > 0)
@@ -202,8 +203,9 @@ def fit(texts: list[bytes], good: np.ndarray, epochs: int = EPOCHS, seed: int =
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on the labelled documents of least hash, ``sample`` at most."""
     picked = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.where(F.length("text") > 0).select("doc_id", "text").join(F.broadcast(picked), "doc_id").toPandas().sort_values(["doc_id", "text"])
-    rows = rows.drop_duplicates("doc_id").sample(frac=1, random_state=3)
+    # of documents that share an id the least text; one row for each id reaches the driver
+    rows = docs.where(F.length("text") > 0).select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = rows.toPandas().sort_values("doc_id").sample(frac=1, random_state=3)
     return fit([t.encode() for t in rows["text"]], rows["quality"].to_numpy())
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are worked on at a time; a longer document is one chunk by itself.
+#: Bytes of text that are worked on at a time; a longer document is one chunk by itself, which operators read in strips.
 CHUNK = 1 << 20
 
 _rng = np.random.default_rng(20240229)
@@ -102,10 +102,44 @@ def words(raw: np.ndarray, offsets: np.ndarray, low: np.ndarray | None = None) -
     edge[offsets] = True
     start = np.flatnonzero(edge[:-1] & inside)
     end = np.flatnonzero(edge[1:] & inside) + 1
-    p, inverse = powers(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[fold(raw) if low is None else low] * p, out=total[1:])
-    return Words(mix((total[end] - total[start]) * inverse[start]), start, end, np.searchsorted(start, offsets))
+    return Words(run_hashes(fold(raw) if low is None else low, start, end), start, end, np.searchsorted(start, offsets))
+
+
+def run_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each of some runs that are in order and share no byte."""
+    n, value = len(low), np.zeros(len(start), np.uint64)
+    for a in range(0, n, CHUNK):  # powers of the place are needed up to CHUNK only; a word that goes over a border is summed in parts
+        b = min(a + CHUNK, n)
+        p, inverse = powers(b - a)
+        total = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(_BYTE[low[a:b]] * p, out=total[1:])
+        first, last = int(np.searchsorted(end, a, "right")), int(np.searchsorted(start, b))
+        if first < last:
+            s = np.maximum(start[first:last], a) - a
+            part = (total[np.minimum(end[first:last], b) - a] - total[s]) * inverse[s]
+            if start[first] < a:
+                part[:1] *= np.array([pow(_P, int(a - start[first]), 2**64)], np.uint64)
+            value[first:last] += part
+    return mix(value)
+
+
+def strips(raw: np.ndarray, shared: int) -> Iterator[tuple[int, int, Words]]:
+    """One text in parts of about CHUNK bytes and whole words: (first byte, end, words). Each part but the first begins with the last ``shared`` words of the one before."""
+    n, a, done = len(raw), 0, 0
+    while True:
+        b = min(done + CHUNK, n)
+        while b < n:  # to a byte of no word, or the first of an ideograph
+            x = raw[b : b + CHUNK]
+            ends = np.flatnonzero(~_WORD[x] | ((x >= 0xE3) & (x <= 0xE9)))
+            b += int(ends[0]) if len(ends) else len(x)
+            if len(ends):
+                break
+        w = words(raw[a:b], np.array([0, b - a]))
+        yield a, b, w
+        if b >= n:
+            return
+        done, keep = b, min(shared, len(w.start))
+        a = a + int(w.start[len(w.start) - keep]) if keep else b
 
 
 def ngrams(w: Words, n: int, short: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,3 +158,22 @@ def ngrams(w: Words, n: int, short: bool = True) -> tuple[np.ndarray, np.ndarray
         here = w.hash[np.minimum(first + k, max(0, len(w.hash) - 1))] * _STEP[k]
         value += here if not short else np.where(room[first] > k, here, np.uint64(0))
     return mix(value), first, np.searchsorted(first, w.at)
+
+
+class Finder:
+    """Membership of many hashes in a small sorted set, by a bit table first."""
+
+    def __init__(self, known: np.ndarray):
+        self.known = known
+        self.bits = max(12, int(len(known)).bit_length() + 5)
+        self.table = np.zeros(1 << self.bits, bool)
+        self.table[known >> np.uint64(64 - self.bits)] = True
+
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in x, index in known) of the members."""
+        at = np.flatnonzero(self.table[x >> np.uint64(64 - self.bits)])
+        if not len(self.known):
+            return at[:0], at[:0]
+        i = np.minimum(np.searchsorted(self.known, x[at]), len(self.known) - 1)
+        ok = self.known[i] == x[at]
+        return at[ok], i[ok]
