@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tests.llm.conftest import PROSE, make
 
@@ -148,6 +149,50 @@ def test_long_candidate_lists_are_compared_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, minhash.near_duplicates(docs).collect())) == whole and len(whole) > 60
 
 
+def test_a_band_that_most_documents_share(spark, monkeypatch):
+    """Two thirds of the documents are near copies of one, in 400 different texts; the shuffled and the broadcast plan agree."""
+    words = [f"w{i}" for i in range(120)]
+    docs = make(spark, [(i, " ".join([*words[: i % 100], f"new{i}", *words[i % 100 + 1 :]])) for i in range(400)] + [(1000 + i, " ".join(f"d{i}x{j}" for j in range(60))) for i in range(200)]).repartition(6)
+    found = sorted(map(tuple, minhash.near_duplicates(docs).collect()))
+    assert {(a, b) for a, b, _ in found} == {(i, 0) for i in range(1, 400)}
+    monkeypatch.setattr(minhash, "small", lambda df, n: df)
+    assert sorted(map(tuple, minhash.near_duplicates(docs).collect())) == found
+
+
+def test_ids_of_other_types(spark):
+    rows = [("b", PROSE), ("a", PROSE + " indeed"), ("c", "something else entirely here"), (None, PROSE)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert {(r["doc_id"], r["kept_doc_id"]) for r in minhash.near_duplicates(docs).collect()} == {("b", "a"), (None, "a")}
+    assert sorted(r["doc_id"] for r in minhash.deduplicate(docs).collect()) == ["a", "c"]
+    assert sorted(map(tuple, exact_dedup.duplicates(docs).collect()), key=str) == [(None, "b")]
+
+
+def test_hashes_that_agree_by_chance_are_told_apart(spark, monkeypatch):
+    docs = make(spark, [(1, PROSE), (2, "something else entirely here, and more of it"), (3, PROSE), (4, PROSE.replace("quick", "slow"))])
+    want = sorted(map(tuple, minhash.near_duplicates(docs).collect()))
+    signed = minhash._sign
+
+    def colliding(batches):
+        for b in signed(batches):
+            yield b.set_column(2, "f", pa.array([7] * b.num_rows, pa.int64()))
+
+    monkeypatch.setattr(minhash, "_sign", colliding)
+    assert sorted(map(tuple, minhash.near_duplicates(docs).collect())) == want and {(a, b) for a, b, _ in want} == {(3, 1), (4, 1)}
+
+
+def test_long_texts_are_signed_in_strips(monkeypatch):
+    rng = random.Random(8)
+    text = " ".join(rng.choice([f"w{rng.randrange(400)}", "日本語", "x" * 300, "—", ","]) for _ in range(900))
+    for t in (text, "a" * 900 + " b", "z" * 900 + " b c d", ", " * 600, "日本" * 500):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        at = np.array([0, len(raw)])
+        monkeypatch.setattr(W, "CHUNK", 1 << 20)
+        whole, has = minhash._minima(raw, at)
+        monkeypatch.setattr(W, "CHUNK", 256)
+        strips, also = minhash._minima(raw, at)
+        assert (has == also).all() and (whole is None) == (strips is None) and (whole is None or (whole == strips).all())
+
+
 def test_near_dedup_keeps_one_of_repeated_rows(spark):
     docs = make(spark, [(1, PROSE), (1, PROSE), (2, "something else entirely here")])
     assert sorted(r["doc_id"] for r in minhash.deduplicate(docs).collect()) == [1, 2]
