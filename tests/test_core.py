@@ -409,3 +409,31 @@ def test_flat_batches():
     out = [1]
     e.encode_into("ab", out)
     assert out == [1, 256]
+
+
+@has_vocabulary
+def test_longest_matches_give_what_merges_give():
+    import random
+
+    from tokloom.operators.trie import Trie
+
+    ranks, rng = dict(B.load_ranks(RANKS)), random.Random(1)
+    trie = Trie(ranks)
+    parts = [" the", "ing", "x", "zz", "un", "ation", "é", "QQ", "hel", "lo", "0"]
+    for _ in range(3000):
+        piece = "".join(rng.choice(parts) for _ in range(rng.randrange(0, 8))).encode()
+        assert trie.encode(piece) == bpe.encode_piece(piece, ranks)
+        ids, merges, lookups = bpe.merge_counts(piece, ranks) if piece else (0, 0, 0)
+        assert ids == len(bpe.encode_piece(piece, ranks)) and (merges == 0 or merges == len(piece) - ids) and lookups >= merges
+    assert trie.n["backtrack"] > 100 and trie.n["is_valid_miss"] < trie.n["is_valid"] and trie.next_match(b"hello world") == ranks[b"hello"]
+
+
+def test_a_spec_of_an_encoding_is_imported_again(tmp_path):
+    for g in Grammar:
+        e = E.Encoding("x", [*BYTES.items(), (b"ab", 256), (b"\xff\x00", 257)], [(b"<|s|>", 258)], g, g is Grammar.QWEN)
+        back = I.read_spec(json.loads(json.dumps(I.to_spec(e))), "x")
+        assert (back.ranks, back.specials, back.grammar, back.nfc) == (e.ranks, e.specials, g, e.nfc)
+    B.write_ranks(e.ranks.items(), tmp_path / "y.tiktoken")
+    B.write_specials(e.specials, f"file://{tmp_path}/y.special")
+    B.pack(tmp_path, "y", 1, 0)
+    assert E.Encoding.load(f"file://{tmp_path}", "y").ranks == e.ranks and E.resolved((tmp_path / "y.stb").read_bytes()) == ("y", "O200K", False, None)

@@ -124,7 +124,7 @@ def test_set_plans_equal_row_plans(texts):
 def test_flat_offsets(spark):
     rng = random.Random(2)
     rows = [(k, rng.randrange(5)) for k in rng.sample(range(-300, 1000), 200)]
-    got = {r["k"]: (r["start"], r["end"]) for r in corpus.flat_offsets(spark.createDataFrame(rows, "k long, n int"), "k", "n", 64).collect()}
+    got = {r["k"]: (r["start"], r["end"]) for r in corpus.flat_offsets(spark.createDataFrame(rows, "k long, n int"), "k", "n").collect()}
     at = 0
     for k, n in sorted(rows):
         assert got[k] == (at, at + n)
@@ -242,3 +242,104 @@ def test_long_texts_crash_nothing(spark):
         assert [r["n"] for r in G.offsets(df.where("k = 1"), "t", g).groupBy().agg(F.max("end").alias("n")).collect()] == [10**6]
     parts = S.segments(spark.createDataFrame([("<|go|>" + wide + "<|end|>",)], "t string"), "t", ["<|go|>", "<|end|>"]).select("seg", F.octet_length("part").alias("n")).collect()
     assert [(r["seg"], r["n"]) for r in parts] == [(0, 6), (1, 5 * 1_700_000), (2, 7)]
+
+
+def test_flat_batches_have_a_place_for_every_row(spark):
+    rows = [(None, 5), (1, 2), (7, 3), (7, None), (1 << 40, 1), (-3, 4), (None, 0)]
+    df = spark.createDataFrame(rows, "k long, n long")
+    got = sorted((r["start"], r["end"], r["k"] is None, r["k"] or 0) for r in corpus.flat_offsets(df, "k", "n").collect())
+    assert len(got) == len(rows) and got[0][0] == 0 and got[-1][1] == 15 and all(a[1] == b[0] for a, b in zip(got, got[1:], strict=False))
+    assert [g[3] for g in got if not g[2]] == sorted(g[3] for g in got if not g[2]) and [g[2] for g in got[-2:]] == [True, True]
+    index = sorted(map(tuple, corpus.flat_index(df, "k", "n").collect()))
+    assert [i for i, _ in index] == list(range(8)) and index[0] == (0, 0) and index[-1] == (7, 15) and [o for _, o in index] == sorted(o for _, o in index)
+    assert [tuple(r) for r in corpus.flat_index(df.limit(0), "k", "n").collect()] == [(0, 0)] and corpus.flat_offsets(df.limit(0), "k", "n").count() == 0
+    texts = spark.createDataFrame([(3, "xab"), (1, "abc"), (2, None), (None, "a"), (4, "")], "k int, t string")
+    assert sorted(map(tuple, corpus.flat_tokens(texts, "t", E.toy(), "k").collect())) == [(0, 257), (1, 120), (2, 256), (3, 97)]
+    assert E.toy().encode_flat(["abc", "xab", "a"])[0].tolist() == [257, 120, 256, 97]
+
+
+def test_one_key_that_most_rows_have_is_many_tasks(spark):
+    df = spark.range(0, 40000, 1, 8).selectExpr("if(id % 3 = 0, id, 7) k", "1L n")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so little data would be one partition
+    try:
+        out = corpus.flat_offsets(df, "k", "n")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    starts = sorted(r["start"] for r in out.collect())
+    assert starts == list(range(40000))
+    parts = spark.read.parquet(_newest(spark, "numbered")).groupBy("_p").count().collect()
+    assert max(r["count"] for r in parts) < 20000
+
+
+def _newest(spark, name):
+    from tokloom import session
+
+    return [p for p in session._saved if f"/{name}-" in p][-1]
+
+
+def test_tables_of_a_stage_are_deleted(spark):
+    from tokloom import session
+
+    df = spark.range(5)
+    with session.passing_tables(spark) as keep:
+        a = session.save(df, "a")
+        b = keep(session.save(df, "b"))
+    assert b.count() == 5 and not os.path.exists(a._tokloom_path)
+    session.drop(b)
+    session.drop(df)
+    assert not os.path.exists(b._tokloom_path) and session.is_folder(spark, scratch_dir(spark))
+
+
+def test_plans_without_a_shuffle(texts):
+    for plan in (G.offsets(texts, "text", G.Grammar.O200K, "id"), corpus.token_rows(texts, "text", E.toy(), "id")):
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_frequent_pieces_and_the_rest(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "the cat the dog " + "z" * 90), (2, "the the the"), (3, ""), (4, None)], "key int, text string")
+    want = sorted(map(tuple, corpus.token_rows(df, "text", E.toy(), "key").collect()))
+    assert sorted(map(tuple, corpus.encode_set(df, "text", E.toy(), "key").collect())) == want
+    monkeypatch.setattr(corpus, "FREQUENT", 1)
+    assert sorted(map(tuple, corpus.encode_set(df, "text", E.toy(), "key").collect())) == want
+    monkeypatch.setattr(corpus, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, corpus.encode_set(df, "text", E.toy(), "key").collect())) == want
+
+
+def test_golden_vectors_without_a_vocabulary(spark, tmp_path):
+    import base64
+    import json
+
+    rows = [("ab cd", [1, 2]), ("ab", [1]), ("ab!", [3, 4]), ("x y z", [5]), ("cd ab", [6, 7, 8])]
+    vectors = [{"mode": "ordinary", "ids": ids, **({"input": t} if k % 2 else {"input_b64": base64.b64encode(t.encode()).decode()})} for k, (t, ids) in enumerate(rows)] + [{"mode": "with_special", "ids": [9], "input": "a b c"}]
+    (tmp_path / "v.json").write_text(json.dumps(vectors))
+    faults = I.piece_faults(I.read_fixtures(spark, str(tmp_path / "v.json")), G.Grammar.CL100K).collect()
+    assert {(r["fault"], r["input"], r["piece"]) for r in faults} == {("pieces", "x y z", None), ("id", None, "ab")}
+
+
+@pytest.mark.skipif(not os.environ.get("TOKLOOM_GOLDEN"), reason="TOKLOOM_GOLDEN names no folder of golden vectors")
+def test_golden_vectors_of_a_folder(spark):
+    """Files <encoding>.json of golden vectors: none contradicts its grammar."""
+    from pathlib import Path
+
+    for f in sorted(Path(os.environ["TOKLOOM_GOLDEN"]).glob("*.json")):
+        if f.stem in B.KNOWN:
+            grammar, nfc = B.KNOWN[f.stem]
+            vectors = I.read_fixtures(spark, str(f))
+            assert vectors.where("mode = 'ordinary'").count() > 0 and I.piece_faults(vectors, G.Grammar(grammar), nfc == 1).collect() == [], f
+
+
+def test_checksums_of_a_column(spark):
+    data = [b"", b"a", b"\x00\xff" * 40, None, "é".encode() * 7]
+    df = spark.createDataFrame([(bytearray(x) if x is not None else None,) for x in data], "b binary")
+    assert [r[0] for r in df.select(B.checksum(F.col("b"))).collect()] == [None if x is None else f"{B.fnv1a(x):016x}" for x in data]
+
+
+def test_longest_matches_by_plans(spark):
+    e = E.Encoding("t", [*BYTES.items(), (b"ab", 256), (b"abc", 257), (b"cd", 258), (b"zzz", 259)])
+    table = spark.createDataFrame([("abcd",), ("zzz",), ("q",), ("",), ("zzzab",)], "piece string")
+    assert {(r["piece"], r["id"]) for r in corpus.longest_prefixes(table, e).collect()} == {("abcd", 257), ("zzz", 259), ("q", 113), ("zzzab", 259)}
+    made = {r["id"]: (r["left"], r["right"]) for r in corpus.splits(spark, e).collect()}
+    assert made[256] == (97, 98) and made[257] == (256, 99) and made[259] == (259, 259) and made[97] == (97, 97)
+    # ab and cd have no common byte, but in abcd merges make abc first
+    pairs = {r["piece"]: (r["first"], r["second"], r["valid"]) for r in corpus.first_pairs(table, e).collect()}
+    assert pairs == {"abcd": (257, 100, True), "zzzab": (259, 256, False)}

@@ -12,11 +12,14 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokloom.encoding import Encoding, bytes256, toy
+from tokloom.encoding import DisallowedSpecial, Encoding, InvalidToken, UnsupportedEncoding, get_encoding, resolved, toy
+from tokloom.encoding import bytes256 as _bytes256
 from tokloom.functions import grammars, specials, table, tokens, unicode
 from tokloom.functions.grammars import Grammar
 from tokloom.plans import corpus
-from tokloom.session import prepare, scratch_dir
+from tokloom.session import is_folder, prepare, scratch_dir
+from tokloom.sources import blob as files
+from tokloom.sources import importer
 from tokloom.sources.blob import load_ranks
 from tokloom.streaming import encode as streaming
 
@@ -29,6 +32,18 @@ def vocabulary() -> Encoding:
     return Encoding("public50k", load_ranks(RANKS)) if os.path.exists(RANKS) else toy()
 
 
+@cache
+def bytes256(grammar: Grammar = Grammar.CL100K) -> Encoding:
+    """Made once, and so broadcast once."""
+    return _bytes256(grammar)
+
+
+@cache
+def cased() -> Encoding:
+    """The same vocabulary with the case-aware grammar."""
+    return Encoding("public50k-cased", vocabulary().ranks.items(), grammar=Grammar.O200K)
+
+
 @cache
 def chat() -> Encoding:
     """Bytes and chat markers."""
@@ -86,7 +101,6 @@ bpe AS MATERIALIZED (SELECT p, arg_min(toks, len(toks)) AS toks FROM steps GROUP
 
 
 _DOCS = "SELECT doc_id AS key, text FROM documents"
-_ITEMS = "SELECT item_id AS key, text FROM benchmark"
 
 
 # Queries
@@ -155,9 +169,23 @@ def char_classes(spark: SparkSession, d: str) -> DataFrame:
     return unicode.class_counts(_read(spark, d, "documents"), "text")
 
 
-@_query()
+def _re2(name: str) -> str:
+    """The class in DuckDB, which knows another Unicode than the JVM, and the added ranges."""
+    base = {"letter": r"\p{L}", "number": r"\p{N}", "space": f"[{_WS}]", "upper": r"[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]", "lower": r"[\p{Ll}\p{Lm}\p{Lo}\p{M}]"}[name]
+    added = "".join(f" OR i BETWEEN {a} AND {b}" for a, b in unicode.ranges(name))
+    return f"SELECT '{name}' AS class, count(*) AS total FROM range(1114112) t(i) WHERE i NOT BETWEEN 55296 AND 57343 AND (regexp_full_match(chr(CASE WHEN i BETWEEN 55296 AND 57343 THEN 97 ELSE i END::INT), '{base}'){added})"
+
+
+@_query(lambda: " UNION ALL ".join(_re2(n) for n in ("letter", "number", "space", "upper", "lower")))
 def unicode_drift(spark: SparkSession, d: str) -> DataFrame:
-    return unicode.drift(prepare(spark))
+    """Sizes of the classes over every code point."""
+    return unicode.drift(prepare(spark)).select("class", "total")
+
+
+@_query(lambda: " UNION ALL ".join(f"SELECT '{n}' AS class, sum(b - a + 1)::BIGINT AS n FROM (VALUES {', '.join(f'({a}, {b})' for a, b in unicode.ranges(n))}) t(a, b)" for n in ("letter", "number", "upper", "lower")))
+def unicode_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Code points of the added ranges, by a range join."""
+    return unicode.added(prepare(spark))
 
 
 @_query("SELECT doc_id, md5(nfc_normalize(text)) AS digest, strlen(nfc_normalize(text)) AS n_bytes FROM documents")
@@ -190,25 +218,24 @@ _FIRST_LAST = "t AS (SELECT key, pos, sub, id FROM (SELECT key, pos, unnest(rang
 @_query(lambda: f"WITH RECURSIVE {sql_bpe(_DOCS, Grammar.O200K)}, {_FIRST_LAST} SELECT key AS doc_id, count(*)::INT AS n_tokens, arg_min(id, pos::BIGINT * 1000000 + sub) AS first_id, arg_max(id, pos::BIGINT * 1000000 + sub) AS last_id, sum(id)::BIGINT AS sum_ids FROM t GROUP BY key")
 def bpe_encode(spark: SparkSession, d: str) -> DataFrame:
     """Encoded documents, by their length, ends and sum of ids; the case-aware grammar."""
-    e = Encoding("public50k-cased", vocabulary().ranks.items(), grammar=Grammar.O200K)
-    ids = _read(spark, d, "documents").select("doc_id", tokens.encode_ordinary(F.col("text"), e).alias("ids"))
+    ids = _read(spark, d, "documents").select("doc_id", tokens.encode_ordinary(F.col("text"), cased()).alias("ids"))
     total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
     return ids.select("doc_id", F.size("ids").alias("n_tokens"), F.element_at("ids", 1).alias("first_id"), F.element_at("ids", -1).alias("last_id"), total.alias("sum_ids"))
 
 
-@_query(lambda: f"WITH RECURSIVE {sql_bpe(_ITEMS)}, {_FIRST_LAST} SELECT key AS item_id, (row_number() OVER (PARTITION BY key ORDER BY pos, sub) - 1)::INT AS pos, id FROM t")
+@_query(lambda: f"WITH RECURSIVE {sql_bpe(_DOCS)}, {_FIRST_LAST} SELECT key AS doc_id, (row_number() OVER (PARTITION BY key ORDER BY pos, sub) - 1)::INT AS pos, id FROM t")
 def bpe_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Every token of the benchmark with its place, by the set plan."""
-    return corpus.encode_set(_read(spark, d, "benchmark"), "text", vocabulary(), "item_id")
+    """Every token of the documents with its place, by the set plan."""
+    return corpus.encode_set(_read(spark, d, "documents"), "text", vocabulary(), "doc_id")
 
 
-@_query("SELECT (count(*) * 0)::BIGINT AS n_different, (SELECT count(*) FROM benchmark) AS n_items FROM benchmark")
+@_query(lambda: f"WITH RECURSIVE {sql_bpe(_DOCS)} SELECT 0::BIGINT AS n_different, sum(len(toks))::BIGINT AS n_tokens FROM pieces JOIN bpe USING (p)")
 def plans_agree(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens on which the set plan and the row plan differ."""
-    items = _read(spark, d, "benchmark")
-    rows = items.select("item_id", F.posexplode(tokens.encode_ordinary(F.col("text"), vocabulary())).alias("pos", "id"))
-    different = corpus.differences(corpus.encode_set(items, "text", vocabulary(), "item_id"), rows, ["item_id"], "id")
-    return different.agg(F.count(F.lit(1)).alias("n_different")).crossJoin(items.agg(F.count(F.lit(1)).alias("n_items")))
+    """Tokens of the documents on which the set plan and the row plan differ, and tokens of the row plan."""
+    docs = _read(spark, d, "documents")
+    rows = corpus.token_rows(docs, "text", vocabulary(), "doc_id")
+    different = corpus.differences(corpus.encode_set(docs, "text", vocabulary(), "doc_id"), rows, ["doc_id"], "id")
+    return different.agg(F.count(F.lit(1)).alias("n_different")).crossJoin(rows.agg(F.count(F.lit(1)).alias("n_tokens")))
 
 
 @_query("SELECT doc_id, md5(text) AS digest FROM documents")
@@ -218,11 +245,11 @@ def decode_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return ids.select("doc_id", F.md5(tokens.decode(F.col("ids"), vocabulary()).cast("binary")).alias("digest"))
 
 
-@_query("SELECT item_id, text, NULL::BIGINT AS invalid_id FROM benchmark")
+@_query("SELECT doc_id, md5(text) AS digest, NULL::BIGINT AS invalid_id FROM documents")
 def decode_by_join(spark: SparkSession, d: str) -> DataFrame:
-    """The benchmark decoded from rows of tokens."""
-    rows = corpus.encode_set(_read(spark, d, "benchmark"), "text", vocabulary(), "item_id")
-    return corpus.decode_set(rows, vocabulary(), "item_id").select("item_id", F.col("bytes").cast("string").alias("text"), "invalid_id")
+    """The documents decoded from rows of tokens."""
+    rows = corpus.token_rows(_read(spark, d, "documents"), "text", vocabulary(), "doc_id")
+    return corpus.decode_set(rows, vocabulary(), "doc_id").select("doc_id", F.md5("bytes").alias("digest"), "invalid_id")
 
 
 @_query(
@@ -322,11 +349,12 @@ def sql_functions(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT conv_id, turn, b256_count(text) AS n_tokens, b256_decode(b256_encode(text)) AS back, b256_n_vocab() AS n_vocab FROM tokloom_messages")
 
 
-@_query("SELECT item_id, (unnest(range(strlen(text))))::INT AS pos, unnest(regexp_extract_all(hex(encode(text)), '..')) AS token FROM benchmark")
+@_query("SELECT doc_id, count(*) AS n, sum(pos * ('0x' || b)::INT)::BIGINT AS weight FROM (SELECT doc_id, unnest(range(strlen(text))) AS pos, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents) GROUP BY doc_id")
 def sql_table_function(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of the documents as rows of a table function in SQL, summed with their places."""
     table.register_tokens(prepare(spark), bytes256(), "b256_tokens")
-    _read(spark, d, "benchmark").createOrReplaceTempView("tokloom_items")
-    return spark.sql("SELECT item_id, t.pos, hex(t.bytes) AS token FROM tokloom_items, LATERAL b256_tokens(text) t")
+    _read(spark, d, "documents").createOrReplaceTempView("tokloom_documents")
+    return spark.sql("SELECT doc_id, count(*) AS n, sum(CAST(t.pos AS BIGINT) * t.id) AS weight FROM tokloom_documents, LATERAL b256_tokens(text) t GROUP BY doc_id")
 
 
 @_query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 1 WHEN event_id % 3 = 0 THEN 3 ELSE 0 END AS status, CASE WHEN event_id % 5 = 0 OR event_id % 3 = 0 THEN -1 ELSE strlen(event_type) END::INT AS n_tokens FROM events")
@@ -347,11 +375,303 @@ def stream_count(spark: SparkSession, d: str) -> DataFrame:
     base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").schema
     path = f"{d}/documents.parquet"
-    source = streaming.read(spark, path if os.path.isdir(path) else d, schema, pathGlobFilter="*.parquet" if os.path.isdir(path) else "documents.parquet")
+    source = streaming.read(spark, path if is_folder(spark, path) else d, schema, pathGlobFilter="*.parquet" if is_folder(spark, path) else "documents.parquet")
     streaming.write(streaming.counted(source, "text", vocabulary(), "doc_id"), f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/out")
 
 
+# Structure of the vocabulary, and encoding by longest matches
+_DISTINCT = f"distinct_pieces AS MATERIALIZED (SELECT p, hex(encode(p)) AS h FROM (SELECT DISTINCT unnest({sql_pieces('text', Grammar.CL100K)}) AS p FROM documents))"
+_BEGINS = "SELECT x.{key}, arg_max(v.id, k) AS id, max(k) AS k FROM (SELECT {key}, unnest(range(1, len({h}) // 2 + 1)) AS k, {h} AS hh FROM {table} WHERE len({h}) > 0) x JOIN vocab v ON v.h = hh[1:2 * k] GROUP BY x.{key}"
+
+
+def _distinct(spark: SparkSession, d: str) -> DataFrame:
+    return grammars.pieces(_read(spark, d, "documents"), "text").select("piece").distinct()
+
+
+@_query(lambda: f"WITH {sql_vocabulary()}, {_DISTINCT} SELECT p AS piece, id FROM ({_BEGINS.format(key='p', h='h', table='distinct_pieces')})")
+def vocab_longest_match(spark: SparkSession, d: str) -> DataFrame:
+    """The longest token that begins each distinct piece of the documents."""
+    return corpus.longest_prefixes(_distinct(spark, d), vocabulary())
+
+
+@_query(
+    lambda: f"""WITH RECURSIVE {sql_vocabulary()}, s(id, toks) AS (SELECT id, regexp_extract_all(h, '..') FROM vocab UNION ALL
+SELECT id, list_concat(list_concat(toks[1:i - 1], [toks[i] || toks[i + 1]]), toks[i + 2:]) FROM (SELECT t.id, toks, arg_min(i, v.id::BIGINT * 1000000 + i) AS i
+FROM (SELECT id, toks, unnest(range(1, len(toks))) AS i FROM s) t JOIN vocab v ON v.h = toks[i] || toks[i + 1] WHERE v.id < t.id GROUP BY t.id, toks)),
+last AS (SELECT id, arg_min(toks, len(toks)) AS toks FROM s GROUP BY id)
+SELECT l.id, CASE WHEN len(toks) = 2 THEN a.id ELSE l.id END AS "left", CASE WHEN len(toks) = 2 THEN b.id ELSE l.id END AS "right" FROM last l LEFT JOIN vocab a ON a.h = toks[1] LEFT JOIN vocab b ON b.h = toks[2]"""
+)
+def vocab_splits(spark: SparkSession, d: str) -> DataFrame:
+    """The two tokens that merges make each token of."""
+    return corpus.splits(prepare(spark), vocabulary())
+
+
+@_query(
+    lambda: f"""WITH RECURSIVE {sql_vocabulary()}, {_DISTINCT}, a AS (SELECT p, d.h, x.id AS first, x.k AS k FROM ({_BEGINS.format(key='p', h='h', table='distinct_pieces')}) x JOIN distinct_pieces d USING (p)),
+rest AS (SELECT p, h[2 * k + 1:] AS r FROM a WHERE len(h) > 2 * k), pairs AS MATERIALIZED (SELECT p, a.first, y.id AS second, v.h AS h1, w.h AS h2 FROM ({_BEGINS.format(key='p', h='r', table='rest')}) y JOIN a USING (p) JOIN vocab v ON v.id = a.first JOIN vocab w ON w.id = y.id),
+s(h1, h2, toks) AS (SELECT DISTINCT h1, h2, regexp_extract_all(h1 || h2, '..') FROM pairs UNION ALL
+SELECT h1, h2, list_concat(list_concat(toks[1:i - 1], [toks[i] || toks[i + 1]]), toks[i + 2:]) FROM (SELECT h1, h2, toks, arg_min(i, id::BIGINT * 1000000 + i) AS i
+FROM (SELECT h1, h2, toks, unnest(range(1, len(toks))) AS i FROM s) JOIN vocab v ON v.h = toks[i] || toks[i + 1] GROUP BY h1, h2, toks)),
+ends AS (SELECT h1, h2, arg_min(toks, len(toks)) AS toks FROM s GROUP BY h1, h2)
+SELECT p AS piece, first, second, toks = [h1, h2] AS valid FROM pairs JOIN ends USING (h1, h2)"""
+)
+def pair_validity(spark: SparkSession, d: str) -> DataFrame:
+    """The first two longest tokens of each distinct piece, and whether merges leave them as they are."""
+    return corpus.first_pairs(_distinct(spark, d), vocabulary())
+
+
+@_query(_oracles["bpe_histogram"])
+def longest_match_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """How often each token occurs, by longest matches with backtracking."""
+    return corpus.token_histogram(_read(spark, d, "documents"), "text", vocabulary(), longest_match=True)
+
+
+@_query(
+    lambda: f"""WITH RECURSIVE {sql_vocabulary()}, counted AS MATERIALIZED (SELECT p, count(*) AS n, hex(encode(p)) AS h FROM (SELECT unnest({sql_pieces("text", Grammar.CL100K)}) AS p FROM documents) GROUP BY p),
+steps(p, toks, gets) AS (SELECT p, regexp_extract_all(h, '..'), 1 + len(h) // 2 FROM counted c WHERE NOT EXISTS (SELECT 1 FROM vocab v WHERE v.h = c.h) UNION ALL
+SELECT p, list_concat(list_concat(toks[1:i - 1], [toks[i] || toks[i + 1]]), toks[i + 2:]), gets + CASE WHEN i > 1 THEN 2 ELSE 1 END FROM (SELECT p, toks, gets, arg_min(i, id::BIGINT * 1000000 + i) AS i
+FROM (SELECT p, toks, gets, unnest(range(1, len(toks))) AS i FROM steps) JOIN vocab ON h = toks[i] || toks[i + 1] GROUP BY p, toks, gets)),
+done AS (SELECT p, min(len(toks)) AS k, max(gets) AS gets FROM steps GROUP BY p)
+SELECT sum(n * (CASE WHEN k IS NULL THEN 0 ELSE strlen(p) - k END))::BIGINT AS merges, sum(n * coalesce(gets, 1))::BIGINT AS lookups, sum(n * coalesce(k, 1))::BIGINT AS tokens FROM counted LEFT JOIN done USING (p)"""
+)
+def merge_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of merges; the tokens are those that longest matches give."""
+    return corpus.merge_profile(_read(spark, d, "documents"), "text", vocabulary()).select("merges", "lookups", "tokens")
+
+
+@_query()
+def longest_match_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of longest matches with backtracking."""
+    return corpus.merge_profile(_read(spark, d, "documents"), "text", vocabulary()).select("next_match", "nm_steps", "is_valid", "tokens", "backtrack")
+
+
+@_query(lambda: " UNION ALL ".join(f"SELECT '{g.name}' AS grammar, count(*) AS n_docs, count(*) AS n_covered, sum(len({sql_pieces('text', g)}))::BIGINT AS n_pieces FROM documents" for g in Grammar))
+def pieces_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose pieces, put together, are the text."""
+    found = None
+    for g in Grammar:
+        cut = _read(spark, d, "documents").select("text", grammars.pretokenize(F.col("text"), g).alias("p"))
+        one = cut.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.array_join("p", "") == F.col("text")).alias("n_covered"), F.sum(F.size("p")).alias("n_pieces")).select(F.lit(g.name).alias("grammar"), "*")
+        found = one if found is None else found.union(one)
+    return found
+
+
+# Files
+def _scratch(spark: SparkSession) -> str:
+    import uuid
+
+    folder = f"{scratch_dir(prepare(spark))}/files-{uuid.uuid4().hex}"
+    spark.range(1).write.parquet(folder)  # makes the folder, on any file system
+    return folder
+
+
+_TOKENS = "SELECT 'rank' AS kind, h AS token_hex, id FROM vocab UNION ALL SELECT 'special', hex(encode(n)), i FROM (VALUES {}) s(n, i)"
+
+
+def _sql_tokens() -> str:
+    return f"WITH {sql_vocabulary()} {_TOKENS.format(', '.join(repr(x) for x in _packed().special_tokens()))}"
+
+
+@cache
+def _packed() -> Encoding:
+    """The vocabulary with the chat markers after it."""
+    top = vocabulary().n_vocab
+    return Encoding("packed", vocabulary().ranks.items(), [(n.encode(), top + k) for k, (n, _) in enumerate(CHAT)], Grammar.QWEN, True)
+
+
+def _token_rows(spark: SparkSession, e: Encoding) -> DataFrame:
+    rows = [("rank", t, i) for t, i in e.ranks.items()] + [("special", n, i) for n, i in e.specials]
+    return spark.createDataFrame(rows, "kind string, token binary, id int")
+
+
+@_query(_sql_tokens)
+def blob_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A vocabulary written as a blob by a DataFrame writer and read by a DataFrame reader, checksum and all."""
+    prepare(spark).dataSource.register(files.StbSource)
+    path = f"{_scratch(spark)}/packed.stb"
+    _token_rows(spark, _packed()).write.format("stb").options(name="packed", grammar="2", normalizer="1").mode("append").save(path)
+    return spark.read.format("stb").load(path).select("kind", F.hex("token").alias("token_hex"), "id")
+
+
+@_query(_sql_tokens)
+def packed_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """Text files of a vocabulary, written, packed to a blob and loaded by name."""
+    folder = _scratch(spark)
+    files.write_ranks(_packed().ranks.items(), f"{folder}/own.tiktoken")
+    files.write_specials(_packed().specials, f"{folder}/own.special")
+    files.pack(folder, "own", Grammar.QWEN.value, 1)
+    return _token_rows(spark, Encoding.load(folder, "own")).select("kind", F.hex("token").alias("token_hex"), "id")
+
+
+@_query(_sql_tokens)
+def vocabulary_files(spark: SparkSession, d: str) -> DataFrame:
+    """The same files read by Spark."""
+    folder = _scratch(spark)
+    files.write_ranks(_packed().ranks.items(), f"{folder}/own.tiktoken")
+    files.write_specials(_packed().specials, f"{folder}/own.special")
+    ranks = files.read_ranks(spark, f"{folder}/own.tiktoken").select(F.lit("rank").alias("kind"), F.hex("token").alias("token_hex"), "id")
+    return ranks.union(files.read_specials(spark, f"{folder}/own.special").select(F.lit("special"), F.hex(F.col("name").cast("binary")), "id"))
+
+
+@_query(_sql_tokens)
+def imported_tokenizer(spark: SparkSession, d: str) -> DataFrame:
+    """A tokenizer.json of the vocabulary, imported: its characters are bytes again."""
+    import json
+
+    folder = _scratch(spark)
+    files.write_bytes(f"{folder}/tokenizer.json", json.dumps(importer.to_spec(_packed())).encode())
+    importer.import_tokenizer(f"{folder}/tokenizer.json", "own", folder)
+    return _token_rows(spark, Encoding.load(folder, "own")).select("kind", F.hex("token").alias("token_hex"), "id")
+
+
+@_query("SELECT count(*) AS n_texts, 0::BIGINT AS n_different, sum(strlen(text))::BIGINT AS n_ids FROM conversations")
+def import_verified(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of an imported tokenizer compared, token by token, with those that the bytes of the messages give."""
+    e = importer.read_spec(importer.to_spec(bytes256(Grammar.O200K)), "own")
+    importer.verify(e, lambda t: list(t.encode()))
+    code = F.transform(F.sequence(F.lit(1), F.octet_length("text")), lambda k: F.conv(F.hex(F.substring(F.col("text").cast("binary"), k, F.lit(1))), 16, 10).cast("int"))
+    expected = _read(spark, d, "conversations").select("conv_id", "turn", "text", F.when(F.col("text") != "", code).otherwise(F.array()).alias("ids"))
+    wrong = importer.verify_set(expected, e, "conv_id", "turn").agg(F.count(F.lit(1)).alias("n_different"))
+    return expected.agg(F.count(F.lit(1)).alias("n_texts"), F.sum(F.size("ids")).alias("n_ids")).crossJoin(wrong).select("n_texts", "n_different", "n_ids")
+
+
+@_query("SELECT count(*) AS n_vectors, 0::BIGINT AS n_different, 0::BIGINT AS n_faults, sum(strlen(text))::BIGINT AS n_ids FROM benchmark")
+def golden_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Golden vectors as JSON, their input text or base64: read, compared with our ids, and checked without a vocabulary."""
+    bench = _read(spark, d, "benchmark")
+    code = F.transform(F.sequence(F.lit(1), F.octet_length("text")), lambda k: F.conv(F.hex(F.substring(F.col("text").cast("binary"), k, F.lit(1))), 16, 10).cast("int"))
+    odd = F.col("item_id") % 2 == 1
+    rows = bench.select(F.lit("ordinary").alias("mode"), code.alias("ids"), F.when(odd, F.col("text")).alias("input"), F.when(~odd, F.base64(F.col("text").cast("binary"))).alias("input_b64"), F.lit("bytes256").alias("encoding"))
+    folder = f"{_scratch(spark)}/golden"
+    rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).write.text(folder)  # a file of golden vectors is one JSON array
+    vectors = importer.read_fixtures(spark, folder)
+    wrong = importer.mismatches(vectors, bytes256()).agg(F.count(F.lit(1)).alias("n_different"))
+    faults = importer.piece_faults(vectors, Grammar.CL100K).agg(F.count(F.lit(1)).alias("n_faults"))
+    return vectors.agg(F.count(F.lit(1)).alias("n_vectors"), F.sum(F.size("ids")).alias("n_ids")).crossJoin(wrong).crossJoin(faults).select("n_vectors", "n_different", "n_faults", "n_ids")
+
+
+@_query(
+    """SELECT doc_id, printf('%016x', list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda b: ('0x' || b)::HUGEINT)),
+lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)::UBIGINT) AS checksum FROM documents"""
+)
+def checksums(spark: SparkSession, d: str) -> DataFrame:
+    """The checksum of vocabulary blobs, of whole documents."""
+    return _read(spark, d, "documents").select("doc_id", files.checksum(F.col("text").cast("binary")).alias("checksum"))
+
+
+# Encoding, decoding and batches, further forms
+@_query("SELECT conv_id, turn, (strlen(text) + strlen(role))::INT AS n_tokens, ('0x' || left(hex(encode(role)), 2))::INT AS first_id FROM conversations")
+def encode_append(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of a message put after those of its role."""
+    role = tokens.encode_ordinary(F.col("role"), bytes256())
+    ids = _read(spark, d, "conversations").select("conv_id", "turn", tokens.append_encoded(role, F.col("text"), bytes256()).alias("ids"))
+    return ids.select("conv_id", "turn", F.size("ids").alias("n_tokens"), F.element_at("ids", 1).alias("first_id"))
+
+
+@_query(f"SELECT conv_id, turn, strlen(t)::INT AS n_tokens, NULL::VARCHAR AS error_token FROM ({_CHAT_SQL})")
+def encode_without_specials(spark: SparkSession, d: str) -> DataFrame:
+    """An encoding without special tokens finds none, whatever is in the text."""
+    found = _chat(spark, d).select("conv_id", "turn", tokens.try_encode(F.col("t"), bytes256()).alias("r"))
+    return found.select("conv_id", "turn", F.size("r.ids").alias("n_tokens"), "r.error_token")
+
+
+@_query(
+    """SELECT l_orderkey, string_agg(CASE WHEN l_linenumber % 3 = 0 THEN chr(65533) ELSE chr((l_suppkey * 31 % 90 + 33)::INT) END, '' ORDER BY l_linenumber, l_suppkey) AS text FROM lineitem GROUP BY l_orderkey"""
+)
+def lossy_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of bytes of which some are no UTF-8: each becomes U+FFFD."""
+    x = F.when(F.col("l_linenumber") % 3 == 0, 0xF8 + F.col("l_suppkey") % 8).otherwise(F.col("l_suppkey") * 31 % 90 + 33)
+    ids = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", x.alias("x"))))
+    lists = _read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(ids, lambda r: r["x"]).alias("ids"))
+    return lists.select("l_orderkey", tokens.decode(F.col("ids"), bytes256()).alias("text"))
+
+
+@_query("SELECT i, o AS \"offset\" FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, (sum(strlen(text)) OVER (ORDER BY doc_id) - strlen(text))::BIGINT AS o FROM documents UNION ALL SELECT count(*), sum(strlen(text))::BIGINT FROM documents)")
+def batch_index(spark: SparkSession, d: str) -> DataFrame:
+    """Offsets of all documents in one flat list of tokens, and its length."""
+    counts = _read(spark, d, "documents").select("doc_id", tokens.count_tokens(F.col("text"), bytes256()).alias("n"))
+    return corpus.flat_index(counts, "doc_id", "n")
+
+
+@_query("SELECT row_number() OVER (ORDER BY conv_id, turn, pos) - 1 AS at, ('0x' || b)::INT AS id FROM (SELECT conv_id, turn, unnest(range(strlen(text))) AS pos, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM conversations)")
+def batch_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The tokens of all messages in one flat list."""
+    return corpus.flat_tokens(_read(spark, d, "conversations").withColumn("k", F.struct("conv_id", "turn")), "text", bytes256(), "k")
+
+
+@_query("SELECT event_id, strlen(event_type) / (abs(value) * 1e6) AS mb_s, strlen(event_type) / (abs(value) * 1048576) AS mib_s FROM events WHERE value <> 0")
+def rates(spark: SparkSession, d: str) -> DataFrame:
+    """Megabytes of both kinds a second."""
+    timed = _read(spark, d, "events").where("value <> 0").select("event_id", F.octet_length("event_type").alias("b"), F.abs("value").alias("s"))
+    return corpus.rates(timed, "b", "s").select("event_id", "mb_s", "mib_s")
+
+
+@_query(lambda: f"WITH {sql_vocabulary()} SELECT 'bytes256' AS name, 256 AS vocab_size, 256 AS n_vocab, 'CL100K' AS grammar, false AS nfc UNION ALL SELECT 'toy', 258, 258, 'CL100K', false UNION ALL SELECT 'packed', count(*)::INT, (max(id) + 1 + {len(CHAT)})::INT, 'QWEN', true FROM vocab")
+def encodings(spark: SparkSession, d: str) -> DataFrame:
+    """What encodings tell of themselves; the last one through a blob."""
+    rows = [get_encoding("bytes256"), get_encoding("toy"), Encoding.from_blob(files.Blob.from_bytes(_packed().to_blob().to_bytes()))]
+    return prepare(spark).createDataFrame([(e.name, e.vocab_size, e.n_vocab, e.grammar.name, e.nfc) for e in rows], "name string, vocab_size int, n_vocab int, grammar string, nfc boolean")
+
+
+@_query(
+    """SELECT * FROM (VALUES ('own', 'own', 'O200K', true, NULL), ('version 1, known', 'qwen3', 'QWEN', true, NULL), ('version 1, unknown', NULL, NULL, NULL, 'UnsupportedEncoding'), ('grammar 9', NULL, NULL, NULL, 'UnsupportedEncoding'),
+('magic', NULL, NULL, NULL, 'BadMagic'), ('version 3', NULL, NULL, NULL, 'UnsupportedVersion'), ('one bit', NULL, NULL, NULL, 'ChecksumMismatch'), ('cut short', NULL, NULL, NULL, 'Corrupt'), ('255 bytes', NULL, NULL, NULL, 'ValueError')) t(kind, name, grammar, nfc, error)"""
+)
+def blob_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of blobs of several kinds, sound and broken, resolved in a distributed map."""
+    import struct
+
+    def blob(name: str, grammar: int = 1, normalizer: int = 1, ranks: int = 256) -> bytes:
+        return files.Blob(name, [(bytes([b]), b) for b in range(ranks)], [], grammar, normalizer).to_bytes()
+
+    def old(name: str) -> bytes:
+        body = blob(name)[20:]
+        cut = 2 + len(name) + 12
+        body = body[:cut] + body[cut + 2 :]
+        return files.MAGIC + struct.pack("<HHQ", 1, 0, files.fnv1a(body)) + body
+
+    sound = blob("own")
+    short = sound[20:-3]
+    kinds = {"own": sound, "version 1, known": old("qwen3"), "version 1, unknown": old("own"), "grammar 9": blob("own", 9), "magic": b"x" + sound[1:], "version 3": sound[:8] + b"\3" + sound[9:],
+             "one bit": sound[:-1] + bytes([sound[-1] ^ 1]), "cut short": files.MAGIC + struct.pack("<HHQ", 2, 0, files.fnv1a(short)) + short, "255 bytes": blob("own", ranks=255)}
+    rows = prepare(spark).createDataFrame(list(kinds.items()), "kind string, data binary")
+
+    @F.udf("name string, grammar string, nfc boolean, error string", useArrow=True)
+    def told(data: bytes) -> tuple:
+        return resolved(bytes(data))
+
+    return rows.select("kind", told("data").alias("r")).select("kind", "r.*")
+
+
+@_query(
+    """SELECT * FROM (VALUES ('no specials allowed', 'DisallowedSpecial <|im_end|> 2'), ('all allowed', '[97, 257]'), ('some allowed', '[257]'), ('unknown allowed', 'DisallowedSpecial <|im_start|> 0'), ('a wrong word', 'ValueError'), ('ordinary', '[60, 124]'),
+('an unknown id', 'InvalidToken 999'), ('a missing encoding', 'UnsupportedEncoding'), ('a missing byte', 'ValueError'), ('an empty batch', '[]'), ('a batch', '[[97], [], [98, 99]]'), ('counts', '[1, 0, 2]'), ('its text', '<Encoding ''chat'' n_vocab=260>')) t(rule, outcome)"""
+)
+def api_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The rules of the Python API: arguments, results and errors."""
+    e = chat()
+    rules = {
+        "no specials allowed": lambda: e.encode("é<|im_end|>"), "all allowed": lambda: e.encode("a<|im_end|>", "all"), "some allowed": lambda: e.encode("<|im_end|>", ["<|im_end|>"]), "unknown allowed": lambda: e.encode("<|im_start|>", ["<|none|>"]),
+        "a wrong word": lambda: e.encode("", "some"), "ordinary": lambda: e.encode_ordinary("<|"), "an unknown id": lambda: e.decode([97, 999]), "a missing encoding": lambda: get_encoding("cl100k_base"), "a missing byte": lambda: Encoding("x", [(b"a", 0)]),
+        "an empty batch": lambda: e.encode_batch([]), "a batch": lambda: e.encode_batch(["a", "", "bc"]), "counts": lambda: e.count_batch(["a", "", "bc"]), "its text": lambda: e,
+    }
+
+    def outcome(f: Callable) -> str:
+        try:
+            return str(f())
+        except DisallowedSpecial as x:
+            return f"DisallowedSpecial {x.token} {x.offset}"
+        except InvalidToken as x:
+            return f"InvalidToken {x.token_id}"
+        except UnsupportedEncoding:
+            return "UnsupportedEncoding"
+        except ValueError:
+            return "ValueError"
+
+    return prepare(spark).createDataFrame([(k, outcome(f)) for k, f in rules.items()], "rule string, outcome string")
+
+
 def queries() -> dict[str, Callable]:
     return dict(_queries)
 

@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 from tokloom.functions.grammars import Grammar, pattern
 from tokloom.operators import vectorized
 from tokloom.operators.bpe import encode_piece
-from tokloom.sources.blob import KNOWN, UNKNOWN_GRAMMAR, Blob, load_ranks, load_specials
+from tokloom.sources.blob import KNOWN, UNKNOWN_GRAMMAR, Blob, exists, load_ranks, load_specials, read_bytes
 
 #: Configuration, then environment, that name a folder of vocabularies.
 FOLDER_CONF, FOLDER_ENV = "spark.tokloom.vocabularies", "TOKLOOM_VOCABULARIES"
@@ -87,14 +87,14 @@ class Encoding:
 
     @classmethod
     def load(cls, folder: str | Path, name: str, grammar: Grammar | None = None) -> Encoding:
-        """<name>.stb of a folder, or else <name>.tiktoken with <name>.special."""
-        folder = Path(folder)
-        if (p := folder / f"{name}.stb").exists():
-            return cls.from_blob(Blob.from_bytes(p.read_bytes()))
-        if not (p := folder / f"{name}.tiktoken").exists():
+        """<name>.stb of a folder, or else <name>.tiktoken with <name>.special; the folder may be a URI."""
+        folder = str(folder).rstrip("/")
+        if exists(p := f"{folder}/{name}.stb"):
+            return cls.from_blob(Blob.from_bytes(read_bytes(p)))
+        if not exists(p := f"{folder}/{name}.tiktoken"):
             raise FileNotFoundError(f"no {name}.stb or {name}.tiktoken in {folder}")
         known = KNOWN.get(name, (Grammar.CL100K.value, 0))
-        return cls(name, load_ranks(p), load_specials(folder / f"{name}.special"), grammar or Grammar(known[0]), known[1] == 1)
+        return cls(name, load_ranks(p), load_specials(f"{folder}/{name}.special"), grammar or Grammar(known[0]), known[1] == 1)
 
     @property
     def vocab_size(self) -> int:
@@ -395,17 +395,30 @@ def toy() -> Encoding:
 
 
 BUILT_IN = {"bytes256": bytes256, "toy": toy}
+#: Blobs that come with the package, <name>.stb, are found here.
+RESOURCES = Path(__file__).with_name("vocabularies")
 
 
 def get_encoding(name: str, spark: SparkSession | None = None) -> Encoding:
-    """By the folder of the session's configuration or the environment, whose failure is final; else a built-in one.
+    """By the folder of the session's configuration or the environment, whose failure is final; else a blob of the package, else a built-in one.
 
     The public encodings need their vocabulary files; no ids are made up for them.
     """
     folder = (spark.conf.get(FOLDER_CONF, None) if spark else None) or os.environ.get(FOLDER_ENV)
     if folder:
         return Encoding.load(folder, name)
+    if (RESOURCES / f"{name}.stb").exists():
+        return Encoding.load(RESOURCES, name)
     if name in BUILT_IN:
         return BUILT_IN[name]()
     raise UnsupportedEncoding(f"{name}: set {FOLDER_CONF} or {FOLDER_ENV} to the folder of its vocabulary (built in: {', '.join(BUILT_IN)})")
 
+
+def resolved(blob: bytes) -> tuple[str | None, str | None, bool | None, str | None]:
+    """(name, grammar, NFC or not, error) of a blob: what it says of itself or, of version 1, what its name says."""
+    try:
+        read = Blob.from_bytes(blob)
+        e = Encoding.from_blob(read)
+    except ValueError as x:
+        return None, None, None, type(x).__name__
+    return e.name, e.grammar.name, e.nfc, None

@@ -96,6 +96,12 @@ def drift(spark: SparkSession) -> DataFrame:
     return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("class"), F.col(f"{n}_jvm").alias("jvm"), (F.col(f"{n}_all") - F.col(f"{n}_jvm")).alias("added"), F.col(f"{n}_all").alias("total")) for n in _BUILT_IN))).alias("r")).select("r.*")
 
 
+def added(spark: SparkSession) -> DataFrame:
+    """(class, n): code points of the added ranges of each class, by a join of all code points with the table of ranges, which is broadcast."""
+    hit = F.col("cp").between(F.col("low"), F.col("high"))
+    return code_points(spark).select("cp").join(F.broadcast(range_table(spark)), hit).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+
+
 def nfc(text: Column) -> Column:
     """Canonical composition; a text of ASCII is returned as it is."""
 

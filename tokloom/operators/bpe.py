@@ -65,6 +65,18 @@ def _heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def merge_counts(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, int, int]:
+    """(ids, merges, lookups) of one piece by merges: a lookup of the piece and, if it is none of the tokens, one of each byte and, after each merge, of the pairs that it makes."""
+    if piece in ranks:
+        return 1, 0, 1
+    parts, merges, lookups = [piece[i : i + 1] for i in range(len(piece))], 0, 1 + len(piece)
+    while found := [(r, i) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]:
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        merges, lookups = merges + 1, lookups + 1 + (i > 0)
+    return len(parts), merges, lookups
+
+
 def next_prefix(ranks: dict[bytes, int]) -> dict[int, int | None]:
     """For each id the id of the longest token that is a proper prefix of its token."""
     return {r: next((ranks[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in ranks), None) for t, r in ranks.items()}

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from tokloom.encoding import Encoding, worker_encoding
 from tokloom.functions.grammars import pieces
+from tokloom.functions.tokens import encode_ordinary
 from tokloom.functions.unicode import nfc
-from tokloom.session import prepare
+from tokloom.operators.bpe import merge_counts, split
+from tokloom.operators.trie import Trie
+from tokloom.plans.numbering import numbered
+from tokloom.session import prepare, save
 
-#: A vocabulary is broadcast up to so many tokens, about 64 bytes each; beyond, its joins shuffle.
-BROADCAST_TOKENS = 1 << 20
+#: A vocabulary is broadcast if its tokens, with what a hash table adds to each, stay below so many bytes; beyond, its joins shuffle.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 64
+#: The most frequent pieces, of at most so many bytes each, that the set plan joins by broadcast: 2^16 of them are 26 MB at most. All others are joined by a shuffle, with little skew.
+FREQUENT, FREQUENT_BYTES = 1 << 16, 64
 
 
 def paragraphs(df: DataFrame, text: str, *keys: str) -> DataFrame:
@@ -31,8 +39,11 @@ def lines(df: DataFrame, text: str, *keys: str) -> DataFrame:
 def vocabulary(spark: SparkSession, encoding: Encoding) -> DataFrame:
     """(token, id), hinted for broadcast if its size allows."""
     table = pa.table({"token": pa.array(encoding.ranks.keys(), pa.binary()), "id": pa.array(encoding.ranks.values(), pa.int32())})
-    df = spark.createDataFrame(table.to_pandas(), "token binary, id int")
-    return F.broadcast(df) if encoding.vocab_size <= BROADCAST_TOKENS else df
+    return _hinted(spark.createDataFrame(table.to_pandas(), "token binary, id int"), encoding.ranks)
+
+
+def _hinted(df: DataFrame, tokens: Iterable[bytes]) -> DataFrame:
+    return F.broadcast(df) if sum(len(t) + ROW_BYTES for t in tokens) <= BROADCAST_BYTES else df
 
 
 def piece_table(found: DataFrame, encoding: Encoding) -> DataFrame:
@@ -56,27 +67,100 @@ def _merge(blob):
 
 
 def encode_set(df: DataFrame, text: str, encoding: Encoding, *keys: str) -> DataFrame:
-    """(keys..., pos, id): a row for each token, by encoding each distinct piece once and joining it back."""
+    """(keys..., pos, id): a row for each token, by encoding each distinct piece once and joining it back.
+
+    The frequent pieces are joined by broadcast, so that none is a hot task of the shuffle that joins the others. Rows are put in order within their keys, which should name few rows; ``token_rows`` gives the same without a shuffle.
+    """
     source = df.withColumn(text, nfc(F.col(text))) if encoding.nfc else df
     found = pieces(source, text, encoding.grammar, *keys)
-    ids = piece_table(found, encoding).select("piece", "ids")
-    rows = found.join(ids, "piece").select(*keys, "pos", F.posexplode("ids").alias("sub", "id"))
+    table = save(piece_table(found, encoding).select("piece", "n", "ids"), "pieces")
+    some = table.where(F.octet_length("piece") <= FREQUENT_BYTES).orderBy(F.desc("n"), "piece").limit(FREQUENT)
+    near = found.join(F.broadcast(some.select("piece", "ids")), "piece", "left")
+    far = near.where("ids IS NULL").drop("ids").join(table.select("piece", "ids"), "piece")
+    rows = near.where("ids IS NOT NULL").union(far.select(near.columns)).select(*keys, "pos", F.posexplode("ids").alias("sub", "id"))
     order = Window.partitionBy(*keys).orderBy("pos", "sub")
     return rows.select(*keys, (F.row_number().over(order) - 1).alias("pos"), "id")
 
 
-def token_histogram(df: DataFrame, text: str, encoding: Encoding) -> DataFrame:
-    """(id, n): how often each token occurs; nothing is joined back to the texts."""
+def token_rows(df: DataFrame, text: str, encoding: Encoding, *keys: str) -> DataFrame:
+    """(keys..., pos, id): a row for each token, by the row plan; no shuffle."""
+    return df.select(*keys, F.posexplode(encode_ordinary(F.col(text), encoding)).alias("pos", "id"))
+
+
+def token_histogram(df: DataFrame, text: str, encoding: Encoding, longest_match: bool = False) -> DataFrame:
+    """(id, n): how often each token occurs; nothing is joined back to the texts. With ``longest_match`` the distinct pieces are encoded by longest matches with backtracking."""
     source = df.withColumn(text, nfc(F.col(text))) if encoding.nfc else df
-    return piece_table(pieces(source, text, encoding.grammar), encoding).select("n", F.explode("ids").alias("id")).groupBy("id").agg(F.sum("n").alias("n"))
+    found = pieces(source, text, encoding.grammar)
+    table = found.groupBy("piece").agg(F.count(F.lit(1)).alias("n")) if longest_match else piece_table(found, encoding)
+    if longest_match:
+        table = by_piece(table, encoding, lambda e, p, trie: (trie.encode(p),), "ids array<int>")
+    return table.select("n", F.explode("ids").alias("id")).groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def by_piece(table: DataFrame, encoding: Encoding, f: Callable, columns: str) -> DataFrame:
+    """``table`` with further columns, which ``f`` gives as a tuple from the encoding, the bytes of column piece, and a trie that each task keeps."""
+    blob = encoding.shared(prepare(table.sparkSession))
+    more = StructType.fromDDL(columns)
+    schema, at = StructType([*table.schema, *more]), table.columns.index("piece")
+    kinds = [to_arrow_type(c.dataType) for c in more]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = worker_encoding(blob.value)
+        trie = Trie(e.ranks)
+        for b in batches:
+            out = [f(e, p.encode() if isinstance(p, str) else p, trie) for p in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))], names=schema.names)
+
+    return table.mapInArrow(run, schema)
+
+
+def longest_prefixes(table: DataFrame, encoding: Encoding) -> DataFrame:
+    """(piece, id): the longest token that begins each distinct piece, a string or binary, by a join on its beginnings."""
+    v = vocabulary(table.sparkSession, encoding).select("token", "id")
+    longest = max(map(len, encoding.ranks))
+    cut = table.select("piece", F.col("piece").cast("binary").alias("b")).where("octet_length(b) > 0")
+    cut = cut.select("piece", "b", F.explode(F.expr(f"sequence(1, least(octet_length(b), {longest}))")).alias("k"))
+    return cut.join(v, F.expr("substring(b, 1, k)") == F.col("token")).groupBy("piece").agg(F.max_by("id", "k").alias("id"))
+
+
+def splits(spark: SparkSession, encoding: Encoding) -> DataFrame:
+    """(id, left, right): the two tokens that merges make each token of, (id, id) where they are not two; tokens of several bytes with (id, id) are never made by merges."""
+    tokens = vocabulary(spark, encoding).withColumnRenamed("token", "piece").repartition(spark.sparkContext.defaultParallelism)
+    return by_piece(tokens, encoding, lambda e, p, trie: split(p, e.ranks), "left int, right int").select("id", "left", "right")
+
+
+def first_pairs(table: DataFrame, encoding: Encoding) -> DataFrame:
+    """(piece, first, second, valid): the longest token that begins each piece, the longest one after it, and whether merges leave them beside each other; pieces that one token covers are left out."""
+
+    def pair(e: Encoding, p: bytes, trie: Trie) -> tuple:
+        first = trie.next_match(p)
+        size = len(trie.tokens[first]) if p else 0
+        second = trie.next_match(p, size) if size < len(p) else None
+        return first, second, None if second is None else trie.valid(first, second)
+
+    return by_piece(table, encoding, pair, "first int, second int, valid boolean").where("second IS NOT NULL")
+
+
+def merge_profile(df: DataFrame, text: str, encoding: Encoding) -> DataFrame:
+    """One row: merges and lookups of the encoding by merges, and next_match, is_valid, tokens and backtrack of that by longest matches, over all pieces."""
+
+    def count(e: Encoding, p: bytes, trie: Trie) -> tuple:
+        _, merges, lookups = merge_counts(p, e.ranks)
+        before = trie.n.copy()
+        trie.encode(p)
+        return merges, lookups, *(trie.n[k] - before[k] for k in names)
+
+    names = ["next_match", "nm_steps", "is_valid", "tokens", "backtrack"]
+    table = pieces(df, text, encoding.grammar).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    counts = by_piece(table, encoding, count, ", ".join(f"{k} long" for k in ["merges", "lookups", *names]))
+    return counts.agg(*(F.coalesce(F.sum(F.col("n") * F.col(k)), F.lit(0)).alias(k) for k in ["merges", "lookups", *names]))
 
 
 def decode_set(tokens: DataFrame, encoding: Encoding, *keys: str) -> DataFrame:
     """(keys..., bytes, invalid_id) of (keys..., pos, id): by a join on id; bytes is null where an id is unknown, and invalid_id the first such."""
     spark = prepare(tokens.sparkSession)
     table = pa.table({"id": pa.array(encoding.by_id.keys(), pa.int64()), "token": pa.array(encoding.by_id.values(), pa.binary())}).to_pandas()
-    by_id = spark.createDataFrame(table, "id long, token binary")
-    by_id = F.broadcast(by_id) if len(table) <= BROADCAST_TOKENS else by_id
+    by_id = _hinted(spark.createDataFrame(table, "id long, token binary"), encoding.by_id.values())
     joined = tokens.withColumn("id", F.col("id").cast("long")).join(by_id, "id", "left")
     parts = F.array_sort(F.collect_list(F.struct("pos", F.hex("token").alias("h"))))
     out = joined.groupBy(*keys).agg(parts.alias("parts"), F.min_by("id", F.when(F.col("token").isNull(), F.col("pos"))).alias("bad"), F.count_if(F.col("token").isNull()).alias("n_bad"))
@@ -84,17 +168,31 @@ def decode_set(tokens: DataFrame, encoding: Encoding, *keys: str) -> DataFrame:
     return out.select(*keys, F.when(F.col("n_bad") == 0, whole).alias("bytes"), F.when(F.col("n_bad") > 0, F.col("bad")).alias("invalid_id"))
 
 
-def flat_offsets(counts: DataFrame, key: str, n: str, block: int = 1 << 16) -> DataFrame:
-    """(key, start, end): where each text's tokens lie when all are laid end to end in order of an integer key.
+def flat_offsets(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """(key, start, end): where each text's tokens lie when all are laid end to end in order of a key of any type.
 
-    Keys fall into blocks of ``block`` neighbours; only the blocks' sums pass through one task, the running sums inside are per block.
+    Every row has its place: a null key is last, equal keys are in any order, a null count is 0.
     """
-    some = counts.select(key, F.coalesce(F.col(n), F.lit(0)).cast("long").alias("_n")).withColumn("_b", F.floor(F.col(key) / block))
-    sums = some.groupBy("_b").agg(F.sum("_n").alias("_s"))
-    before = sums.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_before"))
-    inside = F.sum("_n").over(Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    rows = some.withColumn("_end", inside).join(before, "_b")
-    return rows.select(key, (F.col("_before") + F.col("_end") - F.col("_n")).alias("start"), (F.col("_before") + F.col("_end")).alias("end"))
+    rows = _flat(counts, key, n)
+    return rows.select(key, F.col("before").alias("start"), (F.col("before") + F.col("_n")).alias("end"))
+
+
+def flat_index(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """(i, offset), n + 1 rows for n texts: where the i-th text begins, and at the end their total; (0, 0) alone for none."""
+    rows = _flat(counts, key, n)
+    total = rows.agg(F.count(F.lit(1)).alias("i"), F.coalesce(F.sum("_n"), F.lit(0)).alias("offset"))
+    return rows.select(F.col("r").alias("i"), F.col("before").alias("offset")).union(total)
+
+
+def flat_tokens(df: DataFrame, text: str, encoding: Encoding, key: str) -> DataFrame:
+    """(at, id): the tokens of all texts, laid end to end in order of a key; a null text has none."""
+    ids = df.select(F.col(key).alias("_k"), encode_ordinary(F.col(text), encoding).alias("ids")).withColumn("_n", F.coalesce(F.size("ids"), F.lit(0)).cast("long"))
+    rows = numbered(save(ids, "flat"), None, ["_k"], "_n")
+    return rows.select("before", F.posexplode("ids").alias("pos", "id")).select((F.col("before") + F.col("pos")).alias("at"), "id")
+
+
+def _flat(counts: DataFrame, key: str, n: str) -> DataFrame:
+    return numbered(save(counts.select(key, F.coalesce(F.col(n), F.lit(0)).cast("long").alias("_n")), "flat"), None, [key], "_n")
 
 
 def profile(df: DataFrame, text: str, encoding: Encoding) -> DataFrame:
@@ -133,6 +231,11 @@ def statistics(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count(c).alias("n"), F.min(c).alias("least"), F.median(c).alias("median"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("stdev"), (100 * F.stddev_samp(c) / F.avg(c)).alias("cv"))
 
 
+def rates(df: DataFrame, n_bytes: str, seconds: str) -> DataFrame:
+    """``df`` with mb_s and mib_s, megabytes of 10^6 and of 2^20 bytes a second; null where no time passed."""
+    return df.withColumns({"mb_s": F.try_divide(F.col(n_bytes), F.col(seconds) * 1e6), "mib_s": F.try_divide(F.col(n_bytes), F.col(seconds) * 2**20)})
+
+
 def throughput(n_bytes: int, seconds: float) -> dict[str, float]:
     """MB/s of 10^6 and MiB/s of 2^20 bytes."""
     return {"mb_s": n_bytes / seconds / 1e6, "mib_s": n_bytes / seconds / 2**20}

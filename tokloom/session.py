@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,15 +40,54 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tokloom-{sc.applicationId}"
 
 
+_saved: list[str] = []
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _saved.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tokloom_path = path
+    return out
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the table that ``df`` is, if ``save`` returned it; nothing made from it may still be to run."""
+    if path := getattr(df, "_tokloom_path", None):
+        _delete(df.sparkSession, path)
+        _saved[:] = [p for p in _saved if p != path]
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables saved inside are deleted at the end, but for those given to the function that this yields, which returns them."""
+    before, kept = len(_saved), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._tokloom_path)
+        return df
+
+    yield keep
+    for path in [p for p in _saved[before:] if p not in kept]:
+        _delete(spark, path)
+        _saved.remove(path)
+
+
+def is_folder(spark: SparkSession, name: str) -> bool:
+    """Whether a path, of any file system that Spark reads, is a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
 
 
 def forget(spark: SparkSession) -> None:
     """Delete this application's scratch tables; call it only when no DataFrame made from them is still to run."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_dir(spark))
+    _saved.clear()

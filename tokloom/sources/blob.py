@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-MAGIC = bytes.fromhex("534f4e4943544b00")
+MAGIC = bytes.fromhex("534f4e4943544b00")  # the first eight bytes of every file of the format, a constant of it
 VERSION = 2
 UNKNOWN_GRAMMAR = 255
 
@@ -116,16 +120,75 @@ def read_specials(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where("value <> ''").select(F.regexp_extract("value", at, 1).alias("name"), F.regexp_extract("value", at, 2).cast("int").alias("id"))
 
 
+def _place(path: str | Path) -> tuple[fs.FileSystem, str]:
+    """File system and path in it, of a local path or a URI (file, hdfs, s3, gs, abfs)."""
+    path = str(path)
+    if path.startswith("file:") and not path.startswith("file://"):
+        path = path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def read_bytes(path: str | Path) -> bytes:
+    system, name = _place(path)
+    with system.open_input_stream(name) as f:
+        return f.read()
+
+
+def write_bytes(path: str | Path, data: bytes) -> None:
+    system, name = _place(path)
+    with system.open_output_stream(name) as f:
+        f.write(data)
+
+
+def exists(path: str | Path) -> bool:
+    system, name = _place(path)
+    return system.get_file_info(name).type != fs.FileType.NotFound
+
+
+def write_ranks(ranks: Iterable[tuple[bytes, int]], path: str | Path) -> None:
+    """A .tiktoken file, in order of rank."""
+    write_bytes(path, b"".join(base64.b64encode(t) + f" {i}\n".encode() for t, i in sorted(ranks, key=lambda x: x[1])))
+
+
+def write_specials(specials: Iterable[tuple[bytes, int]], path: str | Path) -> None:
+    """A .special file, in order of id, then name."""
+    write_bytes(path, b"".join(n + f" {i}\n".encode() for n, i in sorted(specials, key=lambda x: (x[1], x[0]))))
+
+
+def checksums(data: pa.Array) -> pa.Array:
+    """fnv1a of each binary value of an Arrow array, in 16 hexadecimal digits; one step for each byte of the longest value, over all that are as long."""
+    raw, at = np.frombuffer(b"".join(x or b"" for x in data.to_pylist()), np.uint8), np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(data), 0).to_numpy())].astype(np.int64)
+    size, h = np.diff(at), np.full(len(data), 0xCBF29CE484222325, np.uint64)
+    order = np.argsort(-size, kind="stable")
+    begin, h = at[:-1][order], h[order]
+    many = np.searchsorted(-size[order], -np.arange(1, int(size.max(initial=0)) + 1), "right")  # how many are as long
+    for k, n in enumerate(many.tolist()):
+        h[:n] = (h[:n] ^ raw[begin[:n] + k]) * np.uint64(0x100000001B3)
+    out = np.empty_like(h)
+    out[order] = h
+    return pa.array([None if x is None else f"{v:016x}" for x, v in zip(data.to_pylist(), out.tolist(), strict=True)], pa.string())
+
+
+def checksum(data: Column) -> Column:
+    """fnv1a of a binary column, in 16 hexadecimal digits; null for null."""
+
+    @F.arrow_udf("string")
+    def run(column: pa.Array) -> pa.Array:
+        return checksums(column)
+
+    return run(data)
+
+
 def load_ranks(path: str | Path) -> list[tuple[bytes, int]]:
     """The same on the driver, for a vocabulary that becomes an encoding."""
-    return [(base64.b64decode(t), int(r)) for t, r in (line.split() for line in Path(path).read_bytes().splitlines() if line)]
+    return [(base64.b64decode(t), int(r)) for t, r in (line.split() for line in read_bytes(path).splitlines() if line)]
 
 
 def load_specials(path: str | Path) -> list[tuple[bytes, int]]:
     """A missing file means no specials."""
-    if not Path(path).exists():
+    if not exists(path):
         return []
-    rows = (line.rsplit(" ", 1) for line in Path(path).read_text(encoding="utf-8").splitlines() if line)
+    rows = (line.rsplit(" ", 1) for line in read_bytes(path).decode().splitlines() if line)
     return [(n.encode(), int(i)) for n, i in rows]
 
 
@@ -133,18 +196,18 @@ def load_specials(path: str | Path) -> list[tuple[bytes, int]]:
 KNOWN = {"cl100k_base": (0, 0), "o200k_base": (1, 0), "o200k_harmony": (1, 0), "qwen3": (2, 1), "llama3": (0, 0)}
 
 
-def pack(folder: str | Path, name: str, grammar: int | None = None, normalizer: int | None = None) -> Path:
+def pack(folder: str | Path, name: str, grammar: int | None = None, normalizer: int | None = None) -> str:
     """Make <name>.stb of <name>.tiktoken and <name>.special in a folder."""
-    folder = Path(folder)
+    folder = str(folder).rstrip("/")
     if grammar is None:
         if name not in KNOWN:
             raise ValueError(f"{name}: give its grammar")
         grammar = KNOWN[name][0]
     if normalizer is None:
         normalizer = KNOWN.get(name, (0, 0))[1]
-    blob = Blob(name, load_ranks(folder / f"{name}.tiktoken"), load_specials(folder / f"{name}.special"), grammar, normalizer)
-    out = folder / f"{name}.stb"
-    out.write_bytes(blob.to_bytes())
+    blob = Blob(name, load_ranks(f"{folder}/{name}.tiktoken"), load_specials(f"{folder}/{name}.special"), grammar, normalizer)
+    out = f"{folder}/{name}.stb"
+    write_bytes(out, blob.to_bytes())
     return out
 
 
@@ -173,10 +236,14 @@ class StbReader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(str(p)) for p in (sorted(Path(self.path).glob("*.stb")) if Path(self.path).is_dir() else [self.path])]
+        system, name = _place(self.path)
+        if system.get_file_info(name).type != fs.FileType.Directory:
+            return [InputPartition(self.path)]
+        found = sorted(f.base_name for f in system.get_file_info(fs.FileSelector(name)) if f.base_name.endswith(".stb"))
+        return [InputPartition(f"{self.path.rstrip('/')}/{f}") for f in found]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        blob = Blob.from_bytes(Path(partition.value).read_bytes())
+        blob = Blob.from_bytes(read_bytes(partition.value))
         for kind, rows in (("rank", blob.ranks), ("special", blob.specials)):
             for token, i in rows:
                 yield kind, token, i
@@ -197,10 +264,10 @@ class StbWriter(DataSourceWriter):
         return _Part([(r["kind"], bytes(r["token"]), r["id"]) for r in rows])
 
     def commit(self, messages) -> None:
-        path = Path(self.options["path"])
-        if path.exists() and not self.overwrite:
+        path = self.options["path"]
+        if exists(path) and not self.overwrite:
             raise FileExistsError(path)
         rows = sorted((r for m in messages if m for r in m.rows), key=lambda r: (r[2], r[1]))
         by = {k: [(t, i) for kind, t, i in rows if kind == k] for k in ("rank", "special")}
-        blob = Blob(self.options.get("name", path.stem), by["rank"], by["special"], int(self.options.get("grammar", UNKNOWN_GRAMMAR)), int(self.options.get("normalizer", 0)))
-        path.write_bytes(blob.to_bytes())
+        blob = Blob(self.options.get("name", Path(path).stem), by["rank"], by["special"], int(self.options.get("grammar", UNKNOWN_GRAMMAR)), int(self.options.get("normalizer", 0)))
+        write_bytes(path, blob.to_bytes())
