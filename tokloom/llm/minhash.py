@@ -203,17 +203,18 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         f = F.when(F.col("shared"), F.xxhash64("f", "sig")).otherwise(F.col("f"))
         sigs = save(sigs.join(small(chance, 16), "f", "left").withColumn("f", f).drop("shared"), "minhash-signatures")
         copies = _copies(sigs)
-    # bands of two nodes or more, by partial sums: a band's members are counted and hashed as a set, never gathered in one row or task
-    members = sigs.select("f", F.explode("bands").alias("b"))
-    busy = save(members.groupBy("b").agg(F.min("f").alias("low"), F.max("f").alias("high")).where("low <> high").select("b"), "minhash-busy")
-    pairs = save(members.join(small(busy, 8), "b").distinct(), "minhash-bands")
+    nodes = save(sigs.select("f", "sig", "bands").dropDuplicates(["f"]), "minhash-nodes")
+    # bands of two nodes or more, by partial counts: a band's members are counted and hashed as a set, never gathered in one row or task
+    members = nodes.select("f", F.explode("bands").alias("b"))
+    busy = save(members.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("b"), "minhash-busy")
+    pairs = save(members.join(small(busy, 8), "b"), "minhash-bands")
     # of bands with equal members one goes on
     sets = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("f")).alias("x"), F.bit_xor(F.xxhash64("f", F.lit(1))).alias("y"))
     lists = sets.groupBy("c", "x", "y").agg(F.min("b").alias("b")).select("b", F.ceil(F.col("c") / LIST).cast("int").alias("n"))
     members = pairs.join(lists, "b").select(F.col("b").alias("k"), "n", "f").withColumn("i", F.pmod(F.xxhash64("f"), "n").cast("int"))
     # block i is compared with itself and with every other block j: pieces (i, i) and (i, j)
     pieces = members.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("k", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "f")
-    candidates = pieces.join(sigs.select("f", "sig").dropDuplicates(["f"]), "f").groupBy("k", "i", "j").agg(F.collect_list(F.struct("f", "sig")).alias("l")).select("l")
+    candidates = pieces.join(nodes.select("f", "sig"), "f").groupBy("k", "i", "j").agg(F.collect_list(F.struct("f", "sig")).alias("l")).select("l")
     edges = save(candidates.mapInArrow(_verify, "a long, b long").distinct(), "minhash-edges")
     roots = components(edges)
     copies = copies.select("f")
