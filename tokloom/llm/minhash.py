@@ -41,6 +41,8 @@ ACCEPT = THRESHOLD - MARGIN * (_equal * (1 - _equal) / PERMUTATIONS) ** 0.5 / (1
 BLOCK = 4096
 #: Members of a candidate list that are compared in one piece; a longer list is cut into blocks, and each pair of blocks is a piece of its own.
 LIST = 20000
+#: Bits of the bitmap that keeps most bands of one member from being shuffled with their member: 8 MB.
+BITMAP = 26
 
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
@@ -191,6 +193,27 @@ def _copies(sigs: DataFrame) -> DataFrame:
     return save(sigs.groupBy("f").agg(F.count(F.lit(1)).alias("c"), F.min(sig).alias("low"), F.max(sig).alias("high")).where("c > 1"), "minhash-copies")
 
 
+def _bitmap(busy: DataFrame) -> np.ndarray:
+    """2^BITMAP bits, of fixed size whatever the corpus, with one at the first bits of the hash of each busy band. Where it fills up, more goes on to the join that decides."""
+    words = busy.select(F.shiftrightunsigned("b", 64 - BITMAP).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(s & 63 AS int)))").alias("x")).toArrow()
+    bits = np.zeros(1 << BITMAP - 6, np.int64)
+    bits[words.column("w").to_numpy()] = words.column("x").to_numpy()
+    return bits.view(np.uint8)
+
+
+def _hits(bitmap):
+    """From (f, bands) to (f, b) of the bands that may be busy."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = batch.column(1).flatten().to_numpy()
+            slot = bands.view(np.uint64) >> np.uint64(64 - BITMAP)
+            hit = np.flatnonzero(bitmap.value[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit // BANDS)), pa.array(bands[hit])], names=["f", "b"])
+
+    return run
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A saved table (id, h, root, sig) of the documents of all near-duplicate groups; h is text_key."""
     prepare(docs.sparkSession)
@@ -207,7 +230,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     # bands of two nodes or more, by partial counts: a band's members are counted and hashed as a set, never gathered in one row or task
     members = nodes.select("f", F.explode("bands").alias("b"))
     busy = save(members.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("b"), "minhash-busy")
-    pairs = save(members.join(small(busy, 8), "b"), "minhash-bands")
+    near = nodes.select("f", "bands").mapInArrow(_hits(docs.sparkSession.sparkContext.broadcast(_bitmap(busy))), "f long, b long")
+    pairs = save(near.join(small(busy, 8), "b"), "minhash-bands")
     # of bands with equal members one goes on
     sets = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("f")).alias("x"), F.bit_xor(F.xxhash64("f", F.lit(1))).alias("y"))
     lists = sets.groupBy("c", "x", "y").agg(F.min("b").alias("b")).select("b", F.ceil(F.col("c") / LIST).cast("int").alias("n"))
