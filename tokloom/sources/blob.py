@@ -196,8 +196,8 @@ def load_specials(path: str | Path) -> list[tuple[bytes, int]]:
 KNOWN = {"cl100k_base": (0, 0), "o200k_base": (1, 0), "o200k_harmony": (1, 0), "qwen3": (2, 1), "llama3": (0, 0)}
 
 
-def pack(folder: str | Path, name: str, grammar: int | None = None, normalizer: int | None = None) -> str:
-    """Make <name>.stb of <name>.tiktoken and <name>.special in a folder."""
+def pack(folder: str | Path, name: str, grammar: int | None = None, normalizer: int | None = None) -> Path | str:
+    """Make <name>.stb of <name>.tiktoken and <name>.special in a folder; its path, or its URI if the folder was one."""
     folder = str(folder).rstrip("/")
     if grammar is None:
         if name not in KNOWN:
@@ -208,7 +208,7 @@ def pack(folder: str | Path, name: str, grammar: int | None = None, normalizer:
     blob = Blob(name, load_ranks(f"{folder}/{name}.tiktoken"), load_specials(f"{folder}/{name}.special"), grammar, normalizer)
     out = f"{folder}/{name}.stb"
     write_bytes(out, blob.to_bytes())
-    return out
+    return out if "://" in out else Path(out)
 
 
 class StbSource(DataSource):
