@@ -11,7 +11,7 @@ words; a larger benchmark is worked off part by part, each with a pass of its ow
 a text longer than a chunk in strips that share more words than an alignment can span, and a passage longer than WIDTH words in strips likewise, so that memory is bounded and no score changes.
 
 Rows: null and empty texts match nothing; items that are null or without a word are left out, and one of fewer than GRAM words is one seed of all its words and is
-found only where it stands alone or by its whole run. Repeated rows count each and are flagged alike; items of equal text are reported each. Extra columns are of no matter.
+found only where it stands alone or by its whole run. Repeated rows count each and are flagged alike; items of equal text are reported each. A very long text is read whole. An empty table of documents or items gives no leaks. Extra columns are of no matter.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ It is a map over pages, with no shuffle. Markup is read by one regular expressio
 each other as HTML5 says for paragraphs, items and cells, attribute values may hold brackets, and entities are resolved. Paths are interned and the places of open tags kept by name, so a tag is opened
 and closed in the same time at any depth, and a comment or raw text that nothing ends goes to the end of the page: the time grows with the page's length. The whole page is read.
 
-Rows: a null or empty page, or one without text, gives content null and zero counts. Where no node holds punctuation the text ratio decides alone. Repeated rows are extracted alike;
+Rows: a null or empty page, or one without text, gives content null and zero counts. Where no node holds punctuation the text ratio decides alone. Repeated rows are extracted alike; a very long page is read whole; an empty table gives an empty result;
 extra columns are of no matter.
 """
 

@@ -12,7 +12,7 @@ The chain runs over all words of a chunk of documents at once, in the manner of
 of runs of words, then vectors into each run, then all runs side by side. A document longer than a chunk is read in strips, twice: once for
 the transfer matrix of each strip, once for the posteriors between the messages that enter it. That is exact for documents of any length, no text is cut, and memory does not grow with a document but for its labels. Scoring is a map, with no shuffle. A word that has no letter takes the state that the chain gives it.
 
-Rows: a null text, or one without a word, gives n_words 0, a null language and no spans. Repeated rows are labelled alike; extra columns are of no
+Rows: a null text, or one without a word, gives n_words 0, a null language and no spans. Repeated rows are labelled alike; an empty table gives an empty result; extra columns are of no
 matter. Ties go to the first language in alphabetical order. Without a labelled document there are no states and every language is null.
 """
 

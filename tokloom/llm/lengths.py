@@ -4,7 +4,7 @@ Documents are encoded whole and aggregated by encoded length, with map-side part
 length leaves each task. Sums over the sorted histogram, whose size is bounded by the longest document and not by the
 number of documents, answer totals, quantiles and truncated totals for every context limit exactly.
 
-Rows: null texts have no length and are left out; an empty text has length 0. Repeated rows count each. Extra columns are of no matter; an
+Rows: null texts have no length and are left out; an empty text has length 0. A very long text is counted whole, in parts that end where pieces do. Repeated rows count each; documents of one length are one row. Extra columns are of no matter; an
 empty table gives an empty histogram, of total 0 and without quantiles.
 """
 

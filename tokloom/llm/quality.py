@@ -13,7 +13,8 @@ keeps KEEP of the held-out good documents.
 
 Scoring is a map over the documents, with no shuffle. Rows: null and empty texts have probability null and
 are kept; labels that are null, and label rows without a document, are left out of fitting. Where labels hold only one class, or none, every text has
-probability 1 and is kept. Repeated rows are scored alike; extra columns are of no matter.
+probability 1 and is kept. Repeated rows are scored alike, and in fitting the least text of an id stands; a very long text is read whole, in spans;
+an empty table gives an empty result; extra columns are of no matter.
 """
 
 from __future__ import annotations
