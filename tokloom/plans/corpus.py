@@ -82,9 +82,11 @@ def encode_set(df: DataFrame, text: str, encoding: Encoding, *keys: str) -> Data
     return rows.select(*keys, (F.row_number().over(order) - 1).alias("pos"), "id")
 
 
-def token_rows(df: DataFrame, text: str, encoding: Encoding, *keys: str) -> DataFrame:
-    """(keys..., pos, id): a row for each token, by the row plan; no shuffle."""
-    return df.select(*keys, F.posexplode(encode_ordinary(F.col(text), encoding)).alias("pos", "id"))
+def token_rows(df: DataFrame, text: str, encoding: Encoding, *keys: str, every: bool = False) -> DataFrame:
+    """(keys..., pos, id): a row for each token, by the row plan; no shuffle. With ``every``, an empty text is a row of null pos, and a null text one of pos 0 and a null id."""
+    ids = encode_ordinary(F.col(text), encoding)
+    rows = F.posexplode_outer(F.coalesce(ids, F.array(F.lit(None).cast("int")))) if every else F.posexplode(ids)
+    return df.select(*keys, rows.alias("pos", "id"))
 
 
 def token_histogram(df: DataFrame, text: str, encoding: Encoding, longest_match: bool = False) -> DataFrame:
@@ -157,13 +159,13 @@ def merge_profile(df: DataFrame, text: str, encoding: Encoding) -> DataFrame:
 
 
 def decode_set(tokens: DataFrame, encoding: Encoding, *keys: str) -> DataFrame:
-    """(keys..., bytes, invalid_id) of (keys..., pos, id): by a join on id; bytes is null where an id is unknown, and invalid_id the first such."""
+    """(keys..., bytes, invalid_id) of (keys..., pos, id): by a join on id; bytes is null where an id is unknown, and invalid_id the first such. A row of null pos is no token: keys with no other row have empty bytes."""
     spark = prepare(tokens.sparkSession)
     table = pa.table({"id": pa.array(encoding.by_id.keys(), pa.int64()), "token": pa.array(encoding.by_id.values(), pa.binary())}).to_pandas()
     by_id = _hinted(spark.createDataFrame(table, "id long, token binary"), encoding.by_id.values())
     joined = tokens.withColumn("id", F.col("id").cast("long")).join(by_id, "id", "left")
     parts = F.array_sort(F.collect_list(F.struct("pos", F.hex("token").alias("h"))))
-    out = joined.groupBy(*keys).agg(parts.alias("parts"), F.min_by("id", F.when(F.col("token").isNull(), F.col("pos"))).alias("bad"), F.count_if(F.col("token").isNull()).alias("n_bad"))
+    out = joined.groupBy(*keys).agg(parts.alias("parts"), F.min_by("id", F.when(F.col("token").isNull(), F.col("pos"))).alias("bad"), F.count_if(F.col("token").isNull() & F.col("pos").isNotNull()).alias("n_bad"))
     whole = F.unhex(F.array_join(F.transform("parts", lambda x: x["h"]), ""))
     return out.select(*keys, F.when(F.col("n_bad") == 0, whole).alias("bytes"), F.when(F.col("n_bad") > 0, F.col("bad")).alias("invalid_id"))
 
