@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tokloom.encoding import Encoding, worker_encoding
 from tokloom.functions.grammars import pieces
@@ -66,10 +68,10 @@ def _merge(blob):
     return run
 
 
-def encode_set(df: DataFrame, text: str, encoding: Encoding, *keys: str) -> DataFrame:
-    """(keys..., pos, id): a row for each token, by encoding each distinct piece once and joining it back.
+def set_runs(df: DataFrame, text: str, encoding: Encoding, *keys: str) -> DataFrame:
+    """(keys..., first, ids): the ids of runs of successive pieces, in no order, by encoding each distinct piece once and joining it back; first is the place of a run's first piece.
 
-    The frequent pieces are joined by broadcast, so that none is a hot task of the shuffle that joins the others. Rows are put in order within their keys, which should name few rows; ``token_rows`` gives the same without a shuffle.
+    The frequent pieces are joined by broadcast, so that none is a hot task of the shuffle that joins the others. Those that follow each other are put together before anything else is shuffled; each of the others is a run.
     """
     source = df.withColumn(text, nfc(F.col(text))) if encoding.nfc else df
     found = pieces(source, text, encoding.grammar, *keys)
@@ -77,9 +79,82 @@ def encode_set(df: DataFrame, text: str, encoding: Encoding, *keys: str) -> Data
     some = table.where(F.octet_length("piece") <= FREQUENT_BYTES).orderBy(F.desc("n"), "piece").limit(FREQUENT)
     near = found.join(F.broadcast(some.select("piece", "ids")), "piece", "left")
     far = near.where("ids IS NULL").drop("ids").join(table.select("piece", "ids"), "piece")
-    rows = near.where("ids IS NOT NULL").union(far.select(near.columns)).select(*keys, "pos", F.posexplode("ids").alias("sub", "id"))
-    order = Window.partitionBy(*keys).orderBy("pos", "sub")
-    return rows.select(*keys, (F.row_number().over(order) - 1).alias("pos"), "id")
+    rows = near.select(*keys, F.col("pos").alias("first"), "ids")
+    return rows.mapInArrow(_packed(rows.schema), rows.schema).union(far.select(*keys, F.col("pos").alias("first"), "ids"))
+
+
+def _new_keys(columns: list[pa.Array]) -> np.ndarray:
+    """Whether each row's keys are others than those of the row before; the first row's are not."""
+    new = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        if pa.types.is_nested(c.type):
+            x = c.to_pylist()
+            new[1:] |= [a != b for a, b in zip(x, x[1:], strict=False)]
+        else:
+            null = c.is_null().to_numpy(zero_copy_only=False)
+            differ = pc.not_equal(c[1:], c[:-1]).fill_null(False).to_numpy(zero_copy_only=False)
+            new[1:] |= differ | (null[1:] != null[:-1])
+    return new
+
+
+def _packed(schema: StructType):
+    """Puts the ids of successive pieces of a text together, for mapInArrow over (keys..., first, ids); rows with null ids are dropped."""
+    names, kind = schema.names, to_arrow_type(schema["ids"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            *keys, first, ids = (b.column(n) for n in names)
+            here, place = ids.is_valid().to_numpy(zero_copy_only=False), first.to_numpy()
+            if not here.any():
+                continue
+            begin = np.r_[True, ~here[:-1] | (place[1:] != place[:-1] + 1)]
+            if keys:
+                begin |= _new_keys(keys)
+            begin = np.flatnonzero(here & begin)
+            size = np.where(here, ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+            offsets = np.r_[0, np.cumsum(size)][np.r_[begin, len(here)]].astype(np.int32)
+            runs = pa.ListArray.from_arrays(pa.array(offsets), ids.flatten()).cast(kind)
+            yield pa.RecordBatch.from_arrays([*(k.take(pa.array(begin)) for k in (*keys, first)), runs], names=names)
+
+    return run
+
+
+def encode_set(df: DataFrame, text: str, encoding: Encoding, *keys: str) -> DataFrame:
+    """(keys..., pos, id): a row for each token, by encoding each distinct piece once and joining it back.
+
+    What is shuffled to be put in order within the keys, which should name few rows, is runs of ids, not tokens; ``token_rows`` gives the same without a shuffle.
+    """
+    runs = set_runs(df, text, encoding, *keys)
+    ordered = runs.repartition(*keys) if keys else runs.repartition(1)
+    schema = StructType([*(runs.schema[k] for k in keys), StructField("pos", IntegerType()), StructField("id", IntegerType())])
+    return ordered.sortWithinPartitions(*keys, "first").mapInArrow(_laid_out(schema), schema)
+
+
+def _laid_out(schema: StructType):
+    """A row for each id of the runs (keys..., first, ids), in order, with its place among those of its keys, for mapInArrow."""
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            *keys, _, ids = b.columns
+            size = ids.value_lengths().to_numpy().astype(np.int64)
+            before = np.cumsum(size) - size
+            new = np.zeros(len(size), bool)
+            if keys:
+                new = _new_keys(keys)
+                new[0] = last is not None and [k[0].as_py() for k in keys] != last
+            # tokens of the row's keys before the row
+            start = np.maximum.accumulate(np.where(new, before, -1))
+            at = np.where(start >= 0, before - start, before + count)
+            last, count = [k[-1].as_py() for k in keys], int(at[-1] + size[-1])
+            row = np.repeat(np.arange(len(size)), size)
+            pos = (np.arange(len(row)) + np.repeat(at - before, size)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(k.take(pa.array(row)) for k in keys), pa.array(pos), ids.flatten()], names=names)
+
+    return run
 
 
 def token_rows(df: DataFrame, text: str, encoding: Encoding, *keys: str, every: bool = False) -> DataFrame:
