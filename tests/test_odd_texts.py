@@ -7,6 +7,8 @@ from tests.test_core import RANKS
 
 import __spark_entry__ as entry
 from tokloom import catalog
+from tokloom.encoding import toy
+from tokloom.plans import corpus
 
 has_vocabulary = pytest.mark.skipif(not os.path.exists(RANKS), reason="no vocabulary file")
 
@@ -66,3 +68,33 @@ def test_a_missing_vocabulary_is_an_error(spark, odd, monkeypatch):
     finally:
         catalog.vocabulary.cache_clear()
         catalog._packed.cache_clear()
+
+
+def test_the_set_plan_shuffles_runs_of_ids(spark, monkeypatch):
+    rows = [(k, "the cat the dog\n" * (1 + 400 * (k % 2)) + "zebra" * (k % 3) + " end") for k in range(40)] + [(100, ""), (101, None), (None, "null key")]
+    df = spark.createDataFrame(rows, "key long, text string")
+    monkeypatch.setattr(corpus, "FREQUENT", 6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)  # texts and keys go over the ends of batches
+    try:
+        for keys in (["key"], ["key", "other"], ["both"]):
+            wide = df.selectExpr("key", "CAST(key % 2 AS STRING) AS other", "struct(key, 1 AS one) AS both", "text")
+            made = corpus.encode_set(wide, "text", toy(), *keys)
+            assert "Window" not in made._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(repr, made.collect())) == sorted(map(repr, corpus.token_rows(wide, "text", toy(), *keys).collect()))
+        assert corpus.set_runs(df, "text", toy(), "key").count() < corpus.token_rows(df, "text", toy(), "key").count() / 4
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_differences_of_lists(spark):
+    runs = spark.createDataFrame([(1, 2, [7, 8]), (1, 0, [5, 6]), (2, 0, [1]), (4, 0, [3])], "key int, first int, ids array<int>")
+    lists = spark.createDataFrame([(1, [5, 6, 7, 8]), (2, [1, 2]), (3, [9, 9]), (5, []), (6, None)], "key int, ids array<int>")
+    got = {r["key"]: (r["n_different"], r["n_tokens"]) for r in corpus.list_differences(runs, lists, ["key"]).collect()}
+    assert got == {1: (0, 4), 2: (1, 2), 3: (2, 2), 4: (1, 0), 5: (0, 0), 6: (0, 0)}
+
+
+@has_vocabulary
+def test_plans_agree_joins_no_tokens(spark, odd):
+    same_as_sql(spark, odd, "plans_agree")
+    plan = entry.queries()["plans_agree"](spark, odd)._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" not in plan and "Window" not in plan

@@ -53,17 +53,20 @@ def piece_table(found: DataFrame, encoding: Encoding) -> DataFrame:
     spark = prepare(found.sparkSession)
     distinct = found.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).withColumn("token", F.col("piece").cast("binary"))
     looked = distinct.join(vocabulary(spark, encoding), "token", "left").select("piece", "n", "id")
-    hits = looked.where("id IS NOT NULL").select("piece", "n", F.array("id").alias("ids"), F.lit(True).alias("hit"))
-    rest = looked.where("id IS NULL")
-    merged = rest.select("piece", "n").mapInArrow(_merge(encoding.shared(spark)), "piece string, n long, ids array<int>").withColumn("hit", F.lit(False))
-    return hits.union(merged.select("piece", "n", "ids", "hit"))
+    return looked.mapInArrow(_merge(encoding.shared(spark)), "piece string, n long, ids array<int>, hit boolean")
 
 
 def _merge(blob):
+    """Pieces that are tokens and pieces to be merged in one pass, since the pieces would be cut and counted again for each of two."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = worker_encoding(blob.value).encode_pieces
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), encode(b.column(0))], names=["piece", "n", "ids"])
+            hit = b.column(2).is_valid()
+            for rows, known in ((b.filter(hit), True), (b.filter(pc.invert(hit)), False)):
+                piece, n, i = rows.columns
+                ids = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1, dtype=np.int32)), i) if known else encode(piece)
+                yield pa.RecordBatch.from_arrays([piece, n, ids, pa.array(np.full(len(i), known))], names=["piece", "n", "ids", "hit"])
 
     return run
 
@@ -293,6 +296,19 @@ def differences(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> Data
     return both.where("NOT (_a <=> _b)")
 
 
+def list_differences(runs: DataFrame, lists: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., n_different, n_tokens): places at which the ids of ``runs`` (keys..., first, ids), in order of first, and of ``lists`` (keys..., ids) differ or one has none, and the tokens of the latter.
+
+    Both are shuffled once, as lists; no token is a row.
+    """
+    both = runs.select(*keys, "first", "ids").union(lists.select(*keys, F.lit(-1), "ids"))
+    parts = F.sort_array(F.collect_list(F.struct("first", "ids")))
+    ids = lambda keep: F.flatten(F.transform(F.filter("_r", keep), lambda x: F.coalesce(x["ids"], F.array().cast("array<int>"))))
+    a = both.groupBy(*keys).agg(parts.alias("_r")).select(*keys, ids(lambda x: x["first"] >= 0).alias("_a"), ids(lambda x: x["first"] < 0).alias("_b"))
+    different = F.size(F.filter(F.zip_with("_a", "_b", lambda x, y: ~x.eqNullSafe(y)), lambda x: x))
+    return a.select(*keys, F.when(F.col("_a") == F.col("_b"), 0).otherwise(different).alias("n_different"), F.size("_b").alias("n_tokens"))
+
+
 def next_prefixes(spark: SparkSession, encoding: Encoding) -> DataFrame:
     """(id, prefix_id): the longest token that is a proper prefix of each token, by a join on prefixes; null where there is none."""
     v = vocabulary(spark, encoding)
