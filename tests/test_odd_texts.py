@@ -8,6 +8,7 @@ from tests.test_core import RANKS
 import __spark_entry__ as entry
 from tokloom import catalog
 from tokloom.encoding import toy
+from tokloom.functions import table
 from tokloom.plans import corpus
 
 has_vocabulary = pytest.mark.skipif(not os.path.exists(RANKS), reason="no vocabulary file")
@@ -98,3 +99,13 @@ def test_plans_agree_joins_no_tokens(spark, odd):
     same_as_sql(spark, odd, "plans_agree")
     plan = entry.queries()["plans_agree"](spark, odd)._jdf.queryExecution().executedPlan().toString()
     assert "FullOuter" not in plan and "Window" not in plan
+
+
+def test_table_function_of_places_and_ids(spark, odd):
+    table.register_tokens(spark, toy(), "t_odd")
+    spark.createDataFrame([(1, "abcé"), (2, ""), (3, None), (4, "x" * 3_000_000 + " abc")], "key int, text string").createOrReplaceTempView("t_texts")
+    every, few = ("SELECT key, count(*) AS n, sum(CAST(t.pos AS BIGINT) * t.id) AS s FROM t_texts, LATERAL {}(text) t GROUP BY key".format(f) for f in ("t_odd", "t_odd_ids"))
+    assert sorted(map(tuple, spark.sql(few).collect())) == sorted(map(tuple, spark.sql(every).collect()))
+    same_as_sql(spark, odd, "sql_table_function")
+    plan = entry.queries()["sql_table_function"](spark, odd)._jdf.queryExecution().executedPlan().toString()
+    assert "UDTF" not in plan and "Join" not in plan and "ArrowEvalPython" in plan
