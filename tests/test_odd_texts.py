@@ -2,11 +2,12 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from tests.test_core import RANKS
 
 import __spark_entry__ as entry
-from tokloom import catalog
+from tokloom import catalog, encoding
 from tokloom.encoding import toy
 from tokloom.functions import table
 from tokloom.plans import corpus
@@ -109,3 +110,17 @@ def test_table_function_of_places_and_ids(spark, odd):
     same_as_sql(spark, odd, "sql_table_function")
     plan = entry.queries()["sql_table_function"](spark, odd)._jdf.queryExecution().executedPlan().toString()
     assert "UDTF" not in plan and "Join" not in plan and "ArrowEvalPython" in plan
+
+
+def test_columns_are_encoded_by_slices(monkeypatch):
+    e = encoding.Encoding("chat", [(bytes([b]), b) for b in range(256)], [(b"<|end|>", 256)])
+    texts = ["abc", None, "", "é<|end|>x", "long " * 50, None, "", "z<|end|>"] * 9
+    for size in (1, 7, 100, 1 << 20):
+        monkeypatch.setattr(encoding, "SLICE", size)
+        for column in (pa.array(texts, pa.string()), pa.array(texts, pa.string())[3:40], pa.array([], pa.string()), pa.array([None], pa.string())):
+            seen = []
+            special = lambda c: seen.append(len("".join(x or "" for x in c.to_pylist()).encode()) if len(c) > 1 else 0) or e.encode_special_column(c)[0]  # noqa: B023, E731
+            assert encoding.sliced(column, e.encode_column).to_pylist() == e.encode_column(column).to_pylist()
+            assert encoding.sliced(column, e.count_column).to_pylist() == e.count_column(column).to_pylist()
+            assert encoding.sliced(column, special).to_pylist() == e.encode_special_column(column)[0].to_pylist()
+            assert max(seen) <= size

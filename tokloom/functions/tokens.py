@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from tokloom.encoding import Encoding, allowed_ids, worker_encoding
+from tokloom.encoding import Encoding, allowed_ids, sliced, worker_encoding
 from tokloom.session import prepare
 
 
@@ -22,7 +22,7 @@ def encode_ordinary(text: Column, encoding: Encoding) -> Column:
 
     @F.arrow_udf("array<int>")
     def run(column: pa.Array) -> pa.Array:
-        return worker_encoding(blob.value).encode_column(column)
+        return sliced(column, worker_encoding(blob.value).encode_column)
 
     return run(text)
 
@@ -33,7 +33,7 @@ def count_tokens(text: Column, encoding: Encoding) -> Column:
 
     @F.arrow_udf("int")
     def run(column: pa.Array) -> pa.Array:
-        return worker_encoding(blob.value).count_column(column)
+        return sliced(column, worker_encoding(blob.value).count_column)
 
     return run(text)
 
@@ -46,7 +46,8 @@ def try_encode(text: Column, encoding: Encoding, allowed: str | Iterable[str] |
 
     @F.arrow_udf("struct<ids: array<int>, error_token: string, error_offset: int>")
     def run(column: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays(worker_encoding(blob.value).encode_special_column(column, names), ["ids", "error_token", "error_offset"], mask=column.is_null())
+        encode = worker_encoding(blob.value).encode_special_column
+        return sliced(column, lambda c: pa.StructArray.from_arrays(encode(c, names), ["ids", "error_token", "error_offset"], mask=c.is_null()))
 
     return run(text)
 
@@ -119,15 +120,15 @@ def register(spark: SparkSession, encoding: Encoding, prefix: str = "tok_") -> N
 
     @F.arrow_udf("array<int>")
     def enc(column: pa.Array) -> pa.Array:
-        return worker_encoding(blob.value).encode_column(column)
+        return sliced(column, worker_encoding(blob.value).encode_column)
 
     @F.arrow_udf("array<int>")
     def special(column: pa.Array) -> pa.Array:
-        return worker_encoding(blob.value).encode_special_column(column)[0]
+        return sliced(column, lambda c: worker_encoding(blob.value).encode_special_column(c)[0])
 
     @F.arrow_udf("int")
     def count(column: pa.Array) -> pa.Array:
-        return worker_encoding(blob.value).count_column(column)
+        return sliced(column, worker_encoding(blob.value).count_column)
 
     @F.arrow_udf("string")
     def dec(column: pa.Array) -> pa.Array:
